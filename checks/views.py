@@ -107,7 +107,7 @@ FEEDBACK_ACTIONS = """
 SELECT event_id AS action_id,
   CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id - event_id % 4 END AS INT) AS feedback_id,
   CASE CAST((event_id + user_id) % 6 AS INT) WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'correct' WHEN 3 THEN 'resolve' WHEN 4 THEN 'note' ELSE 'claim' END AS action,
-  CAST(user_id % 30 AS INT) AS actor_id, ts AS at,
+  CAST(user_id % 30 AS INT) AS actor_id, ts AS acted_at,
   CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 'Normal' WHEN 1 THEN 'DDoS' WHEN 2 THEN 'TemporalAnomaly' ELSE 'AppError' END AS label,
   concat('note ', CAST(event_id AS STRING)) AS notes
 FROM events

@@ -272,9 +272,9 @@ def time_features(
     previous = F.coalesce(
         F.lag("__ts").over(local), F.when(~F.col("__starts"), F.col("__reached"))
     )
-    seconds = F.timestampdiff("MICROSECOND", previous, F.col("__ts")) / F.lit(1e6)
+    seconds = F.expr("timestampdiff(MICROSECOND, __previous, __ts)") / F.lit(1e6)
     clipped = F.least(F.greatest(seconds, F.lit(0.0)), F.lit(MAX_DELTA_SECONDS))
-    return filled.withColumns(
+    return filled.withColumn("__previous", previous).withColumns(
         {
             "time_delta": F.coalesce(clipped, F.lit(0.0)),
             "ts_hour": F.coalesce(F.hour("__ts"), F.lit(0)),

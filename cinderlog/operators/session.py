@@ -143,13 +143,13 @@ def top_threats(stats: DataFrame, n: int = TOP_THREATS) -> DataFrame:
 
 def share_legend(stats: DataFrame) -> DataFrame:
     """Normal, Suspicious and Critical lines with their share of all lines."""
+    logs = {
+        "Normal": F.col("total_logs") - F.col("total_anomalies"),
+        "Suspicious": F.col("risk_distribution")["Medium"],
+        "Critical": F.col("risk_distribution")["High"],
+    }
     parts = F.array(
-        F.struct(
-            F.lit("Normal").alias("name"),
-            (F.col("total_logs") - F.col("total_anomalies")).alias("logs"),
-        ),
-        F.struct(F.lit("Suspicious"), F.col("risk_distribution")["Medium"]),
-        F.struct(F.lit("Critical"), F.col("risk_distribution")["High"]),
+        *[F.struct(F.lit(name).alias("name"), n.alias("logs")) for name, n in logs.items()]
     )
     return stats.select("session_id", "total_logs", F.inline(parts)).select(
         "session_id", "name", "logs", _percent(F.col("logs"), F.col("total_logs")).alias("percent")

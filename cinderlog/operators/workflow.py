@@ -275,9 +275,9 @@ def fold_actions(actions: DataFrame, actions_per_chunk: int = 1 << 16) -> DataFr
         .when(corrects, "Pending")
         .when(action == "resolve", "Resolved")
     )
-    at = F.date_format("at", NOTE_TIME)
+    stamp = F.date_format("acted_at", NOTE_TIME)
     note = F.concat(
-        F.lit("\n\n["), at, F.lit(" - Update]: "), F.coalesce("notes", F.lit(""))
+        F.lit("\n\n["), stamp, F.lit(" - Update]: "), F.coalesce("notes", F.lit(""))
     )
     prepared = actions.select(
         "feedback_id",
@@ -288,7 +288,7 @@ def fold_actions(actions: DataFrame, actions_per_chunk: int = 1 << 16) -> DataFr
             settles | (action == "resolve"), F.struct("action_id", status.alias("status"))
         ).alias("with_case"),
         F.when(corrects, F.struct("action_id", "label", "notes")).alias("correction"),
-        F.when(action == "resolve", F.struct("action_id", "at", "notes")).alias("resolution"),
+        F.when(action == "resolve", F.struct("action_id", "acted_at", "notes")).alias("resolution"),
         F.when(action == "claim", F.struct("action_id", "actor_id")).alias("claim"),
         F.when(action == "note", F.struct("action_id", note.alias("text"))).alias("note"),
     )
@@ -366,7 +366,7 @@ def apply_actions_to_cases(cases: DataFrame, actions: DataFrame) -> DataFrame:
     resolved = F.col("resolution").isNotNull()
     changed = {
         "status": F.when(resolved, "Resolved").otherwise(F.col("status")),
-        "closed_at": F.when(resolved, F.col("resolution.at")).otherwise(F.col("closed_at")),
+        "closed_at": F.when(resolved, F.col("resolution.acted_at")).otherwise(F.col("closed_at")),
         "resolution_notes": F.when(resolved, F.col("resolution.notes")).otherwise(
             F.col("resolution_notes")
         ),

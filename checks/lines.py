@@ -297,8 +297,8 @@ def parse_bgl(spark, d):
     f"SELECT line_no, {respelled(RAW_LEVEL, TRAINER)} AS level FROM log_lines",
 )
 def trainer_levels(spark, d):
-    fields = parse.generic_fields(F.col("raw"))
-    return _lines(spark, d).select("line_no", text.trainer_level(fields["level"]).alias("level"))
+    fields = parse.generic_fields(_lines(spark, d))
+    return fields.select("line_no", text.trainer_level(F.col("level")).alias("level"))
 
 
 @check(

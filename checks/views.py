@@ -149,7 +149,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         events = f"events_{zlib.crc32(sf_dir.encode()):08x}"
         table(spark, sf_dir, "events").createOrReplaceTempView(events)
         rows = spark.sql(VIEWS[name].replace("FROM events", f"FROM {events}"))
-        _stored[key] = materialize(rows, name)
+        # One file per core, as a landing folder would have many.
+        parts = spark.sparkContext.defaultParallelism
+        _stored[key] = materialize(rows.repartition(parts), name)
     return _stored[key]
 
 

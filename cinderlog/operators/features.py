@@ -19,14 +19,17 @@ from cinderlog.functions import text
 from cinderlog.functions.ordering import CHUNK, RowOrder
 from cinderlog.functions.regex import py
 
-# The token pattern, vocabulary sizes and numeric feature names.
-TOKEN = r"\b\w\w+\b"
+# The token pattern (greedy, so it needs no word borders), vocabulary sizes and numeric feature names.
+TOKEN = r"\w\w+"
 TRAINER_TERMS = 1000
 CLASS_TERMS = 100
 SERVED_NUMERIC = ("level_encoded", "log_hour")
 LAYERED_NUMERIC = ("level_encoded", "time_delta_sec", "hour")
 MAX_DELTA_SECONDS = 3600.0
 
+# Words shipped with a plan to prune pairs; beyond that, pairs are not pruned.
+MAX_PRUNING_WORDS = 20_000
+
 VECTOR_JSON = T.StructType([T.StructField("v", VectorUDT())])
 
 
@@ -81,46 +84,89 @@ class Vocabulary:
         )
 
 
-def term_counts(df: DataFrame, message: str = "message") -> DataFrame:
-    """Per term: occurrences and documents; the NULL term counts the documents.
+def word_counts(worded: DataFrame, words: str = "__words") -> DataFrame:
+    return (
+        worded.select(F.explode(words).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
 
-    Both counts come from one pass with a map-side combine, so frequent terms
-    reach the reducers as one row per task.
-    """
-    def entry(term: Column, tf: int, df_: int) -> Column:
-        return F.struct(
-            term.alias("term"), F.lit(tf).alias("tf"), F.lit(df_).alias("df")
-        )
 
-    grams = F.col("__grams")
-    entries = F.concat(
-        F.transform(grams, lambda t: entry(t, 1, 0)),
-        F.transform(F.array_distinct(grams), lambda t: entry(t, 0, 1)),
-        F.array(entry(F.lit(None).cast("string"), 0, 1)),
+def frequent_words(counts: DataFrame, max_features: int) -> list[str] | None:
+    """Words that a term of the vocabulary can hold, or NULL for "any".
+
+    A pair of words is never more frequent than either word.  So once
+    ``max_features`` words reach some count, no term below that count is kept,
+    and a pair with a rarer word need not even be built.
+    """
+    top = counts.orderBy(F.desc("tf"), "term").limit(max_features).collect()
+    if len(top) < max_features:
+        return None
+    reached = counts.where(F.col("tf") >= top[-1]["tf"]).limit(MAX_PRUNING_WORDS + 1).collect()
+    return [r["term"] for r in reached] if len(reached) <= MAX_PRUNING_WORDS else None
+
+
+def pair_counts(worded: DataFrame, frequent: list[str] | None, words: str = "__words") -> DataFrame:
+    """Counts of neighbouring words, both of them frequent."""
+    kept = F.col(words)
+    if frequent is not None:
+        kept = F.transform(kept, lambda w: F.when(w.isin(*frequent), w))
+    n = F.size("__kept")
+    pairs = F.zip_with(
+        F.slice("__kept", 1, F.greatest(n - 1, F.lit(0))),
+        F.slice("__kept", 2, F.greatest(n - 1, F.lit(0))),
+        lambda a, b: F.concat(a, F.lit(" "), b),
     )
     return (
-        ngrams(df.select(message), message)
-        .select(F.explode(entries).alias("e"))
-        .groupBy(F.col("e.term").alias("term"))
-        .agg(F.sum("e.tf").alias("tf"), F.sum("e.df").alias("df"))
+        worded.select(kept.alias("__kept"))
+        .select(F.explode(F.array_compact(pairs)).alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def document_counts(
+    df: DataFrame, terms: list[str], message: str = "message"
+) -> tuple[list[int], int]:
+    """Documents holding each term, and documents in all, in one pass."""
+    counter = CountVectorizerModel.from_vocabulary(
+        terms, inputCol="__grams", outputCol="__counts"
+    )
+    found = F.unwrap_udt("__counts")["indices"]
+    rows = (
+        counter.transform(ngrams(df.select(message), message))
+        .select(F.explode(F.concat(found, F.array(F.lit(-1)))).alias("idx"))
+        .groupBy("idx")
+        .count()
+        .collect()
+    )
+    counts = {r["idx"]: r["count"] for r in rows}
+    return [counts.get(i, 0) for i in range(len(terms))], counts.get(-1, 0)
+
+
 def fit_vocabulary(
     df: DataFrame, message: str = "message", max_features: int = TRAINER_TERMS
 ) -> Vocabulary:
-    """Most frequent terms of a corpus; at equal counts the smaller term wins."""
+    """Most frequent terms of a corpus; at equal counts the smaller term wins.
+
+    Three passes with map-side combine: words, pairs of frequent words, document
+    counts of the chosen terms.  Only the first has as many groups as there are
+    words; pairs are bounded by the square of the frequent words.
+    """
+    worded = df.select(tokens(F.col(message)).alias("__words"))
+    words = word_counts(worded)
+    pairs = pair_counts(worded, frequent_words(words, max_features))
     top = (
-        term_counts(df, message)
-        .orderBy(F.desc(F.col("term").isNull()), F.desc("tf"), "term")
-        .limit(max_features + 1)
+        words.unionByName(pairs)
+        .orderBy(F.desc("tf"), "term")
+        .limit(max_features)
         .collect()
     )
-    documents = sum(r["df"] for r in top if r["term"] is None)
-    terms = [r for r in top if r["term"] is not None]
-    if not terms:
+    if not top:
         raise ValueError("no message holds a word: the vocabulary is empty")
-    return Vocabulary.from_rows(terms, documents)
+    terms = sorted((r["term"] for r in top), key=str.encode)
+    doc_counts, documents = document_counts(df, terms, message)
+    return Vocabulary(tuple(terms), tuple(doc_counts), documents)
 
 
 def tfidf(df: DataFrame, vocabulary: Vocabulary, message: str = "message") -> DataFrame:

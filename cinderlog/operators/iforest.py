@@ -175,7 +175,8 @@ class IsolationForestModel(Model):
                 yield pa.array(-np.exp2(-paths / norm))
 
         features = F.col(self.features)
-        return score(features["indices"], features["values"])
+        # Stops the optimizer from copying the call into pushed-down filters.
+        return score.asNondeterministic()(features["indices"], features["values"])
 
     def fit_offset(self, dataset: DataFrame, contamination: float, rows: int) -> float:
         """Score below which the given share of the training rows lies."""

@@ -4,7 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions import text
-from cinderlog.functions.regex import capture, py, strip
+from cinderlog.functions.regex import (
+    SEPARATOR,
+    group_array,
+    packed_groups,
+    py,
+    strip,
+    unpack_groups,
+)
 
 # Log formats, tried in this order, most specific first.
 STANDARD = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})\s+(\w+)\s+\[([^\]]+)\]\s+(.+)$"
@@ -15,55 +22,70 @@ BGL = r"^(-|[A-Z0-9_]+)\s+\d+\s+\d{4}\.\d{2}\.\d{2}\s+\S+\s+\S+\s+(\S+)\s+\S+\s+
 
 MAX_UNPARSED = 0.20
 
+# The generic formats with their groups in the order date, time, level, service, message.
+GENERIC_FORMATS = (
+    (py(STANDARD), (1, 2, 3, 4, 5)),
+    (py(SYSLOG), (1, 2, 4, 3, 5)),
+    (py(SIMPLE, ignore_case=True), (0, 0, 1, 2, 3)),
+)
+
+FIELDS = ("date", "time", "level", "service", "message", "is_parsed")
+
 
 class ParseQualityError(ValueError):
     """A file is empty, or too many of its lines fit no known format."""
 
 
-def _fields(date: Column, time: Column, level: Column, service: Column, message: Column) -> Column:
-    return F.struct(
-        date.alias("date"),
-        time.alias("time"),
-        F.upper(F.coalesce(F.nullif(level, F.lit("")), F.lit("INFO"))).alias("level"),
-        F.coalesce(F.nullif(service, F.lit("")), F.lit("UNKNOWN")).alias("service"),
-        strip(message).alias("message"),
-        F.lit(True).alias("is_parsed"),
+def _groups(
+    df: DataFrame, raw: str, formats: list[tuple[Column, str, tuple[int, ...]]]
+) -> DataFrame:
+    """Add ``__g``, the groups of the format whose condition holds."""
+    line = F.col(raw)
+    packed = groups = None
+    for condition, pattern, order in formats:
+        packed = (F if packed is None else packed).when(
+            condition, packed_groups(line, pattern, order)
+        )
+        groups = (F if groups is None else groups).when(
+            condition, group_array(line, pattern, order)
+        )
+    count = max(len(order) for *_, order in formats)
+    return df.withColumn("__p", packed).withColumn(
+        "__g",
+        F.when(~line.contains(SEPARATOR), unpack_groups(F.col("__p"), count)).otherwise(groups),
     )
 
 
-def generic_fields(raw: Column) -> Column:
-    """Fields of the first matching format; the line itself as message otherwise."""
-    standard = capture(raw, py(STANDARD), 5)
-    syslog = capture(raw, py(SYSLOG), 5)
-    simple = capture(raw, py(SIMPLE, ignore_case=True), 3)
-    empty, none = F.lit(""), F.lit(None).cast("string")
+def generic_fields(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add the fields of the first matching format, the line as message otherwise."""
+    line = F.col(raw)
+    number = None
+    for i, (pattern, _) in enumerate(GENERIC_FORMATS):
+        number = (F if number is None else number).when(line.rlike(pattern), F.lit(i))
+    numbered = lines.withColumn("__format", number)
+    found = _groups(
+        numbered,
+        raw,
+        [(F.col("__format") == i, *f) for i, f in enumerate(GENERIC_FORMATS)],
+    )
+    is_parsed, g = F.col("__format").isNotNull(), F.col("__g")
     unknown = F.lit("UNKNOWN")
-
-    def when_found(groups: Column, fields: Column) -> Column:
-        return F.when(groups.isNotNull(), fields)
-
-    return F.coalesce(
-        when_found(standard, _fields(*[standard[i] for i in range(5)])),
-        when_found(
-            syslog, _fields(syslog[0], syslog[1], syslog[3], syslog[2], syslog[4])
-        ),
-        when_found(simple, _fields(empty, empty, simple[0], simple[1], simple[2])),
-        F.struct(
-            none.alias("date"),
-            none.alias("time"),
-            unknown.alias("level"),
-            unknown.alias("service"),
-            raw.alias("message"),
-            F.lit(False).alias("is_parsed"),
-        ),
+    level = F.upper(F.coalesce(F.nullif(g[2], F.lit("")), F.lit("INFO")))
+    rest = [F.col(c) for c in lines.columns if c not in FIELDS]
+    return found.select(
+        *rest,
+        g[0].alias("date"),
+        g[1].alias("time"),
+        F.when(is_parsed, level).otherwise(unknown).alias("level"),
+        F.coalesce(F.nullif(g[3], F.lit("")), unknown).alias("service"),
+        F.when(is_parsed, strip(g[4])).otherwise(line).alias("message"),
+        is_parsed.alias("is_parsed"),
     )
 
 
 def parse_generic(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``date, time, level, service, message, timestamp, is_parsed``."""
-    fields = lines.withColumn("__f", generic_fields(F.col(raw)))
-    parsed = fields.select(*lines.columns, "__f.*")
-    return parsed.withColumns(
+    return generic_fields(lines, raw).withColumns(
         {
             "level": text.parser_level(F.col("level")),
             "timestamp": F.try_to_timestamp(
@@ -113,8 +135,10 @@ def require_quality(
 
 
 def _captured(lines: DataFrame, raw: str, pattern: str, groups: int) -> DataFrame:
-    found = lines.withColumn("__g", capture(F.col(raw), py(pattern), groups))
-    return found.where(F.col("__g").isNotNull())
+    """Matching lines with their groups; the filter sits right above the scan."""
+    matcher = py(pattern)
+    matching = lines.where(F.col(raw).rlike(matcher))
+    return _groups(matching, raw, [(F.lit(True), matcher, tuple(range(1, groups + 1)))])
 
 
 def parse_hdfs(lines: DataFrame, raw: str = "raw") -> DataFrame:

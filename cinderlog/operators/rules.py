@@ -13,11 +13,19 @@ from cinderlog.functions.risk import RULE_CUTOFF
 
 @dataclass(frozen=True)
 class Rule:
+    """A threat rule.
+
+    ``hints`` are lower-case strings of which every ASCII match holds at least
+    one.  They are optional: plain text search rules most lines out much faster
+    than a case-insensitive alternation.
+    """
+
     name: str
     pattern: str
     threat_type: str
     description: str
     score: float | None
+    hints: tuple[str, ...] = ()
 
 
 # The default rule set, in matching order.
@@ -28,6 +36,7 @@ DEFAULT_RULES = (
         "BruteForce",
         "Repeated failed authentication",
         1.0,
+        ("failed ", "authentication failure", "invalid ", "too many "),
     ),
     Rule(
         "SQLInjection",
@@ -35,6 +44,7 @@ DEFAULT_RULES = (
         "SQLi",
         "SQL or script injection",
         1.0,
+        ("union", "drop", "insert", "'--", "1=1", "xp_cmdshell", "exec", "script>"),
     ),
     Rule(
         "SystemFailure",
@@ -42,6 +52,18 @@ DEFAULT_RULES = (
         "SystemFailure",
         "Critical system fault",
         0.95,
+        (
+            "kernel panic",
+            "out of memory",
+            "oom killer",
+            "segmentation fault",
+            "stack overflow",
+            "fatal error",
+            "system crash",
+            "disk full",
+            "machine check",
+            "uncorrectable",
+        ),
     ),
     Rule(
         "PrivilegeEscalation",
@@ -49,6 +71,14 @@ DEFAULT_RULES = (
         "PrivilegeEscalation",
         "Attempt to gain privileges",
         1.0,
+        (
+            "sudo",
+            "su root",
+            "privilege escalat",
+            "unauthorized access",
+            "permission denied",
+            "setuid",
+        ),
     ),
     Rule(
         "PortScan",
@@ -56,6 +86,7 @@ DEFAULT_RULES = (
         "PortScan",
         "Port scanning",
         0.85,
+        ("port scan", "nmap", "masscan", "syn flood", "connection refused"),
     ),
     Rule(
         "MalwareIndicator",
@@ -63,6 +94,7 @@ DEFAULT_RULES = (
         "Malware",
         "Malware indicator",
         1.0,
+        ("ransomware", "malware", "trojan", "backdoor", "c2", "command", ".exe", "base64"),
     ),
 )
 
@@ -112,6 +144,18 @@ def _outcome(rule: Rule | None) -> Column:
     )
 
 
+def _matches(message: Column, rule: Rule) -> Column:
+    found = message.rlike(py(rule.pattern, ignore_case=True))
+    if not rule.hints:
+        return found
+    # Beyond ASCII other letters fold to these ones, so the hints do not apply.
+    lowered = F.lower(message)
+    possible = F.length(message) != F.octet_length(message)
+    for hint in rule.hints:
+        possible = possible | lowered.contains(hint)
+    return possible & found
+
+
 def rule_outcome(message: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """Struct describing the first rule that matches, or no match at all.
 
@@ -122,8 +166,9 @@ def rule_outcome(message: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Colu
     for start in range(0, len(rules), RULES_PER_CHAIN):
         chain = None
         for rule in rules[start : start + RULES_PER_CHAIN]:
-            hit = message.rlike(py(rule.pattern, ignore_case=True))
-            chain = (F if chain is None else chain).when(hit, _outcome(rule))
+            chain = (F if chain is None else chain).when(
+                _matches(message, rule), _outcome(rule)
+            )
         chains.append(chain)
     return F.coalesce(*chains, _outcome(None))
 
@@ -138,4 +183,4 @@ def match_rules(
 
 def is_short_circuit(score: Column) -> Column:
     """Whether a rule hit settles the line without any model."""
-    return F.coalesce((score != 0) & (score >= RULE_CUTOFF), F.lit(False))
+    return F.coalesce(score >= RULE_CUTOFF, F.lit(False))

@@ -113,10 +113,13 @@ def route_lines(
 
 
 def apply_models(rows: DataFrame, bundle: ModelBundle) -> DataFrame:
-    """Add both models' outputs to rows with a ``features`` struct."""
-    return forest.predict(bundle.iso.transform(rows), bundle.forest, bundle.classes).drop(
-        "rf_probabilities"
-    )
+    """Add both models' outputs to rows with a ``features`` struct.
+
+    The isolation forest comes last: its function is marked non-deterministic, so
+    a filter on a score is not copied below it and no model runs twice.
+    """
+    predicted = forest.predict(rows, bundle.forest, bundle.classes).drop("rf_probabilities")
+    return bundle.iso.transform(predicted)
 
 
 def _served_model_rows(

@@ -26,6 +26,7 @@ def fit_models(
 ):
     """Both forests on a feature table, and the report of the held-out rows.
 
+    The split is stored: fitting a forest reads its rows once per tree level.
     The rare-class merge comes before the contamination only for the classifier;
     merging never turns an anomaly into Normal, so the ratio is the same.
     """
@@ -33,7 +34,7 @@ def fit_models(
     iso = iforest.IsolationForest(
         *key, trees=iso_trees, contamination=contamination, seed=seed
     ).fit(featured)
-    split = prep.split_rows(prep.merge_rare(featured), *key, seed=seed)
+    split = materialize(prep.split_rows(prep.merge_rare(featured), *key, seed=seed), "split")
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     model, classes = forest.fit_forest(train, *key, trees=trees, depth=depth, seed=seed)
     report = forest.evaluate(forest.predict(test, model, classes))

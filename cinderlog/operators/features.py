@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from cinderlog.functions import text
 from cinderlog.functions.ordering import CHUNK, RowOrder
 from cinderlog.functions.regex import py
+from cinderlog.sources.staging import materialize
 
 # The token pattern (greedy, so it needs no word borders), vocabulary sizes and numeric feature names.
 TOKEN = r"\w\w+"
@@ -154,7 +155,8 @@ def fit_vocabulary(
     words; pairs are bounded by the square of the frequent words.
     """
     worded = df.select(tokens(F.col(message)).alias("__words"))
-    words = word_counts(worded)
+    # Read three times below.
+    words = materialize(word_counts(worded), "word-counts")
     pairs = pair_counts(worded, frequent_words(words, max_features))
     top = (
         words.unionByName(pairs)
@@ -189,16 +191,16 @@ def tfidf(df: DataFrame, vocabulary: Vocabulary, message: str = "message") -> Da
             lambda i, tf: (F.lit(1.0) + F.ln(tf)) * idf[i],
         ),
     )
-    normed = weighted.withColumn(
-        "__norm", F.sqrt(F.aggregate("__w", F.lit(0.0), lambda acc, w: acc + w * w))
-    )
-    return normed.withColumn(
+    # Inside a lambda the norm would be summed up anew for every element.
+    length = F.sqrt(F.aggregate("__w", F.lit(0.0), lambda acc, w: acc + w * w))
+    lengths = F.array_repeat(length, F.size("__w"))
+    return weighted.withColumn(
         "tfidf",
         F.struct(
             F.col("__c.indices").alias("indices"),
-            F.transform("__w", lambda w: w / F.col("__norm")).alias("values"),
+            F.zip_with("__w", lengths, lambda w, n: w / n).alias("values"),
         ),
-    ).drop("__grams", "__counts", "__c", "__w", "__norm")
+    ).drop("__grams", "__counts", "__c", "__w")
 
 
 def tfidf_entries(

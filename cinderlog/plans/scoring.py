@@ -185,9 +185,7 @@ def attach_explanations(
         "scored",
     )
     wanted = (
-        rows.where("feature_key IS NOT NULL")
-        .groupBy("feature_key")
-        .agg(F.any_value("model").alias("model"), F.any_value("features").alias("features"))
+        rows.where("feature_key IS NOT NULL").select("feature_key", "model", "features").distinct()
     )
     explained = _union(
         [
@@ -239,7 +237,12 @@ def score_served(
     routed = route_lines(lines, key, set(bundles), rules, raw, given, message)
     if stage:
         branch = F.when(is_short_circuit(F.col("rule.score")), "rule").otherwise(F.col("model"))
-        routed = materialize(routed.withColumn("branch", branch), "routed", "branch")
+        # Without parsing the message is the line itself: no need to store it twice.
+        twice = [] if parse_first else ["message"]
+        stored = routed.withColumn("branch", branch).drop(*twice)
+        routed = materialize(stored, "routed", "branch")
+        if twice:
+            routed = routed.withColumn("message", F.col("raw_log"))
     hits = rule_hits(routed, key)
     if stage:
         hits = rule_hits(routed.where("branch = 'rule'"), key)

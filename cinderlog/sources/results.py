@@ -1,34 +1,50 @@
 """Scored lines on disk, by session."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.functions.ordering import RowOrder, number_rows
 
 
-# Directory names get a prefix so that an id like "007" is never read as a number.
-PREFIX = "s-"
+BUCKETS = 256
 
 
-def write_results(scored: DataFrame, order: RowOrder, path: str, mode: str = "append") -> None:
+def _bucket(session_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(buckets)).cast("int")
+
+
+def write_results(
+    scored: DataFrame,
+    order: RowOrder,
+    path: str,
+    mode: str = "append",
+    buckets: int = BUCKETS,
+) -> None:
     """Store scored lines by session, numbered in line order inside each session.
 
     The dense number turns a page into a range filter that parquet statistics
-    can serve, instead of one sort per page request.
+    can serve, instead of one sort per page request.  Sessions share a bounded
+    number of directories; rebalancing splits the ones a big session fills.
     """
     (
         number_rows(scored, order, group=("session_id",))
-        .withColumn("session", F.concat(F.lit(PREFIX), F.col("session_id")))
-        .sortWithinPartitions("session", "row_no")
+        .withColumn("bucket", _bucket(F.col("session_id"), buckets))
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "session_id", "row_no")
         .write.mode(mode)
-        .partitionBy("session")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
 
-def read_results(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    """Stored results; asking for one session reads that directory only."""
+def read_results(
+    spark: SparkSession, path: str, session_id: str | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """Stored results; one session costs one directory and its row groups."""
     results = spark.read.parquet(path)
     if session_id is not None:
-        results = results.where(F.col("session") == PREFIX + session_id)
-    return results.drop("session")
+        wanted = F.lit(session_id)
+        results = results.where(
+            (F.col("bucket") == _bucket(wanted, buckets)) & (F.col("session_id") == wanted)
+        )
+    return results.drop("bucket")

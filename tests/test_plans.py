@@ -121,3 +121,15 @@ def test_isolation_forest_matches_after_reload(spark, trained):
     again = models.load_bundle(spark, trained[1]["BGL"].path)
     assert isinstance(again.iso, iforest.IsolationForestModel)
     assert again.iso.nodes.equals(trained[1]["BGL"].iso.nodes)
+
+
+def test_arriving_lines_score_like_a_batch(spark, trained, lines, folder):
+    from cinderlog.streaming.scoring import arriving_lines, score_arriving
+
+    lines.select(F.col("raw").alias("value")).write.text(f"{folder}/in")
+    stream = arriving_lines(spark, f"{folder}/in")
+    score_arriving(stream, trained[1], f"{folder}/out", f"{folder}/state", "file").awaitTermination(300)
+    got = spark.read.parquet(f"{folder}/out").select("raw_log", "final_risk_score", "predicted_class")
+    batch = scoring.score_served(lines, trained[1], "line_no")
+    wanted = batch.select("raw_log", "final_risk_score", "predicted_class")
+    assert got.count() == wanted.count() and got.exceptAll(wanted).count() == 0

@@ -67,7 +67,9 @@ def test_results_by_session(spark, folder):
     results.write_results(scored, column_order("line_no", 9), folder, mode="overwrite")
     one = results.read_results(spark, folder, "007")
     assert [r["row_no"] for r in one.orderBy("line_no").collect()] == list(range(1, 35))
-    assert "PartitionFilters: [isnotnull(session" in one._jdf.queryExecution().toString()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert "EqualTo(session_id,007)" in plan
 
 
 def test_missing_models(spark, folder):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import bgl_hour, check, hdfs_hour, hour, mask, routed, rule
-from checks.views import view
+from checks.views import documents, view
 from cinderlog.functions import text
 from cinderlog.functions.ordering import column_order, file_order
 from cinderlog.operators import parse, rules
@@ -473,8 +473,7 @@ def level_codes(spark, d):
     sql=f"SELECT doc_id, md5({mask('text')}) AS masked FROM documents",
 )
 def masked_documents(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.md5(text.mask(F.col("text"))).alias("masked"))
+    return documents(spark, d).select("doc_id", F.md5(text.mask(F.col("text"))).alias("masked"))
 
 
 # Rules -------------------------------------------------------------------------

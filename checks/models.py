@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.lines import BGL, HDFS, _lines
 from checks.registry import check, hour, routed, rule
 from checks.training import _order
-from checks.views import table, view
+from checks.views import documents, table, view
 from cinderlog.functions.ordering import column_order
 from cinderlog.operators import explain, features, forest, iforest, prep
 from cinderlog.plans import retrain, scoring, training
@@ -111,7 +111,7 @@ LABEL_TEXT = "FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 )
 def document_classifier(spark, d):
     """TF-IDF of documents against their quality label."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("message"))
+    docs = documents(spark, d).select("doc_id", F.col("text").alias("message"))
     rows = docs.join(table(spark, d, "labels"), "doc_id").select(
         "doc_id",
         "message",

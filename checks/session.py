@@ -99,7 +99,7 @@ def scored(spark, d):
 
 
 def stats(spark, d):
-    return session.session_stats(scored(spark, d), order())
+    return session.session_stats(scored(spark, d), "line_no")
 
 
 # Risk fusion -------------------------------------------------------------------
@@ -312,7 +312,7 @@ def threat_maps(spark, d):
 
 @check("A4_session_dataset", INPUTS, f"{STATS} SELECT session_id, dataset_routed FROM stats")
 def session_datasets(spark, d):
-    return session.session_dataset(scored(spark, d), order())
+    return session.session_dataset(scored(spark, d), "line_no")
 
 
 @check(
@@ -608,7 +608,7 @@ def session_dashboard(spark, d):
     threats = F.array_sort(
         F.transform(F.map_entries("threat_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     )
-    return session.session_stats(both, order()).select(
+    return session.session_stats(both, "line_no").select(
         "session_id",
         "total_logs",
         "total_anomalies",

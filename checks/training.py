@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.lines import BGL, BGL_LABEL, HDFS, HDFS_LABEL, TRAINER, _g, _lines, respelled
 from checks.registry import bgl_hour, check, hdfs_hour, mask
-from checks.views import table, view
+from checks.views import documents, table, view
 from cinderlog.functions import text
 from cinderlog.functions.ordering import column_order
 from cinderlog.operators import features, forest, parse, prep
@@ -375,7 +375,7 @@ def _masked(spark, d):
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").alias("message"))
+    return documents(spark, d).select("doc_id", F.col("text").alias("message"))
 
 
 @check(

@@ -29,7 +29,7 @@ LAYERED_NUMERIC = ("level_encoded", "time_delta_sec", "hour")
 MAX_DELTA_SECONDS = 3600.0
 
 # Words shipped with a plan to prune pairs; beyond that, pairs are not pruned.
-MAX_PRUNING_WORDS = 20_000
+MAX_PRUNING_WORDS = 5_000
 
 VECTOR_JSON = T.StructType([T.StructField("v", VectorUDT())])
 

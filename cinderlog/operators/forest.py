@@ -2,6 +2,7 @@
 
 import statistics
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
@@ -89,7 +90,12 @@ def fit_forest(
         maxMemoryInMB=1024,
         cacheNodeIds=False,
     )
-    return classifier.fit(frame), classes
+    # The fit passes over its input once for splits and again for bagging.
+    frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return classifier.fit(frame), classes
+    finally:
+        frame.unpersist()
 
 
 def best_class(probabilities: Column, classes: list[str]) -> Column:

@@ -46,26 +46,31 @@ def _count_where(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def session_stats(scored: DataFrame, order: RowOrder) -> DataFrame:
+def session_stats(scored: DataFrame, place: str = "row_no") -> DataFrame:
     """One row per session: totals, average risk, both distributions, dataset.
 
-    Counts by (session, threat) first and by session second: one shuffle of
-    partial sums, and a huge session does not meet in a single task before it is
-    a handful of rows.
+    ``place`` is a line's numeric position, such as the stored row number.
+    Counts by (session, threat, dataset) first and by session second: one shuffle
+    of partial sums, all of them numbers that hash aggregation updates in place,
+    and a huge session is a handful of rows before it meets in a single task.
     """
     risk, level = F.col("final_risk_score"), F.col("risk_level")
-    by_threat = scored.groupBy("session_id", "threat_type").agg(
+    by_threat = scored.groupBy("session_id", "threat_type", "dataset_routed").agg(
         F.count(F.lit(1)).alias("n"),
         _count_where(risk >= ANOMALY_FROM).alias("anomalies"),
         F.sum(risk).alias("risk"),
         *[_count_where(level == name).alias(name) for name in RISK_LEVELS],
-        F.min(F.struct(order.key().alias("k"), "dataset_routed")).alias("first"),
+        F.min(place).alias("place"),
+    )
+    merged = by_threat.groupBy("session_id", "threat_type").agg(
+        *[F.sum(c).alias(c) for c in ("n", "anomalies", "risk", *RISK_LEVELS)],
+        F.min(F.struct("place", "dataset_routed")).alias("first"),
     )
     threat = F.when(
         F.col("threat_type") != "", F.struct(F.col("threat_type"), F.col("n"))
     )
     return (
-        by_threat.groupBy("session_id")
+        merged.groupBy("session_id")
         .agg(
             F.sum("n").alias("total_logs"),
             F.sum("anomalies").alias("total_anomalies"),
@@ -105,10 +110,11 @@ def threat_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def session_dataset(scored: DataFrame, order: RowOrder) -> DataFrame:
+def session_dataset(scored: DataFrame, place: str = "row_no") -> DataFrame:
     """Dataset of a session: that of its first line."""
-    return scored.groupBy("session_id").agg(
-        F.min_by("dataset_routed", order.key()).alias("dataset_routed")
+    firsts = scored.groupBy("session_id", "dataset_routed").agg(F.min(place).alias("place"))
+    return firsts.groupBy("session_id").agg(
+        F.min_by("dataset_routed", "place").alias("dataset_routed")
     )
 
 

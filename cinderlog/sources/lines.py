@@ -92,8 +92,10 @@ def gate_files(
     lines: DataFrame, order: RowOrder, file: str = "file", value: str = "value"
 ) -> DataFrame:
     """One row per file: its first stored line and whether that has a known format."""
+    # Of a scanned file only the first split can hold the first line.
+    starts = lines.where("block_start = 0") if "block_start" in lines.columns else lines
     return (
-        lines.groupBy(file)
+        starts.groupBy(file)
         .agg(F.min_by(value, order.key()).alias("first_line"))
         .withColumn("accepted", known_format(F.col("first_line")))
     )

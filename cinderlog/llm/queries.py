@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import bpe, licenses, neardup, quality, sharding, warc
+from cinderlog.llm import bpe, licenses, neardup, quality, sharding, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,28 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, sf_dir, "documents")).components()
 
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d) e),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s WHERE m.low < w.doc_id),
+b AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM c) e),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p > before + 1 OR before IS NULL) AS n_spans
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM b) e GROUP BY doc_id),
+k AS (SELECT a.doc_id, string_agg(a.h, '' ORDER BY a.p) AS kept
+      FROM (SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS p FROM d) e) a
+      LEFT JOIN b ON a.doc_id = b.doc_id AND a.p = b.p WHERE b.p IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op5_repeated_strings", OP5_SQL)
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS original
            FROM (SELECT page_id, coalesce(html, '') AS h FROM pages) p)

@@ -4,14 +4,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinderlog.llm import bpe, licenses, neardup, quality, sharding, suffixes, warc
+from cinderlog.llm import bpe, decontaminate, licenses, neardup, packing, quality, sharding, suffixes, transcripts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 40
+#: Free in the rank file: closes a text.
+END_ID = 50256
 
 
 def query(name: str, sql: str | None = None):
@@ -88,6 +91,48 @@ def warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: Ways of marking a speaker, one for each transcript: what stands before a message of each role.
+STYLES = (
+    {"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
+    {"system": "Instructions: ", "user": "Human: ", "assistant": "AI: "},
+    {"system": "### System:\n", "user": "### Question:\n", "assistant": "### Answer:\n"},
+    {"system": "Note: ", "user": "Q: ", "assistant": "A: "},
+    {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"},
+)
+
+
+def transcript_parts(conversations: DataFrame) -> DataFrame:
+    """The messages as raw transcripts show them: with a marker of the transcript's style, or now and then with none."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
+    marker = F.lit("")
+    for no, names in enumerate(STYLES):
+        for role, shown in names.items():
+            marker = F.when((style == no) & (F.col("role") == role), F.lit(shown)).otherwise(marker)
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(16)) == 0
+    text = F.when(bare, F.col("text")).otherwise(F.concat(marker, F.coalesce("text", F.lit(""))))
+    return conversations.select("conv_id", "turn", "role", text.alias("text"))
+
+
+@query("op7_transcript_roles")
+def transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on four of five conversations; the roles of all are recovered from the text alone."""
+    parts = transcript_parts(table(spark, sf_dir, "conversations"))
+    held_out = F.pmod(F.xxhash64("conv_id", F.lit("fold")), F.lit(5)) == 0
+    model = transcripts.fit(parts.where(~held_out))
+    return transcripts.parse(parts, model).withColumn("held_out", held_out)
+
+
+@query("op8_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_packed_rows")
+def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_ID)
+
+
 @query("op10_jump_sharding")
 def jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)

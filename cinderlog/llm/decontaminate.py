@@ -211,6 +211,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     )
 
 
+def without_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose text has no passage of the benchmark; rows without an id stay."""
+    leaking = leaks(df, benchmark, key, text).select(F.col(key).alias("__leaks")).distinct()
+    return df.join(leaking, F.col(key).cast("long") == F.col("__leaks"), "left_anti")
+
+
 def _block(rows: DataFrame, chosen: DataFrame, total: int, threshold: float, radius: int) -> DataFrame:
     items = [(r["item"], r["words"]) for r in chosen.orderBy("item").collect()]
     sent = rows.sparkSession.sparkContext.broadcast((items, _frequencies(items), total))

@@ -9,8 +9,8 @@ component can't change the result, so no link between different components is lo
 
 A candidate's sketches are compared batch by batch.  After each batch the pair is dropped
 when the posterior chance of a similarity of at least the threshold is below ``MISS``.
-Survivors are confirmed on their full shingle sets.  With ``BANDS`` bands of ``ROWS``
-values a pair at the threshold shares no band with a chance of 4e-8 at 0.85.
+Survivors are confirmed on their full shingle sets.  Bands are as long as they may be for a
+pair at the threshold to share none with a chance below ``BAND_MISS``.
 
 Definitions: a null or word-free text has no shingles and is linked with nothing; a text
 of fewer words than a shingle is one shingle; rows without an id are linked with nothing
@@ -19,6 +19,7 @@ Only the named columns are read, so further columns can't clash with the results
 """
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -31,10 +32,12 @@ from cinderlog.llm.shingles import WordHashes, shingle_set
 from cinderlog.sources.staging import materialize
 
 SHINGLE = 5
-BANDS, ROWS = 36, 6
-VALUES = BANDS * ROWS
+VALUES = 216
 BATCH = 24
+#: Posterior chance of a link below which a candidate is dropped.
 MISS = 1e-9
+#: Chance that a pair just at the threshold shares no band.
+BAND_MISS = 1e-7
 BLOCK = 2048
 
 
@@ -59,10 +62,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_rows(threshold: float) -> int:
+    """Values in a band: the most with which a pair at the threshold is still found."""
+    return max([1, *(r for r in range(1, 33) if (1 - threshold**r) ** (VALUES // r) <= BAND_MISS)])
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band; the band's number is part of it."""
-    parts = least.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bands = VALUES // rows
+    parts = least[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         for column in parts.T:
             key = (key ^ column) * np.uint64(0xFF51AFD7ED558CCD)
@@ -70,33 +79,33 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(band: int):
     """Size, set digest, band keys and sketch of every text."""
-    from hashlib import blake2b
 
-    words = WordHashes()
-    for batch in batches:
-        sizes, digests, keys, sketches = [], [], [], []
-        for text in batch.column(1):
-            found = shingle_set(words, text.as_py(), SHINGLE)
-            sizes.append(len(found))
-            if not len(found):
-                digests.append(None), keys.append(None), sketches.append(None)
-                continue
-            least = signature(found)
-            digests.append(blake2b(found.tobytes(), digest_size=16).digest())
-            keys.append(band_keys(least))
-            sketches.append((least >> np.uint32(11)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            ["id", "n", "digest", "keys", "sketch"],
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            sizes, digests, keys, sketches = [], [], [], []
+            for text in batch.column(1):
+                found = shingle_set(words, text.as_py(), SHINGLE)
+                sizes.append(len(found))
+                if not len(found):
+                    digests.append(None), keys.append(None), sketches.append(None)
+                    continue
+                least = signature(found)
+                digests.append(blake2b(found.tobytes(), digest_size=16).digest())
+                keys.append(band_keys(least, band))
+                sketches.append((least >> np.uint32(11)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["id", "n", "digest", "keys", "sketch"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle set of every text as sorted 64-bit values."""
-    from hashlib import blake2b
-
     words = WordHashes()
     for batch in batches:
         sets = [shingle_set(words, text.as_py(), SHINGLE).tobytes() for text in batch.column(0)]
@@ -160,6 +169,16 @@ def _confirmed(percent: int):
     return run
 
 
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows without near duplicates: of each component the row with the smallest id.
+
+    Rows with equal id and text are one; rows without an id stay.
+    """
+    kept = NearDuplicates(df, key, text, percent).components().where("kept").select(F.col(key).alias("__kept")).distinct()
+    chosen = df.join(kept, F.col(key).cast("long") == F.col("__kept")).drop("__kept").dropDuplicates([key, text])
+    return chosen.unionByName(df.where(F.col(key).isNull()))
+
+
 class NearDuplicates:
     """Classes, buckets and links of a table of texts; every step is stored once."""
 
@@ -167,7 +186,7 @@ class NearDuplicates:
         self.percent, self.miss, self.key = percent, miss, key
         rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
         schema = "id long, n long, digest binary, keys array<bigint>, sketch binary"
-        self.described = materialize(rows.mapInArrow(_describe, schema), "neardup-described")
+        self.described = materialize(rows.mapInArrow(_describe(band_rows(percent / 100)), schema), "neardup-described")
         known = self.described.where((F.col("n") > 0) & F.col("id").isNotNull())
         classes = known.groupBy("digest").agg(F.min("id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")

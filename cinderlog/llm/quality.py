@@ -96,9 +96,13 @@ def repeated_window_words(words: Column) -> Column:
     return _let(words, count).cast("long")
 
 
-def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row."""
+def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: bool = False) -> DataFrame:
+    """(id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row.
+
+    ``carry`` adds the input row itself as the column ``row``.
+    """
     rows = df.select(
+        F.struct(*[df[c] for c in df.columns]).alias("row") if carry else F.lit(None).alias("row"),
         F.col(key).alias("id"),
         F.col(lang).alias("lang"),
         F.col(source).alias("source"),
@@ -109,7 +113,9 @@ def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", lang
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_window_words(w).alias("n_repeat_words")))
     repeated = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    carried = ["row"] if carry else []
     return rows.select(
+        *carried,
         "id",
         "lang",
         "source",
@@ -117,7 +123,7 @@ def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", lang
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         repeated.cast("long").alias("n_dup_lines"),
-    ).select("id", "lang", "source", "counted.n_words", "word_chars", "n_symbols", "n_dup_lines", "counted.n_repeat_words")
+    ).select(*carried, "id", "lang", "source", "counted.n_words", "word_chars", "n_symbols", "n_dup_lines", "counted.n_repeat_words")
 
 
 def base_failed() -> Column:
@@ -241,26 +247,24 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     return model
 
 
+def _judged(df: DataFrame, key: str, text: str, lang: str, source: str, cut: float, carry: bool) -> DataFrame:
+    """Statistics are worked out once and stored; all steps after that read numbers only."""
+    stats = text_statistics(df, key, text, lang, source, carry)
+    stats = materialize(vectors(stats).withColumn("base_failed", base_failed()), "quality-statistics")
+    model = fit(stats.where(~F.col("base_failed")).select("lang", "source", *STATS))
+    same = F.col("lang").eqNullSafe(F.col("r_lang")) & F.col("source").eqNullSafe(F.col("r_source"))
+    measured = stats.join(model.withColumnsRenamed({"lang": "r_lang", "source": "r_source"}), same, "left")
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
+    return _distance(measured, "distance").withColumn("kept", kept)
+
+
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT) -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) for every row.
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) for every row."""
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = _judged(df, key, text, lang, source, cut, carry=False)
+    return judged.select(F.col("id").alias(key), *counts, "base_failed", "kept", "distance")
 
-    Statistics are worked out once and stored; all steps after that read numbers only.
-    """
-    stats = materialize(vectors(text_statistics(df, key, text, lang, source)).withColumn("base_failed", base_failed()), "quality-statistics")
-    model = fit(stats.where(~F.col("base_failed")))
-    same = F.col("lang").eqNullSafe(F.col("r_lang")) & F.col("source").eqNullSafe(F.col("r_source"))
-    measured = _distance(
-        stats.join(model.withColumnsRenamed({"lang": "r_lang", "source": "r_source"}), same, "left"),
-        "distance",
-    )
-    return measured.select(
-        F.col("id").alias(key),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).alias("kept"),
-        "distance",
-    )
+
+def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cut: float = CUT) -> DataFrame:
+    """The rows that are not rejected, as they were; they travel with their statistics, so none is looked up again."""
+    return _judged(df, key, text, lang, source, cut, carry=True).where("kept").select("row.*")

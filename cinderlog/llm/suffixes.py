@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderlog.sources.staging import materialize
 
@@ -223,9 +224,6 @@ def hash_run(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=8).digest()
 
 
-RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
 def _spans(key: int, firsts, counts, lists) -> list[tuple[int, int]]:
     """Byte spans to remove, from the windows whose smallest id is below the text's own."""
     marks = []
@@ -244,26 +242,26 @@ def _spans(key: int, firsts, counts, lists) -> list[tuple[int, int]]:
     return spans
 
 
-def _remove(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for key, text, found in zip(*(batch.column(i) for i in range(3)), strict=True):
-                data = (text.as_py() or "").encode()
-                runs = found.as_py() or []
-                spans = _spans(key.as_py(), [r["first"] for r in runs], [r["windows"] for r in runs], [r["lows"] for r in runs]) if runs else []
-                at, parts = 0, []
-                for start, end in spans:
-                    parts.append(data[at:start])
-                    at = end
-                kept = b"".join([*parts, data[at:]]) if spans else data
-                for column, value in zip(out, (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            names = ["id", *[c.split()[0] for c in RESULT.split(", ")]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
-
-    return run
+REMOVED = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+
+
+@F.arrow_udf(REMOVED)
+def _removed(ids: pa.Array, texts: pa.Array, found: pa.Array, with_text: pa.Array) -> pa.Array:
+    """What stays of every text."""
+    out: tuple[list, ...] = ([], [], [], [], [])
+    for key, text, runs, wanted in zip(ids, texts, found, with_text, strict=True):
+        data, listed = (text.as_py() or "").encode(), runs.as_py() or []
+        spans = _spans(key.as_py(), *([r[c] for r in listed] for c in ("first", "windows", "lows"))) if listed else []
+        at, parts = 0, []
+        for start, end in spans:
+            parts.append(data[at:start])
+            at = end
+        kept = b"".join([*parts, data[at:]]) if spans else data
+        values = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if wanted.as_py() else None)
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], REMOVED.names)
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
@@ -287,16 +285,29 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
 
 def _code(name: str):
     """The same digest as :func:`hash_run`, by Arrow batches."""
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def code(values: pd.Series) -> pd.Series:
         return values.map(hash_run)
 
     return code(F.col(name))
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row; ``with_text`` adds the bytes that stay as ``kept``."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = repeated_runs(rows)
-    done = rows.join(found, "id", "left").select("id", "text", "found").mapInArrow(_remove(with_text), f"id long, {RESULT}")
-    return done.select(F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
+def _with_removed(df: DataFrame, key: str, text: str, with_text: bool) -> DataFrame:
+    """(row, removed): every input row with what is left of its text."""
+    rows = df.select(F.struct(*[df[c] for c in df.columns if c != text]).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    found = repeated_runs(rows.select("id", "text"))
+    return rows.join(found, "id", "left").select("row", _removed("id", "text", "found", F.lit(with_text)).alias("removed"))
+
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    done = _with_removed(df.select(key, text), key, text, with_text=False)
+    return done.select(f"row.{key}", "removed.n_bytes", "removed.n_removed", "removed.n_spans", "removed.kept_sha256")
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with what is left of their texts; bytes of characters that were cut in two go as well."""
+    done = _with_removed(df, key, text, with_text=True)
+    left = F.try_validate_utf8(F.col("removed.kept").cast("string"))
+    whole = F.coalesce(left, F.replace(F.make_valid_utf8(F.col("removed.kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    return done.select(*[whole.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns])

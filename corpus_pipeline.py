@@ -1,25 +1,53 @@
-"""Raw documents to token ids, in stages that each read what the one before wrote."""
+"""Raw documents to token ids, in stages that each read what the one before wrote.
+
+Rejected documents go; of near duplicates (five-word shingles, similarity of 0.8 or more) the
+one with the smallest id stays; strings of 50 bytes that an earlier document has are cut out;
+documents with a benchmark passage go; what is left is encoded, decoded and described.
+"""
 
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinderlog.llm import bpe
+from cinderlog.llm import bpe, decontaminate, neardup, quality, suffixes
 from cinderlog.sources.staging import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs, percent=80)
+
+
+def own_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts change, and so do their lengths."""
+    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text that is left, with digests of the ids and of what they decode to."""
+    """Ids of every text that is left, as digests of the ids and of what they decode to."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", good_documents),
+    ("near_duplicates", one_of_each_group),
+    ("repeated_strings", own_strings),
+    ("benchmark_leaks", clean_of_benchmark),
     ("byte_pair_codec", token_ids),
 ]
 
+#: The stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 

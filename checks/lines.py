@@ -103,6 +103,67 @@ def admitted_lines(spark, d):
     )
 
 
+GATE_FILES = (("a.log", "log", True), ("b.TXT", "txt", True), ("c.exe", "exe", False), ("d", "", False), ("e.tar.csv", "csv", True))
+
+
+@check(
+    "S2_admitted_and_rejected",
+    "stored_lines",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, '{extension}' AS extension, {str(ok).lower()} AS admitted, "
+        f"count(*) FILTER (WHERE {str(ok).lower()} AND {TRIMMED} <> '') AS lines FROM stored_lines WHERE line_no % 5 = {i}"
+        for i, (name, extension, ok) in enumerate(GATE_FILES)
+    ),
+)
+def admitted_and_rejected(spark, d):
+    """Files of several names: the listing's verdicts, and the lines that reading then gives."""
+    path = staging.new_path(spark, "gate")
+    stored = view(spark, d, "stored_lines")
+    for i, (name, _, _) in enumerate(GATE_FILES):
+        part = stored.where(F.col("line_no") % 5 == i).orderBy("line_no").select("value").coalesce(1)
+        part.write.text(f"{path}/{i}")
+        _rename_part(spark, f"{path}/{i}", name)
+    base = F.element_at(F.split("file", "/"), -1)
+    read = lines.read_log_lines(spark, path).groupBy(base.alias("read_name")).agg(F.count(F.lit(1)).alias("lines"))
+    files = lines.admit_files(spark, path).where(base.isin(*[n for n, _, _ in GATE_FILES])).select(base.alias("name"), "extension", "admitted")
+    return files.join(read, F.col("name") == F.col("read_name"), "left").select(
+        "name", "extension", "admitted", F.coalesce("lines", F.lit(0)).cast("long").alias("lines")
+    )
+
+
+def _rename_part(spark, folder: str, name: str) -> None:
+    """Give a folder's only part file another name, through the file system that Spark writes to."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in system.listStatus(root) if f.getPath().getName().startswith("part-"))
+    system.rename(part, jvm.org.apache.hadoop.fs.Path(root, name))
+
+
+@check(
+    "S7_rejected_corrections",
+    "corrections_json",
+    """
+    WITH cut AS (SELECT payload_id, CASE CAST(payload_id % 4 AS INT) WHEN 0 THEN substr(payload, 1, length(payload) - 3)
+        WHEN 1 THEN substr(payload, 2, length(payload) - 2) ELSE payload END AS payload FROM corrections_json),
+    items AS (SELECT payload_id, unnest(CAST(payload AS JSON[])) AS item FROM cut WHERE payload_id % 4 > 1)
+    SELECT payload_id, CASE payload_id % 4 WHEN 0 THEN 'cut short' ELSE 'not a list' END AS reason FROM cut WHERE payload_id % 4 <= 1
+    UNION ALL SELECT payload_id, 'no raw line' FROM items
+      WHERE coalesce(nullif(item->>'rawLog', ''), nullif(item->>'raw_log', ''), nullif(item->>'RawLog', '')) IS NULL
+    """,
+)
+def rejected_corrections(spark, d):
+    """Payloads cut short, single objects instead of lists, and items without a raw line."""
+    given = view(spark, d, "corrections_json")
+    n, kind = F.length("payload"), F.col("payload_id") % 4
+    damaged = (
+        F.when(kind == 0, F.substr("payload", F.lit(1), n - 3))
+        .when(kind == 1, F.substr("payload", F.lit(2), n - 2))
+        .otherwise(F.col("payload"))
+    )
+    return corrections.rejected_corrections(given.withColumn("payload", damaged)).select("payload_id", "reason")
+
+
 @check(
     "S3_gate_lines",
     "stored_lines",

@@ -4,13 +4,16 @@ Fitted values depend on random forests, so the SQL of these queries covers what
 does not: sample sizes, routes, rule rows, ranges, counts.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.lines import BGL, HDFS, _lines
 from checks.registry import check, hour, routed, rule
 from checks.training import _order
 from checks.views import documents, table, view
+from cinderlog.functions import text
 from cinderlog.functions.ordering import column_order
+from cinderlog.functions.quantile import exact_quantiles
 from cinderlog.operators import explain, features, forest, iforest, prep
 from cinderlog.plans import retrain, scoring, training
 from cinderlog.sources import corrections, models, staging
@@ -353,10 +356,44 @@ def retrained(spark, d):
     )
 
 
-@check("M12_published_versions", sql=None)
+SHARES = (0.0, 0.01, 0.05, 0.37, 0.5, 0.999, 1.0)
+
+
+@check(
+    "M3_exact_quantiles",
+    "model_out",
+    " UNION ALL ".join(
+        f"SELECT CAST({s} AS DOUBLE) AS share, quantile_cont(iso_decision + line_no * CAST(1e-7 AS DOUBLE), {s}) AS value FROM model_out" for s in SHARES
+    ),
+)
+def score_quantiles(spark, d):
+    """Quantiles of scores that hardly ever repeat, by narrowing bins."""
+    value = F.col("iso_decision") + F.col("line_no") * F.lit(1e-7)
+    found = exact_quantiles(view(spark, d, "model_out"), value, list(SHARES))
+    return spark.createDataFrame(list(zip(SHARES, found, strict=True)), "share double, value double")
+
+
+@check(
+    "M12_published_versions",
+    "log_lines",
+    f"""
+    SELECT dataset, CAST(place AS BIGINT) AS sequence, version, place = 3 AS current
+    FROM (SELECT DISTINCT {routed('raw')} AS dataset FROM log_lines) d,
+      (VALUES (1, 'first'), (2, 'second'), (3, 'first')) v(place, version)
+    """,
+)
 def published_versions(spark, d):
-    root, _, _, _ = trained(spark, d)
-    return models.published_versions(spark, root).select("dataset", "sequence")
+    """Two versions of every dataset in the lines are published, then the first one again."""
+    root = staging.new_path(spark, "published")
+    routes = view(spark, d, "log_lines").select(text.route_dataset(F.col("raw")).alias("dataset")).distinct().collect()
+    for route in routes:
+        for version in ("first", "second", "first"):
+            models.point_to(spark, root, route["dataset"], version)
+    log = models.published_versions(spark, root)
+    now = {r["dataset"]: models.current_version(spark, root, r["dataset"]) for r in routes}
+    last = F.col("sequence") == F.max("sequence").over(Window.partitionBy("dataset"))
+    current = F.create_map(*[F.lit(x) for pair in now.items() for x in pair])[F.col("dataset")]
+    return log.select("dataset", "sequence", "version", (last & (F.col("version") == current)).alias("current"))
 
 
 @check(

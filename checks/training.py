@@ -6,7 +6,7 @@ from checks.lines import BGL, BGL_LABEL, HDFS, HDFS_LABEL, TRAINER, _g, _lines,
 from checks.registry import bgl_hour, check, hdfs_hour, mask
 from checks.views import documents, table, view
 from cinderlog.functions import text
-from cinderlog.functions.ordering import column_order
+from cinderlog.functions.ordering import RowOrder, column_order, number_rows
 from cinderlog.operators import features, forest, parse, prep
 from cinderlog.plans import retrain
 from cinderlog.sources import corrections, staging, training
@@ -118,6 +118,37 @@ def conversation_repeats(spark, d):
     return prep.limit_repeats(turns, order, "BGL", limit).select("conv_id", "turn", "role")
 
 
+LIMITS = prep.Limits(300, 200, {"HDFS": 40, "BGL": 20}, {"SystemFailure": 30, "AppError": 25}, 7)
+
+
+def _limited(dataset: str) -> str:
+    """Training rows of one dataset under ``LIMITS``, from the labelled rows."""
+    repeats = " ".join(f"WHEN '{k}' THEN {v}" for k, v in {"Normal": LIMITS.normal_repeats[dataset], **LIMITS.label_repeats}.items())
+    return f"""SELECT '{dataset}' AS dataset, line_no, label, message FROM (
+      SELECT *, row_number() OVER (PARTITION BY label, message ORDER BY line_no) AS again FROM (
+        SELECT *, row_number() OVER (PARTITION BY label = 'Normal' ORDER BY line_no) AS place FROM {dataset.lower()}_rows) p
+      WHERE place <= CASE WHEN label = 'Normal' THEN {LIMITS.normal} ELSE {LIMITS.anomalous} END) c
+    WHERE again <= CASE label {repeats} ELSE {LIMITS.other_repeats} END"""
+
+
+@check(
+    "D3_prepared_with_limits",
+    "log_lines",
+    f"""WITH {LABELLED}, bgl_rows AS (SELECT line_no, label, message FROM rows),
+    hdfs_rows AS (SELECT line_no, message, CASE WHEN label = 'Normal' AND {unit('42-pick', 'line_no')} < 0.05 THEN 'TemporalAnomaly' ELSE label END AS label FROM hdfs)
+    {_limited('BGL')} UNION ALL {_limited('HDFS')}
+    """,
+)
+def prepared(spark, d):
+    """Both training tables under limits of the caller's."""
+    lines = _lines(spark, d).select("line_no", "raw")
+    tables = [
+        prep.prepare(lines, dataset, _order(), "line_no", seed=SEED, limits=LIMITS).withColumn("dataset", F.lit(dataset))
+        for dataset in ("BGL", "HDFS")
+    ]
+    return tables[0].unionByName(tables[1]).select("dataset", "line_no", "label", "message")
+
+
 @check(
     "D4_shuffle_rows",
     "log_lines",
@@ -126,12 +157,15 @@ def conversation_repeats(spark, d):
     """,
 )
 def shuffled(spark, d):
-    """Place of every row in the seeded order, by two-phase numbering."""
-    from cinderlog.functions.ordering import hash_order, number_rows
-
-    return number_rows(rows(spark, d), hash_order(SEED, "line_no", prefix=2), name="place").select(
-        "line_no", "place"
+    """Place of every row in the order that the shuffle gives, file by file of its stored result."""
+    stored = staging.materialize(prep.shuffle_rows(rows(spark, d), "line_no", seed=SEED), "shuffled")
+    placed = stored.select(
+        "line_no",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
     )
+    order = RowOrder(F.col("file"), F.col("row"))
+    return number_rows(placed, order, name="place").select("line_no", F.col("place"))
 
 
 @check(

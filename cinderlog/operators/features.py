@@ -28,9 +28,6 @@ SERVED_NUMERIC = ("level_encoded", "log_hour")
 LAYERED_NUMERIC = ("level_encoded", "time_delta_sec", "hour")
 MAX_DELTA_SECONDS = 3600.0
 
-# Words shipped with a plan to prune pairs; beyond that, pairs are not pruned.
-MAX_PRUNING_WORDS = 5_000
-
 VECTOR_JSON = T.StructType([T.StructField("v", VectorUDT())])
 
 
@@ -98,13 +95,14 @@ def frequent_words(counts: DataFrame, max_features: int) -> list[str] | None:
 
     A pair of words is never more frequent than either word.  So once
     ``max_features`` words reach some count, no term below that count is kept,
-    and a pair with a rarer word need not even be built.
+    and a pair with a rarer word need not even be built.  The list is as long as the
+    vocabulary, plus the words that tie with its last one.
     """
     top = counts.orderBy(F.desc("tf"), "term").limit(max_features).collect()
     if len(top) < max_features:
         return None
-    reached = counts.where(F.col("tf") >= top[-1]["tf"]).limit(MAX_PRUNING_WORDS + 1).collect()
-    return [r["term"] for r in reached] if len(reached) <= MAX_PRUNING_WORDS else None
+    reached = counts.where(F.col("tf") >= top[-1]["tf"])
+    return [r["term"] for r in reached.select("term").collect()]
 
 
 def pair_counts(worded: DataFrame, frequent: list[str] | None, words: str = "__words") -> DataFrame:

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions.ordering import hash_order, number_rows
 from cinderlog.operators.features import as_vector
+from cinderlog.sources.staging import materialize
 
 # Forest settings.
 TREES = 200
 DEPTH = 15
 SEED = 42
 FOLDS = 5
+# Bagging depends on where rows lie, so the layout is a setting, not a matter of size.
+PARTITIONS = 64
 
 MAX_CLASSES = 1000
 
@@ -54,7 +57,7 @@ def fit_forest(
     trees: int = TREES,
     depth: int = DEPTH,
     seed: int = SEED,
-    partitions: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> tuple[RandomForestClassificationModel, list[str]]:
     """Fitted forest and its classes in index (alphabetical) order.
 
@@ -67,8 +70,6 @@ def fit_forest(
     classes = [w["label"] for w in weights]
     index = {name: float(i) for i, name in enumerate(classes)}
     balance = {w["label"]: w["weight"] for w in weights}
-    total = sum(w["rows"] for w in weights)
-    n = partitions or max(8, total // 100_000)
     frame = (
         rows.select(
             *key,
@@ -76,7 +77,7 @@ def fit_forest(
             _lookup(F.col(label), index).alias("target"),
             _lookup(F.col(label), balance).alias("weight"),
         )
-        .repartition(n, *key)
+        .repartition(partitions, *key)
         .sortWithinPartitions(*key)
     )
     classifier = RandomForestClassifier(
@@ -220,7 +221,7 @@ def cross_validate(
     rows: DataFrame, *key: str, folds: int = FOLDS, seed: int = SEED, **settings
 ) -> tuple[float, float]:
     """Mean and population deviation of the weighted F1 over stratified folds."""
-    folded = fold_rows(rows, *key, folds=folds, seed=seed)
+    folded = materialize(fold_rows(rows, *key, folds=folds, seed=seed), "folds")
     scores = []
     for fold in range(folds):
         model, classes = fit_forest(

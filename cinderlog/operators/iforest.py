@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 import pyspark.cloudpickle as cloudpickle
 from cinderlog.functions import kernels
 from cinderlog.functions.hashing import digest, hash_unit
+from cinderlog.functions.quantile import exact_quantiles
+from cinderlog.sources.staging import materialize
 
 cloudpickle.register_pickle_by_value(kernels)
 
@@ -27,8 +29,6 @@ CLASS_CONTAMINATION = 0.05
 MAX_SAMPLE = 256
 SEED = 42
 
-# Rows up to which the score quantile is computed exactly.
-EXACT_QUANTILE_ROWS = 10_000_000
 OVERSAMPLING = 2
 
 NODE_SCHEMA = (
@@ -92,20 +92,16 @@ class IsolationForest(Estimator):
             F.col(self.features)["indices"].alias("indices"),
             F.col(self.features)["values"].alias("values"),
         )
-        if rows > wanted:
-            # Many rows: a thin hash sample, each row given to one tree.
-            picked = coded.where(hash_unit("row", F.col("code")) < wanted / rows)
-            drawn = picked.withColumn(
-                "tree", F.floor(hash_unit("tree", F.col("code")) * self.trees).cast("int")
-            )
-        else:
-            share = min(1.0, OVERSAMPLING * sample / rows)
-            cut = int(share * (1 << 30))
-            joins = F.filter(
-                F.sequence(F.lit(0), F.lit(self.trees - 1)),
-                lambda t: F.pmod(F.xxhash64("code", t), F.lit(1 << 30)) < cut,
-            )
-            drawn = coded.select("*", F.explode(joins).alias("tree"))
+        # One rule at any size: thin the rows by hash, then let every tree draw its own.
+        thin = min(1.0, wanted / rows)
+        picked = coded.where(hash_unit("row", F.col("code")) < thin)
+        share = min(1.0, OVERSAMPLING * sample / (rows * thin))
+        cut = int(share * (1 << 30))
+        joins = F.filter(
+            F.sequence(F.lit(0), F.lit(self.trees - 1)),
+            lambda t: F.pmod(F.xxhash64("code", t), F.lit(1 << 30)) < cut,
+        )
+        drawn = picked.select("*", F.explode(joins).alias("tree"))
         by_tree = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "code"), "code")
         return drawn.withColumn("__rn", F.row_number().over(by_tree)).where(
             F.col("__rn") <= sample
@@ -125,7 +121,7 @@ class IsolationForest(Estimator):
         # At most trees x (2 x 256 - 1) nodes.
         table = nodes.orderBy("tree", "node").toPandas()
         model = IsolationForestModel(table, sample, size, 0.0, self.features)
-        return model.with_offset(model.fit_offset(dataset, self.contamination, rows))
+        return model.with_offset(model.fit_offset(dataset, self.contamination))
 
 
 class IsolationForestModel(Model):
@@ -178,14 +174,10 @@ class IsolationForestModel(Model):
         # Stops the optimizer from copying the call into pushed-down filters.
         return score.asNondeterministic()(features["indices"], features["values"])
 
-    def fit_offset(self, dataset: DataFrame, contamination: float, rows: int) -> float:
-        """Score below which the given share of the training rows lies."""
-        scores = dataset.select(self.score().alias("s"))
-        if rows <= EXACT_QUANTILE_ROWS:
-            quantile = F.percentile("s", F.lit(contamination))
-        else:
-            quantile = F.approx_percentile("s", F.lit(contamination), F.lit(1_000_000))
-        return float(scores.agg(quantile).first()[0])
+    def fit_offset(self, dataset: DataFrame, contamination: float) -> float:
+        """Score below which the given share of the training rows lies; scores are stored, not worked out for each pass."""
+        scores = materialize(dataset.select(self.score().alias("s")), "iso-scores")
+        return float(exact_quantiles(scores, F.col("s"), [contamination])[0])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Add ``if_decision`` and ``if_prediction`` (-1 odd, 1 usual)."""

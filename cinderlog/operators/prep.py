@@ -1,5 +1,7 @@
 """Training-set preparation: labels, augmentation, caps, dedup, splits, samples."""
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from cinderlog.functions.ordering import (
 )
 from cinderlog.operators import parse
 from cinderlog.schemas import NORMAL
+from cinderlog.sources.staging import materialize
 
 SEED = 42
 TEMPORAL = "TemporalAnomaly"
@@ -87,11 +90,22 @@ def cap_classes(
     return first_n(sided, order, cap, group=("__normal",)).drop("__normal")
 
 
-def repeat_limit(label: Column, dataset: str) -> Column:
-    limit = F.when(label == NORMAL, F.lit(NORMAL_REPEATS[dataset]))
-    for name, repeats in LABEL_REPEATS.items():
+@dataclass(frozen=True)
+class Limits:
+    """How many labelled rows a fit takes: caps of both sides, and repeats of a message by label."""
+
+    normal: int = NORMAL_CAP
+    anomalous: int = ANOMALY_CAP
+    normal_repeats: dict[str, int] = field(default_factory=lambda: dict(NORMAL_REPEATS))
+    label_repeats: dict[str, int] = field(default_factory=lambda: dict(LABEL_REPEATS))
+    other_repeats: int = OTHER_REPEATS
+
+
+def repeat_limit(label: Column, dataset: str, limits: Limits = Limits()) -> Column:
+    limit = F.when(label == NORMAL, F.lit(limits.normal_repeats[dataset]))
+    for name, repeats in limits.label_repeats.items():
         limit = limit.when(label == name, F.lit(repeats))
-    return limit.otherwise(F.lit(OTHER_REPEATS))
+    return limit.otherwise(F.lit(limits.other_repeats))
 
 
 def limit_repeats(
@@ -246,8 +260,21 @@ def combine_training(
 
 
 def prepare(
-    lines: DataFrame, dataset: str, order: RowOrder, *key: str, raw: str = "raw", seed: int = SEED
+    lines: DataFrame,
+    dataset: str,
+    order: RowOrder,
+    *key: str,
+    raw: str = "raw",
+    seed: int = SEED,
+    limits: Limits = Limits(),
 ) -> DataFrame:
-    """Training table of one dataset, from raw lines to limited repeats."""
-    labelled = augment_temporal(label_lines(lines, dataset, raw), *key, seed=seed)
-    return limit_repeats(cap_classes(labelled, order), order, dataset)
+    """Training table of one dataset, from raw lines to limited repeats.
+
+    The labelled rows are stored once: both limits read them twice, and parsing and
+    masking the text is the dear part.
+    """
+    labelled = materialize(
+        augment_temporal(label_lines(lines, dataset, raw), *key, seed=seed), f"labelled-{dataset}"
+    )
+    capped = cap_classes(labelled, order, limits.normal, limits.anomalous)
+    return limit_repeats(capped, order, dataset, repeat_limit(F.col("label"), dataset, limits))

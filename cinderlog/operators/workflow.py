@@ -267,9 +267,10 @@ def _latest(value: Column, when: Column) -> Column:
 def fold_actions(actions: DataFrame, actions_per_chunk: int = 1 << 16) -> DataFrame:
     """Net effect of an action log on every feedback it names.
 
-    Folds in two steps, chunk by chunk and then over chunks, so the actions on
-    one busy feedback never meet in a single task.  Only notes after the last
-    accepted correction survive, because a correction replaces the notes.
+    A correction replaces the notes, so the last accepted one of every feedback is found
+    first and older notes are dropped before any notes meet.  The rest folds in two steps,
+    chunk by chunk and then over chunks, so the actions on one busy feedback never meet in
+    a single task.
     """
     action = F.col("action")
     corrects = (action == "correct") & valid_correction_label(F.col("label"))
@@ -284,7 +285,13 @@ def fold_actions(actions: DataFrame, actions_per_chunk: int = 1 << 16) -> DataFr
     note = F.concat(
         F.lit("\n\n["), stamp, F.lit(" - Update]: "), F.coalesce("notes", F.lit(""))
     )
-    prepared = actions.select(
+    replaced = actions.where(corrects).groupBy(F.col("feedback_id").alias("corrected")).agg(
+        F.max("action_id").alias("replaced_at")
+    )
+    living = F.col("replaced_at").isNull() | (F.col("action_id") > F.col("replaced_at"))
+    prepared = actions.join(
+        replaced, F.col("feedback_id") == F.col("corrected"), "left"
+    ).select(
         "feedback_id",
         F.floor(F.col("action_id") / actions_per_chunk).alias("chunk"),
         "action_id",
@@ -295,33 +302,24 @@ def fold_actions(actions: DataFrame, actions_per_chunk: int = 1 << 16) -> DataFr
         F.when(corrects, F.struct("action_id", "label", "notes")).alias("correction"),
         F.when(action == "resolve", F.struct("action_id", "acted_at", "notes")).alias("resolution"),
         F.when(action == "claim", F.struct("action_id", "actor_id")).alias("claim"),
-        F.when(action == "note", F.struct("action_id", note.alias("text"))).alias("note"),
+        F.when((action == "note") & living, F.struct("action_id", note.alias("text"))).alias("note"),
     )
     latest = ("plain", "with_case", "correction", "resolution", "claim")
     chunks = prepared.groupBy("feedback_id", "chunk").agg(
         *[F.max_by(c, F.col(f"{c}.action_id")).alias(c) for c in latest],
         F.array_sort(F.collect_list("note")).alias("notes"),
     )
-    kept = F.filter(
-        "notes",
-        lambda n: n["action_id"] > F.coalesce(F.col("correction.action_id"), F.lit(-1)),
-    )
     pieces = chunks.withColumn(
-        "piece", F.concat_ws("", F.transform(kept, lambda n: n["text"]))
+        "piece", F.concat_ws("", F.transform("notes", lambda n: n["text"]))
     )
     folded = pieces.groupBy("feedback_id").agg(
         *[F.max_by(c, F.col(f"{c}.action_id")).alias(c) for c in latest],
-        F.max(F.when(F.col("correction").isNotNull(), F.col("chunk"))).alias("from_chunk"),
         F.array_sort(F.collect_list(F.struct("chunk", "piece"))).alias("pieces"),
     )
-    living = F.filter(
-        "pieces",
-        lambda p: F.col("from_chunk").isNull() | (p["chunk"] >= F.col("from_chunk")),
-    )
     return folded.select(
         "feedback_id",
         *latest,
-        F.concat_ws("", F.transform(living, lambda p: p["piece"])).alias("appended"),
+        F.concat_ws("", F.transform("pieces", lambda p: p["piece"])).alias("appended"),
     )
 
 

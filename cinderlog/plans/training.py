@@ -70,11 +70,12 @@ def train_lines(
     *key: str,
     raw: str = "raw",
     seed: int = prep.SEED,
+    limits: prep.Limits = prep.Limits(),
     **settings,
 ) -> tuple[ModelBundle, DataFrame, DataFrame]:
     """Whole trainer: prepare, store, fit. Returns bundle, report, training table."""
     rows = materialize(
-        prep.prepare(lines, dataset, order, *key, raw=raw, seed=seed), f"train-{dataset}"
+        prep.prepare(lines, dataset, order, *key, raw=raw, seed=seed, limits=limits), f"train-{dataset}"
     )
     bundle, report = train_rows(rows, dataset, *key, seed=seed, **settings)
     return bundle, report, rows

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.functions.regex import strip
 from cinderlog.schemas import CORRECTIONS_JSON, NORMAL
 
 # Key spellings in order of preference.
@@ -11,20 +12,42 @@ LABEL_KEYS = ("proposedLabel", "proposed_label", "ProposedLabel")
 
 
 def _first_filled(item: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(item[k], F.lit("")) for k in keys])
+    return F.coalesce(*[F.when(strip(item[k]) != "", item[k]) for k in keys])
 
 
-def read_corrections(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per correction with a raw line: ``raw_log`` and ``proposed_label``."""
+def judge_corrections(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per correction, and one per payload that holds none, with a reason if it is rejected.
+
+    A list that was cut short, or a payload that is no list, is rejected as a whole; an item
+    without a raw line alone.
+    """
     rest = [c for c in payloads.columns if c != payload]
+    text = strip(F.coalesce(F.col(payload), F.lit("")))
     items = payloads.select(
         *rest,
-        F.posexplode(F.from_json(payload, CORRECTIONS_JSON)).alias("item_no", "item"),
+        F.when(~text.startswith("["), "not a list").when(~text.endswith("]"), "cut short").alias("__fault"),
+        F.from_json(payload, CORRECTIONS_JSON).alias("__items"),
     )
+    fault = F.coalesce("__fault", F.when(F.col("__items").isNull(), "no valid JSON"))
+    sound = items.select(*rest, fault.alias("__fault"), F.when(fault.isNull(), F.col("__items")).alias("__items"))
+    each = sound.select(*rest, "__fault", F.posexplode_outer("__items").alias("item_no", "item"))
     item = F.col("item")
-    return items.select(
+    raw = _first_filled(item, RAW_KEYS)
+    return each.where(F.col("__fault").isNotNull() | F.col("item").isNotNull()).select(
         *rest,
         "item_no",
-        _first_filled(item, RAW_KEYS).alias("raw_log"),
+        raw.alias("raw_log"),
         F.coalesce(_first_filled(item, LABEL_KEYS), F.lit(NORMAL)).alias("proposed_label"),
-    ).where(F.col("raw_log").isNotNull())
+        F.coalesce("__fault", F.when(raw.isNull(), "no raw line")).alias("reason"),
+    )
+
+
+def read_corrections(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per correction with a raw line: ``raw_log`` and ``proposed_label``."""
+    return judge_corrections(payloads, payload).where(F.col("reason").isNull()).drop("reason")
+
+
+def rejected_corrections(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """What :func:`read_corrections` leaves out, with the reason."""
+    judged = judge_corrections(payloads, payload).where(F.col("reason").isNotNull())
+    return judged.drop("raw_log", "proposed_label")

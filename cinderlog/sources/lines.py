@@ -9,18 +9,34 @@ from cinderlog.functions.regex import strip
 
 # What may be uploaded.
 EXTENSIONS = ("log", "txt", "csv")
-MAX_FILE_BYTES = 50 * 1024 * 1024
+UPLOAD_BYTES = 50 * 1024 * 1024
 
 TEXT = StructType([StructField("value", StringType())])
 NO_CAP = "None"
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Every line as stored, with its order key and its file's size."""
+def _extension(file: Column) -> Column:
+    name = F.element_at(F.split(file, "/"), -1)
+    return F.lower(F.regexp_extract(name, r"^\.*[^.].*\.([^.]*)$", 1))
+
+
+def _admitted(file: Column, size: Column, max_bytes: int | None) -> Column:
+    """Whether a file may be analysed, by its name and size."""
+    known = _extension(file).isin(*EXTENSIONS)
+    return known if max_bytes is None else known & (size <= max_bytes)
+
+
+def scan_lines(spark: SparkSession, paths: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """Every line of the admitted files as stored, with its order key and its file's size.
+
+    The test reads file names and sizes only, so other files are never opened.
+    """
+    size = F.col("_metadata.file_size")
     return (
         spark.read.schema(TEXT)
         .option("recursiveFileLookup", "true")
         .text(paths)
+        .where(_admitted(F.col("_metadata.file_path"), size, max_bytes))
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_size").alias("file_size"),
@@ -43,9 +59,13 @@ def clean_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_log_lines(
-    spark: SparkSession, paths: str | list[str], max_lines: int | str | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    max_lines: int | str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    lines = clean_lines(scan_lines(spark, paths)).drop("file_size")
+    """Clean, non-blank lines of the admitted files; :func:`admit_files` lists the others."""
+    lines = clean_lines(scan_lines(spark, paths, max_bytes)).drop("file_size")
     return cap_lines(lines, file_order(), max_lines)
 
 
@@ -59,11 +79,12 @@ def cap_lines(
 
 
 def admit_files(
-    spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, paths: str | list[str], max_bytes: int | None = None
 ) -> DataFrame:
     """One row per file: extension, size, and whether it may be analysed.
 
-    Reads the listing only, never a file's content.
+    Reads the listing only, never a file's content.  ``UPLOAD_BYTES`` is the limit for
+    files that come in by hand; stored collections have none.
     """
     files = (
         spark.read.format("binaryFile")
@@ -71,12 +92,11 @@ def admit_files(
         .load(paths)
         .select(F.col("path").alias("file"), F.col("length").alias("file_size"))
     )
-    name = F.element_at(F.split("file", "/"), -1)
-    return files.withColumn(
-        "extension", F.lower(F.regexp_extract(name, r"^\.*[^.].*\.([^.]*)$", 1))
-    ).withColumn(
-        "admitted",
-        F.col("extension").isin(*EXTENSIONS) & (F.col("file_size") <= max_bytes),
+    return files.withColumns(
+        {
+            "extension": _extension(F.col("file")),
+            "admitted": _admitted(F.col("file"), F.col("file_size"), max_bytes),
+        }
     )
 
 

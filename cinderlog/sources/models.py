@@ -5,14 +5,14 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlog.operators.explain import Explainer, read_nodes
 from cinderlog.operators.features import LAYERED_NUMERIC, SERVED_NUMERIC, Vocabulary
 from cinderlog.operators.iforest import IsolationForestModel
 
-PUBLISHED = "dataset string, version string, published_at timestamp, sequence long"
+PUBLISHED = "dataset string, version string, published_at timestamp, entry string"
 NUMERIC = {"served": SERVED_NUMERIC, "layered": LAYERED_NUMERIC}
 
 
@@ -90,34 +90,31 @@ def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
 
 
 def published_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The log of published versions, numbered by time; entries of one instant by their own key."""
     try:
-        return spark.read.schema(PUBLISHED).parquet(f"{root}/published")
+        log = spark.read.schema(PUBLISHED).parquet(f"{root}/published")
     except AnalysisException:
-        return spark.createDataFrame([], PUBLISHED)
+        log = spark.createDataFrame([], PUBLISHED)
+    by_time = Window.partitionBy("dataset").orderBy("published_at", "entry")
+    return log.withColumn("sequence", F.row_number().over(by_time).cast("long"))
 
 
 def current_version(spark: SparkSession, root: str, dataset: str) -> str | None:
     row = (
         published_versions(spark, root)
         .where(F.col("dataset") == dataset)
-        .agg(F.max_by("version", F.struct("sequence", "published_at")).alias("version"))
+        .agg(F.max_by("version", "sequence").alias("version"))
         .first()
     )
     return row["version"]
 
 
 def point_to(spark: SparkSession, root: str, dataset: str, version: str) -> None:
-    """Make a stored version the current one: one appended row."""
-    last = (
-        published_versions(spark, root)
-        .where(F.col("dataset") == dataset)
-        .agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s"))
-        .first()["s"]
-    )
+    """Make a stored version the current one: one appended row, without reading what is there."""
     row = spark.createDataFrame(
-        [(dataset, version, last + 1)], "dataset string, version string, sequence long"
+        [(dataset, version, uuid.uuid4().hex)], "dataset string, version string, entry string"
     ).withColumn("published_at", F.current_timestamp())
-    row.select("dataset", "version", "published_at", "sequence").coalesce(1).write.mode(
+    row.select("dataset", "version", "published_at", "entry").coalesce(1).write.mode(
         "append"
     ).parquet(f"{root}/published")
 

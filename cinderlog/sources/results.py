@@ -1,5 +1,6 @@
 """Scored lines on disk, by session."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,17 @@ def _bucket(session_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(session_id), F.lit(buckets)).cast("int")
 
 
+def _stored_sessions(scored: DataFrame, path: str, buckets: int) -> list[str]:
+    """Some of the sessions that the path has already."""
+    try:
+        stored = scored.sparkSession.read.parquet(path)
+    except AnalysisException:
+        return []
+    new = scored.select("session_id", _bucket(F.col("session_id"), buckets).alias("bucket")).distinct()
+    both = stored.select("bucket", "session_id").join(new, ["bucket", "session_id"], "left_semi")
+    return [r["session_id"] for r in both.select("session_id").distinct().orderBy("session_id").limit(5).collect()]
+
+
 def write_results(
     scored: DataFrame,
     order: RowOrder,
@@ -24,8 +36,13 @@ def write_results(
 
     The dense number turns a page into a range filter that parquet statistics
     can serve, instead of one sort per page request.  Sessions share a bounded
-    number of directories; rebalancing splits the ones a big session fills.
+    number of directories; rebalancing splits the ones a big session fills.  A session
+    that is stored already is refused, as its numbers would occur twice.
     """
+    if mode == "append":
+        stored = _stored_sessions(scored, path, buckets)
+        if stored:
+            raise ValueError(f"sessions are stored already: {', '.join(map(str, stored))}")
     (
         number_rows(scored, order, group=("session_id",))
         .withColumn("bucket", _bucket(F.col("session_id"), buckets))

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,20 +14,25 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cinderlog-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return _own_folder(spark.sparkContext.applicationId)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/cinderlog/{name}-{uuid.uuid4().hex}"
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> str:
+    """One folder for each local application; a single process reads and writes it."""
+    return tempfile.mkdtemp(prefix="cinderlog-")
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    return f"{(folder or shared_folder(spark)).rstrip('/')}/cinderlog/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, *partition_by: str, folder: str | None = None) -> DataFrame:
     """The rows as a stored table: lost executors cost a re-read, not a re-run."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, folder)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,15 @@
 
 Texts with equal shingle sets are one class, so copies are never paired.  Classes that
 agree in a band share a bucket.  A bucket never yields all its pairs: its members are
-first compared with its smallest and its largest class only, links are contracted to
-components, and just those members that are still apart from the bucket's first
-component are compared with the bucket's members in other components.  Pairs inside a
-component can't change the result, so no link between different components is lost.
+first compared with its hub and its last class only, links are contracted to components,
+and just those members that are still apart from the hub's component are compared with
+the bucket's members in other components.  Pairs inside a component can't change the
+result, so no link between different components is lost.
+
+Shingles that only one class in all buckets has can't be shared with a candidate.  What is
+left of two classes bounds their similarity from above, so pairs below the threshold are
+left out before they are made; and the hub is the class that has least of its own.  A copy
+with many edits has many such shingles, and is compared with few others.
 
 A candidate's sketches are compared batch by batch.  After each batch the pair is dropped
 when the posterior chance of a similarity of at least the threshold is below ``MISS``.
@@ -24,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.components import connected
@@ -113,6 +118,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle) for every member of every set."""
+    for batch in batches:
+        for node, packed in zip(batch.column(0), batch.column(1), strict=True):
+            shingles = np.frombuffer(packed.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), node.as_py(), np.int64)), pa.array(shingles)], ["node", "shingle"])
+
+
 def least_matches(threshold: float, miss: float) -> list[int]:
     """For each number of compared batches the matches a pair needs to stay.
 
@@ -190,14 +203,30 @@ class NearDuplicates:
         known = self.described.where((F.col("n") > 0) & F.col("id").isNotNull())
         classes = known.groupBy("digest").agg(F.min("id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
-        members = self.classes.select("node", F.explode("keys").alias("key"))
-        ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
-        self.members = materialize(members.join(ends, "key"), "neardup-members")
-        active = self.members.select("node").distinct().join(self.classes.select("node", "digest", "first"), "node")
+        members = self.classes.select("node", F.posexplode("keys").alias("band", "key"))
+        shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
+        members = materialize(members.join(shared.select("key"), "key"), "neardup-shared")
+        active = members.select("node").distinct().join(self.classes.select("node", "digest", "first"), "node")
         texts = rows.join(active.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("text")
         sets = texts.mapInArrow(_sets, "digest binary, shingles binary")
         sets = active.select("node", "digest").join(sets, "digest").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
         self.sets = materialize(sets, "neardup-sets")
+        own = self.sets.mapInArrow(_places, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+        own = own.where(F.col("n") == 1).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        sized = self.sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")).join(own, "node", "left")
+        sized = sized.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+        members = members.join(sized.where(100 * F.col("shared") >= percent * F.col("n")), "node")
+        hubs = members.groupBy("key").agg(
+            F.min(F.struct((-F.col("shared") / F.col("n")).alias("share"), "node", "n", "shared")).alias("hub"),
+            F.max(F.struct("node", "n", "shared")).alias("last"),
+            F.count(F.lit(1)).alias("size"),
+        )
+        self.members = materialize(members.join(hubs.where(F.col("size") > 1), "key"), "neardup-members")
+
+    def _possible(self, n, shared, other_n, other_shared) -> Column:
+        """Whether two classes can be links, by their sizes and by how many of their shingles any other one has."""
+        most = F.least(shared, other_shared)
+        return 100 * most >= self.percent * (n + other_n - most)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) that are links."""
@@ -213,20 +242,31 @@ class NearDuplicates:
 
     def roots(self) -> DataFrame:
         """(node, root) of all classes that are linked with another one."""
-        ends = [self.members.select(F.least("node", e).alias("u"), F.greatest("node", e).alias("v")).where("u != v") for e in ("low", "high")]
+        m = F.col
+        ends = [
+            self.members.where((m("node") != m(f"{e}.node")) & self._possible(m("n"), m("shared"), m(f"{e}.n"), m(f"{e}.shared"))).select(
+                F.least("node", f"{e}.node").alias("u"), F.greatest("node", f"{e}.node").alias("v")
+            )
+            for e in ("hub", "last")
+        ]
         near = self._verified(ends[0].unionByName(ends[1]).distinct())
         stars = connected(near)
         placed = self.members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = (
             placed.groupBy("key")
-            .agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct("node", "root")).getField("root").alias("main"))
+            .agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max(F.when(F.col("node") == F.col("hub.node"), F.col("root"))).alias("main"))
             .where(F.col("least") != F.col("most"))
             .select("key", "main")
         )
-        open_members = materialize(placed.join(split, "key"), "neardup-open")
-        apart = open_members.where(F.col("root") != F.col("main")).select("key", F.col("node").alias("u"), F.col("root").alias("u_root"))
-        others = open_members.where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).select("key", F.col("node").alias("v"), F.col("root").alias("v_root"))
-        rest = apart.join(others, "key").where(F.col("u_root") != F.col("v_root"))
+        open_members = placed.join(split, "key").join(self.classes.select("node", "keys"), "node")
+        # A pair is made in the first band only that both classes agree in.
+        open_members = materialize(open_members.withColumn("before", F.slice("keys", F.lit(1), F.col("band"))).drop("keys"), "neardup-open")
+        apart = open_members.where(m("root") != m("main")).select("key", *[m(c).alias(f"u_{c}") for c in ("node", "root", "n", "shared", "before")])
+        others = open_members.where((m("node") != m("hub.node")) & (m("node") != m("last.node")))
+        others = others.select("key", *[m(c).alias(f"v_{c}") for c in ("node", "root", "n", "shared", "before")])
+        possible = self._possible(m("u_n"), m("u_shared"), m("v_n"), m("v_shared"))
+        rest = apart.join(others, "key").where((m("u_root") != m("v_root")) & possible & ~F.arrays_overlap("u_before", "v_before"))
+        rest = rest.select(m("u_node").alias("u"), m("v_node").alias("v"))
         rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = near.select("u", "v").unionByName(self._verified(rest).select("u", "v"))
         return connected(links)

@@ -37,6 +37,9 @@ PRIOR = 50
 #: chi-square point of 20.5 once in a thousand; repeated lines give clean documents far longer
 #: tails, and a clean document must stay, so the limit is set well beyond those tails.
 CUT = 600.0
+#: Rows of a group this many doublings beyond its language's share are never close: a group
+#: may be as small as one odd row.
+REACH = 4
 SCALE = 1024
 #: Smallest variances of the transformed statistics: what counts as one usual deviation where a
 #: group hardly varies.  Symbols are rare in all prose; repeats and lengths vary freely.
@@ -165,12 +168,16 @@ def _with_group(rows: DataFrame, small: DataFrame, groups: list[str]) -> DataFra
 
 
 def _sums(rows: DataFrame) -> DataFrame:
-    """Integer sums that a mean and a covariance follow from."""
+    """Integer sums over the rows marked as close, for every group; a mean and a covariance follow from them."""
     wide = "decimal(38,0)"
+
+    def total(value: Column, kind: str) -> Column:
+        return F.sum(F.when(F.col("close"), value).otherwise(F.lit(0)).cast(kind)).cast(wide)
+
     return rows.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(s).cast("decimal(18,0)")).cast(wide).alias(f"m{i}") for i, s in enumerate(STATS)],
-        *[F.sum((F.col(STATS[i]) * F.col(STATS[j])).cast("decimal(19,0)")).cast(wide).alias(f"c{i}{j}") for i, j in PAIRS],
+        F.count_if("close").alias("n"),
+        *[total(F.col(s), "decimal(18,0)").alias(f"m{i}") for i, s in enumerate(STATS)],
+        *[total(F.col(STATS[i]) * F.col(STATS[j]), "decimal(19,0)").alias(f"c{i}{j}") for i, j in PAIRS],
     )
 
 
@@ -179,7 +186,7 @@ def _estimate(sums: DataFrame) -> DataFrame:
     names = ["n", *[f"m{i}" for i in range(N)], *[f"c{i}{j}" for i, j in PAIRS]]
     language = sums.groupBy("lang").agg(*[F.sum(c).alias(f"l_{c}") for c in names]).withColumnRenamed("lang", "r_lang")
     both = sums.join(language, F.col("lang").eqNullSafe(F.col("r_lang")))
-    share = F.lit(float(PRIOR)) / F.col("l_n")
+    share = F.lit(float(PRIOR)) / F.greatest(F.col("l_n"), F.lit(1))
     total = F.col("n") + F.lit(float(PRIOR))
     steps = float(SCALE)
     mixed = {c: (F.col(c).cast("double") + share * F.col(f"l_{c}").cast("double")) / total for c in names[1:]}
@@ -239,9 +246,11 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     measured = _start(rows)
     model = None
     for step in range(steps):
-        level = _level(measured, F.col("d2"), share, ["lang", "source"])
-        closest = _with_group(measured, level, ["lang", "source"]).where(_bin(F.col("d2")) <= F.col("edge"))
-        model = materialize(_estimate(_sums(closest)), f"quality-{step}")
+        group = _level(measured, F.col("d2"), share, ["lang", "source"])
+        language = _level(measured, F.col("d2"), share, ["lang"]).withColumnRenamed("edge", "far")
+        marked = _with_group(_with_group(measured, group, ["lang", "source"]), language, ["lang"])
+        close = _bin(F.col("d2")) <= F.least(F.col("edge"), F.col("far") + REACH * BINS)
+        model = materialize(_estimate(_sums(marked.withColumn("close", close))), f"quality-{step}")
         if step + 1 < steps:
             measured = _distance(_with_group(rows, model, ["lang", "source"]), "d2")
     return model

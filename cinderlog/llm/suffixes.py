@@ -8,7 +8,9 @@ gram of ``GRAM`` bytes with the least hash among those in the window.  Equal win
 equal anchors at equal places, so windows need comparing only around anchors that occur in
 two documents; the bytes around all others are never moved.
 
-1. Anchors are counted by hash, and those that occur once are dropped.
+0. Texts that an earlier id has as a whole are found by digest; they lose all their bytes if
+   they have ``length`` of them, and take no further part.
+1. Anchors are counted by hash, and those that occur in one text are dropped.
 2. Around every other anchor the run of windows that share it is cut out.  Equal runs are
    one, with the smallest id that has it (aggregated before any shuffle).
 3. Each shard takes whole anchors, in the order of Spark's external sort, which spills to
@@ -21,21 +23,21 @@ two documents; the bytes around all others are never moved.
 
 Definitions: a null text is the empty text; a row without an id loses nothing and takes
 nothing from others; rows with equal ids are one document, so they take nothing from each
-other; an empty table gives an empty table.  Only the named columns are read, so further
+other, and must have equal texts; an empty table gives an empty table.  Only the named columns are read, so further
 columns can't clash with the results.
 """
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderlog.sources.staging import materialize
+from cinderlog.sources.staging import materialize, new_path
 
 LENGTH = 50
 GRAM = 20
@@ -119,13 +121,13 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "id"])
 
 
-RUNS = "anchor long, id long, first int, before int, data binary"
+RUNS = "anchor long, id long, first int, before int, code binary, data binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of every run of windows whose anchor is among the given ones."""
     for batch in batches:
-        columns = ([], [], [], [], [])
+        columns = ([], [], [], [], [], [])
         for key, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
             data = _bytes(text)
             first, last, at, found = anchors(data)
@@ -135,9 +137,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns[1].append(np.full(len(keep), key.as_py(), np.int64))
             columns[2].append(first[keep].astype(np.int32))
             columns[3].append((at[keep] - first[keep]).astype(np.int32))
-            columns[4].extend([raw[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)])
+            cut = [raw[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+            columns[4].extend(map(hash_run, cut))
+            columns[5].extend(cut)
         if columns[0]:
-            arrays = [pa.array(np.concatenate(c)) for c in columns[:4]] + [pa.array(columns[4], pa.binary())]
+            arrays = [pa.array(np.concatenate(c)) for c in columns[:4]] + [pa.array(c, pa.binary()) for c in columns[4:]]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in RUNS.split(", ")])
 
 
@@ -264,50 +268,92 @@ def _removed(ids: pa.Array, texts: pa.Array, found: pa.Array, with_text: pa.Arra
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], REMOVED.names)
 
 
-def repeated_runs(rows: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a stored table; the shuffle files behind them are let go at once, not when the driver next tidies up."""
+    table = materialize(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
+def _first_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(copies, texts): ids whose text an earlier id has, and the other rows, stored in buckets of their ids.
+
+    Copies are found by digest, so only ids and digests are grouped.  The texts are moved
+    once; what is joined to them later by id comes to where they are.
+    """
+    spark = rows.sparkSession
+    digests = _stored(rows.where(F.col("id").isNotNull()).select("id", F.sha2("text", 256).alias("digest")), "suffix-digests")
+    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    copies = _stored(digests.join(firsts, "digest").where(F.col("id") != F.col("first")).select("id").distinct(), "suffix-copies")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.where(F.col("id").isNotNull()).repartition(parts, "id").join(copies, "id", "left_anti")
+    name = f"suffix_texts_{uuid.uuid4().hex}"
+    own.write.bucketBy(parts, "id").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()
+    return copies, spark.table(name)
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
     """(id, found): for every text (id, text) the runs of windows that may lie in an earlier one."""
-    known = rows.where(F.col("id").isNotNull())
-    counts = known.mapInArrow(_counts, "anchor long, n long")
+    counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
-    shared = materialize(shared, "suffix-shared")
-    places = known.mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
-    wanted = places.groupBy("id").agg(F.collect_set("anchor").alias("wanted"))
-    runs = known.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_runs, RUNS)
-    runs = materialize(runs, "suffix-runs")
+    shared = _stored(shared, "suffix-shared")
+    places = texts.select("id", "text").mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
+    wanted = _stored(places.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
+    runs = texts.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_runs, RUNS)
+    runs = _stored(runs, "suffix-runs")
     distinct = runs.groupBy("anchor", "before", "data").agg(F.min("id").alias("low"))
     shards = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "before", "data", "low")
-    lows = shards.mapInArrow(_induce, "anchor long, before int, code binary, lows array<bigint>")
-    lows = materialize(lows, "suffix-lows")
-    coded = runs.select("anchor", "before", "id", "first", (F.octet_length("data") - LENGTH + 1).alias("windows"), _code("data").alias("code"))
+    lows = _stored(shards.mapInArrow(_induce, "anchor long, before int, code binary, lows array<bigint>"), "suffix-lows")
+    windows = (F.octet_length("data") - LENGTH + 1).alias("windows")
+    coded = runs.select("anchor", "before", "id", "first", windows, "code")
     later = coded.join(lows, ["anchor", "before", "code"]).where(F.array_min("lows") < F.col("id"))
-    return later.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
-
+    found = later.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
+    return _stored(found, "suffix-found")
 
-def _code(name: str):
-    """The same digest as :func:`hash_run`, by Arrow batches."""
-    @F.pandas_udf(T.BinaryType())
-    def code(values: pd.Series) -> pd.Series:
-        return values.map(hash_run)
 
-    return code(F.col(name))
+def _removal(df: DataFrame, key: str, text: str, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(copies, done): ids whose whole text an earlier id has, and (id, removed) for the other rows with an id."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    copies, texts = _first_texts(rows)
+    found = repeated_runs(texts)
+    done = texts.join(found, "id", "left").select("id", _removed("id", "text", "found", F.lit(with_text)).alias("removed"))
+    return copies, done
 
 
-def _with_removed(df: DataFrame, key: str, text: str, with_text: bool) -> DataFrame:
-    """(row, removed): every input row with what is left of its text."""
-    rows = df.select(F.struct(*[df[c] for c in df.columns if c != text]).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = repeated_runs(rows.select("id", "text"))
-    return rows.join(found, "id", "left").select("row", _removed("id", "text", "found", F.lit(with_text)).alias("removed"))
+def _untouched(rows: DataFrame) -> DataFrame:
+    """The result for rows (id, text) that keep all of their text, or none if ``whole``."""
+    size = F.octet_length("text").cast("long")
+    gone = F.col("whole") & (size >= LENGTH)
+    left = F.when(gone, F.lit("")).otherwise(F.col("text"))
+    return rows.select(
+        "id",
+        size.alias("n_bytes"),
+        F.when(gone, size).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        gone.cast("long").alias("n_spans"),
+        F.sha2(left, 256).alias("kept_sha256"),
+    )
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    done = _with_removed(df.select(key, text), key, text, with_text=False)
-    return done.select(f"row.{key}", "removed.n_bytes", "removed.n_removed", "removed.n_spans", "removed.kept_sha256")
+    copies, done = _removal(df, key, text, with_text=False)
+    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    others = _untouched(rows.join(copies, "id").withColumn("whole", F.lit(True)))
+    nameless = _untouched(rows.where(F.col("id").isNull()).withColumn("whole", F.lit(False)))
+    parts = done.select("id", "removed.n_bytes", "removed.n_removed", "removed.n_spans", "removed.kept_sha256")
+    return parts.unionByName(others).unionByName(nameless).withColumnRenamed("id", key)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with what is left of their texts; bytes of characters that were cut in two go as well."""
-    done = _with_removed(df, key, text, with_text=True)
-    left = F.try_validate_utf8(F.col("removed.kept").cast("string"))
-    whole = F.coalesce(left, F.replace(F.make_valid_utf8(F.col("removed.kept").cast("string")), F.lit("\ufffd"), F.lit("")))
-    return done.select(*[whole.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns])
+    rows = df.select(F.struct(*[df[c] for c in df.columns if c != text]).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    copies, texts = _first_texts(rows)
+    found = repeated_runs(texts)
+    done = texts.join(found, "id", "left").select("row", _removed("id", "text", "found", F.lit(True)).getField("kept").cast("string").alias("kept"))
+    whole = F.when(F.octet_length("text") >= LENGTH, F.lit("")).otherwise(F.col("text"))
+    others = rows.join(copies, "id").select("row", whole.alias("kept"))
+    nameless = rows.where(F.col("id").isNull()).select("row", F.col("text").alias("kept"))
+    left = done.unionByName(others).unionByName(nameless)
+    valid = F.coalesce(F.try_validate_utf8("kept"), F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    return left.select(*[valid.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns])

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderlog.llm.bpe import Memo
 from cinderlog.llm.shingles import WordHashes, shingles
 
 SHINGLE = 5
@@ -44,10 +45,13 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _sums(words: np.ndarray) -> np.ndarray:
-    """Running sums of the bits of word pairs; a row for each place before a pair."""
+def _sums(words: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of the bits of word pairs; a row for each place before a pair.
+
+    Sums may wrap around: differences over at most ``longest`` pairs are still right.
+    """
     pairs = shingles(words, 2) if len(words) > 1 else words
-    kind = np.int16 if len(pairs) < 1 << 14 else np.int32
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if longest < 1 << 8 * k().nbytes)
     sums = np.zeros((len(pairs) + 1, 64), kind)
     np.cumsum(_bits(pairs), axis=0, dtype=kind, out=sums[1:])
     return sums
@@ -57,7 +61,7 @@ def _fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """SimHash of the windows [start, end) of words; a window of n words has n - 1 pairs."""
     pairs = np.maximum(ends - starts - 1, 1)
     ones = sums[starts + pairs] - sums[starts]
-    return np.packbits(2 * ones > pairs[:, None].astype(sums.dtype), axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(ones > pairs[:, None] // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def _near_values(bits: int, radius: int) -> np.ndarray:
@@ -71,23 +75,26 @@ class SizeClass:
     def __init__(self, size: int, items: list[int], fingerprints: np.ndarray, radius: int):
         self.size, self.items, self.fingerprints, self.radius = size, items, fingerprints, radius
         near = _near_values(BLOCK_BITS, radius // BLOCKS)
-        self.tables = np.zeros(((len(items) + 63) // 64, BLOCKS, 1 << BLOCK_BITS), np.uint64)
+        # A bit for each item; narrow marks keep the tables of small classes in the processor's cache.
+        self.kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if k is np.uint64 or len(items) <= 8 * k().nbytes)
+        self.bits = 8 * self.kind().nbytes
+        self.tables = np.zeros((-(-len(items) // self.bits), BLOCKS, 1 << BLOCK_BITS), self.kind)
         for i, value in enumerate(fingerprints):
             for b in range(BLOCKS):
                 part = int(value) >> (b * BLOCK_BITS) & ((1 << BLOCK_BITS) - 1)
-                self.tables[i // 64, b, near ^ part] |= np.uint64(1 << i % 64)
+                self.tables[i // self.bits, b, near ^ part] |= self.kind(1 << i % self.bits)
 
     def near(self, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item, places of fingerprints within the radius of its own)."""
-        parts = [(found >> np.uint64(b * BLOCK_BITS) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64) for b in range(BLOCKS)]
+        parts = np.ascontiguousarray(found, "<u8").view("<u2").reshape(-1, BLOCKS).T.astype(np.int64)
         for w, table in enumerate(self.tables):
             marked = table[0][parts[0]]
             for b in range(1, BLOCKS):
                 marked |= table[b][parts[b]]
             some = np.flatnonzero(marked)
             marks = marked[some]
-            for i in range(w * 64, min(len(self.items), w * 64 + 64)):
-                at = some[(marks >> np.uint64(i % 64) & np.uint64(1)).astype(bool)]
+            for i in range(w * self.bits, min(len(self.items), (w + 1) * self.bits)):
+                at = some[(marks & self.kind(1 << i % self.bits)) != 0]
                 at = at[np.bitwise_count(found[at] ^ self.fingerprints[i]) <= self.radius]
                 if len(at):
                     yield self.items[i], at
@@ -98,7 +105,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, threshold: float, radius: int):
         self.hashes, self.threshold = WordHashes(), threshold
-        self.frequency, self.total = frequency, total
+        self.usual = log(1 + total)
+        self.shared = {s: log(1 + total / n) for s, n in frequency.items()}
         self.ids, self.words, self.bags, self.weights = [], [], [], []
         for key, text in items:
             words = self.hashes.of(text)
@@ -113,20 +121,25 @@ class Index:
         for step in sorted(groups):
             members = groups[step]
             sizes = sorted(len(self.words[i]) for i in members)
-            prints = [_fingerprints(_sums(self.words[i]), np.array([0]), np.array([len(self.words[i])]))[0] for i in members]
+            prints = [_fingerprints(_sums(self.words[i], len(self.words[i])), np.array([0]), np.array([len(self.words[i])]))[0] for i in members]
             self.classes.append(SizeClass(sizes[len(sizes) // 2], members, np.array(prints, np.uint64), radius))
         self.longest = max((len(w) for w in self.words), default=0)
 
     def weight(self, shingle: int) -> float:
-        return log(1 + self.total / self.frequency.get(shingle, 1))
+        return self.shared.get(shingle, self.usual)
+
+    def similarity(self, item: int, words: np.ndarray, start: int, slack: int, values: list[int] | None = None) -> tuple[float, int]:
+        """Best weighted similarity of an item-sized window that starts within ``slack`` of a place, and its start.
 
-    def similarity(self, item: int, words: np.ndarray, start: int, slack: int) -> tuple[float, int]:
-        """Best weighted similarity of an item-sized window that starts within ``slack`` of a place, and its start."""
+        ``values`` are the text's shingles, if they are known.
+        """
         size, bag = len(self.words[item]), self.bags[item]
         low, high = max(0, start - slack), min(len(words), start + slack + size)
-        part = words[low:high]
-        values = shingles(part, SHINGLE).tolist()
-        if not any(v in bag for v in values):
+        if values is None or high - low < SHINGLE:
+            values = shingles(words[low:high], SHINGLE).tolist()
+        else:
+            values = values[low : high - SHINGLE + 1]
+        if bag.keys().isdisjoint(values):
             return 0.0, start
         places = max(size - SHINGLE + 1, 1)
         best = (0.0, start)
@@ -140,54 +153,79 @@ class Index:
     def matches(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, int]]:
         """(text, item): best similarity of at least the threshold, and the window's first word."""
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for words, owners, firsts, offsets in _blocks(texts, self.longest):
-            sums = _sums(words)
-            ends = np.append(firsts[1:], len(words))
+        known = Memo(lambda text: shingles(texts[text], SHINGLE).tolist(), 64)
+        align = max((step_of(cls.size) for cls in self.classes), default=1)
+        for block in _blocks(texts, self.longest, align):
+            sums = _sums(block.words, self.longest)
             for cls in self.classes:
-                starts, stops, owner = _windows(firsts, ends, cls.size, max(1, cls.size // STEPS), self.threshold)
-                if not len(starts):
-                    continue
-                for item, at in cls.near(_fingerprints(sums, starts, stops)):
-                    slack = max(1, cls.size // STEPS) + abs(cls.size - len(self.words[item]))
+                starts, found = block.windows(sums, cls.size, step_of(cls.size), self.threshold)
+                for item, at in cls.near(found):
+                    slack = step_of(cls.size) + abs(cls.size - len(self.words[item]))
                     for k in at.tolist():
-                        text = owners[owner[k]]
-                        place = int(starts[k] - firsts[owner[k]] + offsets[owner[k]])
-                        value, first = self.similarity(item, texts[text], place, slack)
+                        part = block.part[starts[k]]
+                        text = block.owners[part]
+                        place = int(starts[k] - block.firsts[part] + block.offsets[part])
+                        value, first = self.similarity(item, texts[text], place, slack, known[text])
                         if value >= self.threshold and (value, -first) > (lambda b: (b[0], -b[1]))(best.get((text, item), (0.0, 0))):
                             best[text, item] = (value, first)
         return best
 
 
-def _blocks(texts: list[np.ndarray], overlap: int) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, list[int]]]:
-    """Whole short texts side by side, or overlapping parts of long ones: words, text numbers, first places, offsets."""
-    parts, owners, firsts, offsets, held = [], [], [], [], 0
+def step_of(size: int) -> int:
+    """Words between the starts of two windows: a power of two, at most the ``STEPS``th part of the size."""
+    return 1 << max(size // STEPS, 1).bit_length() - 1
+
+
+class Block:
+    """Short texts, or a part of a long one, side by side; each starts where every class has a window."""
+
+    def __init__(self, parts: list[np.ndarray], owners: list[int], offsets: list[int], align: int):
+        lengths = np.array([len(p) for p in parts])
+        padded = -(-lengths // align) * align
+        self.owners, self.offsets, self.lengths = owners, offsets, lengths
+        self.firsts = np.cumsum(padded) - padded
+        self.words = np.zeros(int(padded.sum()), np.uint64)
+        for first, words in zip(self.firsts, parts, strict=True):
+            self.words[first : first + len(words)] = words
+        self.part = np.repeat(np.arange(len(parts)), padded)
+        self.room = np.repeat(self.firsts + lengths, padded) - np.arange(len(self.words))
+
+    def windows(self, sums: np.ndarray, size: int, step: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and fingerprints of a class's windows: every ``step`` words, at each text's end, and whole short texts.
+
+        Those on the grid come from whole slices of the running sums; the ones that would
+        reach into the next text are left out afterwards.
+        """
+        pairs = max(size - 1, 1)
+        if size == 1:
+            starts = np.flatnonzero(self.room >= 1)
+            return starts, self.words[starts]
+        before, after = sums[: max(len(sums) - pairs, 0) : step], sums[pairs::step]
+        found = np.packbits(after - before > pairs // 2, axis=1, bitorder="little").view(np.uint64).ravel()
+        inside = np.flatnonzero(self.room[: len(found) * step : step] >= size)
+        ends = self.firsts + self.lengths
+        last = np.flatnonzero((self.lengths >= size) & ((self.lengths - size) % step > 0))
+        short = np.flatnonzero((self.lengths < size) & (self.lengths >= threshold * size) & (self.lengths > 1))
+        more = np.concatenate((ends[last] - size, self.firsts[short]))
+        stops = np.concatenate((ends[last], ends[short]))
+        return np.concatenate((inside * step, more)), np.concatenate((found[inside], _fingerprints(sums, more, stops)))
+
+
+def _blocks(texts: list[np.ndarray], overlap: int, align: int) -> Iterator[Block]:
+    """Blocks of about ``BLOCK_WORDS`` words; parts of long texts overlap by the longest item."""
+    parts, owners, offsets, held = [], [], [], 0
     size = max(BLOCK_WORDS, 2 * overlap)
     for no, words in enumerate(texts):
         for at in range(0, max(len(words) - overlap, 1), size - overlap):
             part = words[at : at + size]
             if held and held + len(part) > size:
-                yield np.concatenate(parts), owners, np.array(firsts), offsets
-                parts, owners, firsts, offsets, held = [], [], [], [], 0
+                yield Block(parts, owners, offsets, align)
+                parts, owners, offsets, held = [], [], [], 0
             if len(part):
-                parts.append(part), owners.append(no), firsts.append(held), offsets.append(at)
+                parts.append(part), owners.append(no), offsets.append(at)
                 held += len(part)
     if held:
-        yield np.concatenate(parts), owners, np.array(firsts), offsets
-
-
-def _windows(firsts: np.ndarray, ends: np.ndarray, size: int, step: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of a class's windows: every ``step`` words, at the end, and whole short texts."""
-    lengths = ends - firsts
-    whole = np.flatnonzero(lengths >= size)
-    counts = (lengths[whole] - size) // step + 1
-    owner = np.repeat(whole, counts)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = firsts[owner] + within * step
-    last = whole[(lengths[whole] - size) % step > 0]
-    short = np.flatnonzero((lengths < size) & (lengths >= threshold * size))
-    all_starts = np.concatenate((starts, ends[last] - size, firsts[short]))
-    all_ends = np.concatenate((starts + size, ends[last], ends[short]))
-    return all_starts, all_ends, np.concatenate((owner, last, short))
+        yield Block(parts, owners, offsets, align)
 
 
 SCHEMA = "id long, item_id long, similarity double, first_word long"

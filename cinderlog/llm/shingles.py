@@ -5,9 +5,10 @@ feed and carriage return; A-Z are lower-cased.  UTF-8 bytes are split and lower-
 these rules concern ASCII characters only.
 """
 
-from hashlib import blake2b
+from functools import lru_cache
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 MEMO_WORDS = 1 << 19
 
@@ -18,7 +19,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        self[word] = value = xxh3_64_intdigest(word)
         return value
 
     def of(self, text: str | None) -> np.ndarray:
@@ -33,6 +34,7 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+@lru_cache(maxsize=8)
 def _factors(size: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

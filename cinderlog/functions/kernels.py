@@ -132,7 +132,16 @@ def shap_values(x: np.ndarray, leaves: dict) -> np.ndarray:
     Shapley weight of a coalition is the integral of t^k (1-t)^(d-1-k), so a
     feature's share of a leaf is an integral of a product over its other features,
     which Gauss-Legendre nodes give exactly for these low-degree polynomials.
+
+    Leaves come in blocks of whole trees, and the attributions of the blocks are added up,
+    so a row needs room for one block and not for the forest.
     """
+    blocks = zip(leaves["blocks"][:-1], leaves["blocks"][1:])
+    return sum(_block_values(x, leaves, slice(start, end)) for start, end in blocks)
+
+
+def _block_values(x: np.ndarray, leaves: dict, part: slice) -> np.ndarray:
+    leaves = leaves | {k: leaves[k][part] for k in ("feature", "low", "high", "cover", "value")}
     passes = (leaves["low"] < x[leaves["feature"]]) & (x[leaves["feature"]] <= leaves["high"])
     cover = leaves["cover"]
     one = passes.astype(float)

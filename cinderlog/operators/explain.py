@@ -23,6 +23,9 @@ TOP_FEATURES = 5
 RAISING_SHOWN = 3
 LOWERING_SHOWN = 2
 
+# Leaves, of whole trees, that a row is held against at a time.
+BLOCK_LEAVES = 1 << 13
+
 RAISES = "increases_risk"
 LOWERS = "decreases_risk"
 
@@ -58,7 +61,7 @@ class Explainer:
     def from_nodes(nodes: DataFrame, names: list[str]) -> "Explainer":
         """Built on the driver: the table is the forest, which fits it anyway."""
         table = nodes.orderBy("tree", "node").toPandas()
-        rows, roots = [], []
+        rows, roots, blocks = [], [], [0]
         for _, tree in table.groupby("tree", sort=True):
             left = tree["left"].to_numpy()
             right = tree["right"].to_numpy()
@@ -82,6 +85,10 @@ class Explainer:
                 ):
                     narrowed = (*bounds, part * cover[child] / cover[node])
                     waiting.append((int(child), {**path, split: narrowed}))
+            if len(rows) - blocks[-1] >= BLOCK_LEAVES:
+                blocks.append(len(rows))
+        if blocks[-1] < len(rows):
+            blocks.append(len(rows))
         width = max(1, max(len(path) for _, path in rows))
         shape = (len(rows), width)
         # Unused places hold a feature that every row passes and that covers all.
@@ -92,6 +99,7 @@ class Explainer:
             "cover": np.ones(shape),
             "value": np.stack([value for value, _ in rows]) / len(roots),
             "size": len(names),
+            "blocks": blocks,
         }
         for i, (_, path) in enumerate(rows):
             for j, (split, (low, high, part)) in enumerate(path.items()):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import bpe, decontaminate, licenses, neardup, packing, quality, sharding, suffixes, transcripts, warc
+from cinderlog.llm.workers import with_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ END_ID = 50256
 
 def query(name: str, sql: str | None = None):
     def register(run):
-        QUERIES[name] = run
+        QUERIES[name] = with_workers(run)
         if sql is not None:
             ORACLES[name] = sql
         return run
@@ -31,7 +32,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_license_scan")
+UPPER_LOWER = f"'{licenses.UPPER}', '{licenses.LOWER}'"
+
+
+def _phrase_places(phrase: str) -> str:
+    here = " AND ".join(f"ws[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split()))
+    return f"list_filter(range(len(ws)), lambda i: {here})"
+
+
+def _notice_rows() -> str:
+    sets = [(label, sorted(set(words.split()))) for label, words in licenses.NOTICES]
+    return ", ".join(f"('{label}', {words}, {licenses.needed(len(words), licenses.CONTAINMENT)})" for label, words in sets)
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), {UPPER_LOWER}) AS t FROM documents),
+w AS (SELECT id, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+b AS (SELECT id, doc_id, len(ws) AS n_words, {", ".join(f"{_phrase_places(p)} AS p{k}" for k, (p, _) in enumerate(licenses.PHRASES))} FROM w),
+f AS (SELECT *, list_concat(p0, p1, p2) AS places,
+  list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES))}], lambda x: x IS NOT NULL) AS base FROM b),
+l AS (SELECT id, string_split(t, chr(10)) AS lines FROM d),
+k AS (SELECT id, regexp_extract_all(array_to_string(lines[i:i + {licenses.BLOCK_LINES - 1}], chr(10)), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l) e),
+m AS (SELECT id, list(DISTINCT label) AS more, max(shared / len(notice)) AS best FROM (
+  SELECT id, label, notice, need, len(list_intersect(words, notice)) AS shared
+  FROM k, (VALUES {_notice_rows()}) n(label, notice, need)) x WHERE shared >= need GROUP BY id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(CAST(best AS DOUBLE), CAST(0 AS DOUBLE)) END AS score
+FROM f LEFT JOIN m ON f.id = m.id
+"""
+
+
+@query("op1_license_scan", OP1_SQL)
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +82,22 @@ def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-@query("op4_near_duplicates")
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0) e),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.reached),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op4_near_duplicates", OP4_SQL)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, sf_dir, "documents")).components()
 

@@ -12,28 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.llm import bpe, decontaminate, neardup, quality, suffixes
+from cinderlog.llm.workers import with_workers
 from cinderlog.sources.staging import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+@with_workers
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+@with_workers
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one(docs, percent=80)
 
 
+@with_workers
 def own_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts change, and so do their lengths."""
     return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@with_workers
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@with_workers
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that is left, as digests of the ids and of what they decode to."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,34 @@ def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     return f"{(folder or shared_folder(spark)).rstrip('/')}/cinderlog/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str, folder: str | None = None) -> DataFrame:
-    """The rows as a stored table: lost executors cost a re-read, not a re-run."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are removed at the end, but for those stored with ``keep``.
+
+    For steps whose result is stored itself: nothing that is read later may rest on the others.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(
+    df: DataFrame, name: str, *partition_by: str, folder: str | None = None, keep: bool = False, **options: str
+) -> DataFrame:
+    """The rows as a stored table: lost executors cost a re-read, not a re-run.
+
+    Inside :func:`scratch` the table goes with it, unless ``keep`` is set.
+    """
     spark = df.sparkSession
     path = new_path(spark, name, folder)
-    df.write.partitionBy(*partition_by).parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

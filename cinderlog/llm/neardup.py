@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.llm.components import connected
 from cinderlog.llm.shingles import WordHashes, shingle_set
-from cinderlog.sources.staging import materialize
+from cinderlog.sources.staging import materialize, scratch
 
 SHINGLE = 5
 VALUES = 216
@@ -187,11 +187,17 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
     Rows with equal id and text are one; rows without an id stay.
     """
-    kept = NearDuplicates(df, key, text, percent).components().where("kept").select(F.col(key).alias("__kept")).distinct()
+    kept = near_duplicates(df, key, text, percent).where("kept").select(F.col(key).alias("__kept")).distinct()
     chosen = df.join(kept, F.col(key).cast("long") == F.col("__kept")).drop("__kept").dropDuplicates([key, text])
     return chosen.unionByName(df.where(F.col(key).isNull()))
 
 
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for every row, stored; the tables on the way are removed."""
+    with scratch(df.sparkSession):
+        return materialize(NearDuplicates(df, key, text, percent).components(), "neardup", keep=True)
+
+
 class NearDuplicates:
     """Classes, buckets and links of a table of texts; every step is stored once."""
 

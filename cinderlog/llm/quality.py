@@ -259,7 +259,7 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
 def _judged(df: DataFrame, key: str, text: str, lang: str, source: str, cut: float, carry: bool) -> DataFrame:
     """Statistics are worked out once and stored; all steps after that read numbers only."""
     stats = text_statistics(df, key, text, lang, source, carry)
-    stats = materialize(vectors(stats).withColumn("base_failed", base_failed()), "quality-statistics")
+    stats = materialize(vectors(stats).withColumn("base_failed", base_failed()), "quality-statistics", compression="zstd")
     model = fit(stats.where(~F.col("base_failed")).select("lang", "source", *STATS))
     same = F.col("lang").eqNullSafe(F.col("r_lang")) & F.col("source").eqNullSafe(F.col("r_source"))
     measured = stats.join(model.withColumnsRenamed({"lang": "r_lang", "source": "r_source"}), same, "left")

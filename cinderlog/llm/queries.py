@@ -99,7 +99,7 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 @query("op4_near_duplicates", OP4_SQL)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.NearDuplicates(table(spark, sf_dir, "documents")).components()
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = """

@@ -37,7 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderlog.sources.staging import materialize, new_path
+from xxhash import xxh3_64_digest
+
+from cinderlog.sources.staging import materialize, new_path, scratch
 
 LENGTH = 50
 GRAM = 20
@@ -225,7 +227,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hash_run(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=8).digest()
+    return xxh3_64_digest(data)
 
 
 def _spans(key: int, firsts, counts, lists) -> list[tuple[int, int]]:
@@ -268,9 +270,9 @@ def _removed(ids: pa.Array, texts: pa.Array, found: pa.Array, with_text: pa.Arra
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], REMOVED.names)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def _stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows as a stored table; the shuffle files behind them are let go at once, not when the driver next tidies up."""
-    table = materialize(df, name)
+    table = materialize(df, name, keep=keep, compression="zstd")
     df.sparkSession.sparkContext._jvm.System.gc()
     return table
 
@@ -282,19 +284,26 @@ def _first_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     once; what is joined to them later by id comes to where they are.
     """
     spark = rows.sparkSession
-    digests = _stored(rows.where(F.col("id").isNotNull()).select("id", F.sha2("text", 256).alias("digest")), "suffix-digests")
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = _stored(digests.join(firsts, "digest").where(F.col("id") != F.col("first")).select("id").distinct(), "suffix-copies")
+    with scratch(spark):
+        digests = _stored(rows.where(F.col("id").isNotNull()).select("id", F.sha2("text", 256).alias("digest")), "suffix-digests")
+        firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
+        copies = digests.join(firsts, "digest").where(F.col("id") != F.col("first")).select("id").distinct()
+        copies = _stored(copies, "suffix-copies", keep=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = rows.where(F.col("id").isNotNull()).repartition(parts, "id").join(copies, "id", "left_anti")
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    own.write.bucketBy(parts, "id").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
+    own.write.bucketBy(parts, "id").option("compression", "zstd").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     return copies, spark.table(name)
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(id, found): for every text (id, text) the runs of windows that may lie in an earlier one."""
+    """(id, found): for every text (id, text) the runs of windows that may lie in an earlier one, stored."""
+    with scratch(texts.sparkSession):
+        return _stored(_repeated_runs(texts), "suffix-found", keep=True)
+
+
+def _repeated_runs(texts: DataFrame) -> DataFrame:
     counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     shared = _stored(shared, "suffix-shared")
@@ -308,8 +317,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     windows = (F.octet_length("data") - LENGTH + 1).alias("windows")
     coded = runs.select("anchor", "before", "id", "first", windows, "code")
     later = coded.join(lows, ["anchor", "before", "code"]).where(F.array_min("lows") < F.col("id"))
-    found = later.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
-    return _stored(found, "suffix-found")
+    return later.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
 
 
 def _removal(df: DataFrame, key: str, text: str, with_text: bool) -> tuple[DataFrame, DataFrame]:

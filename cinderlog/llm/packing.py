@@ -14,20 +14,29 @@ on its own; an id may be null; an empty table gives an empty table.  Only the na
 are read, so further columns can't clash with the results.
 """
 
+import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.bpe import codec
-
 LENGTH = 2048
 POOL_IDS = 1 << 22
 OUT_ROWS = 512
 
 
+@lru_cache(maxsize=2)
+def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
+    """The library's encoder, one for each worker process; what is packed here are its ids."""
+    with open(rank_file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class RoomTree:
     """How many rows have each amount of room; finds the least room of at least a size."""
 
@@ -118,13 +127,13 @@ def pack(df: DataFrame, rank_file: str, pattern: str, end_id: int, length: int =
     """Packed rows: n_ids, input_ids, position_ids, segment_ends, ids (of the texts), starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pool, held = codec(rank_file, pattern), [], 0
+        own, pool, held = encoding(rank_file, pattern), [], 0
         for batch in batches:
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids = own.encode(value.as_py())
-                if not ids:
+                ids = own.encode_to_numpy(value.as_py() or "", disallowed_special=())
+                if not len(ids):
                     continue
-                ids = np.array([*ids, end_id], np.int32)
+                ids = np.append(ids.astype(np.int32), np.int32(end_id))
                 pool += [(name.as_py(), at, ids[at : at + length]) for at in range(0, len(ids), length)]
                 held += len(ids)
                 if held >= POOL_IDS:

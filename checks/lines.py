@@ -12,6 +12,7 @@ from cinderlog.sources import corrections, lines, results, soc, staging, trainin
 # Oracle pieces -----------------------------------------------------------------
 
 TRIMMED = "regexp_replace(value, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g')"
+# The log formats.
 STANDARD = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})\s+(\w+)\s+\[([^\]]+)\]\s+(.+)$"
 SYSLOG = r"^(\w{3}\s+\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+\S+\s+(\S+?)(?:\[\d+\])?:\s+(\w+)?\s*(.+)$"
 SIMPLE = r"(?i)^(DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL)(?:\s+\[([^\]]+)\])?\s+(.+)$"
@@ -58,6 +59,7 @@ def respelled(x: str, table: dict) -> str:
     return f"CASE upper({x}) {whens} ELSE upper({x}) END"
 
 
+# Level spellings of the parser and of the trainer.
 PARSER = {"WARN": "WARNING", "FATAL": "CRITICAL", "SEVERE": "CRITICAL", "ERR": "ERROR", "DBG": "DEBUG", "INF": "INFO"}
 TRAINER = {"WARN": "WARNING", "FATAL": "CRITICAL", "ERR": "ERROR", "SEVERE": "CRITICAL"}
 

@@ -58,7 +58,7 @@ def routed(x: str) -> str:
     )
 
 
-# The oracle keeps its own copy of the rules: name, pattern, threat, score.
+# The oracle's own copy of the rules: name, pattern, threat, score.
 RULES = (
     ("BruteForce", r"(failed (login|password|auth)|authentication failure|invalid (user|password)|too many (attempts|failures))", "BruteForce", 1.0),
     ("SQLInjection", r"(union\s+select|drop\s+table|insert\s+into|''--|\bOR\b\s+1=1|xp_cmdshell|exec\s*\(|script>)", "SQLi", 1.0),

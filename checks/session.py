@@ -13,6 +13,7 @@ from cinderlog.sources import results, staging
 
 # Oracle pieces -----------------------------------------------------------------
 
+# The cut points and sentences below.
 ANOMALY = (
     "least(greatest(1::DOUBLE - (least(greatest(iso_decision, -0.5::DOUBLE), 0.5::DOUBLE) + 0.5::DOUBLE),"
     " 0::DOUBLE), 1::DOUBLE)"

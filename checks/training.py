@@ -81,12 +81,14 @@ def hdfs_rows(spark, d):
     "D2_class_caps",
     "log_lines",
     f"""{WITH_ROWS}
-    SELECT line_no, label FROM (SELECT line_no, label, row_number() OVER (PARTITION BY label = 'Normal' ORDER BY line_no) AS rn FROM rows) r
+    SELECT dataset, line_no, label FROM (SELECT dataset, line_no, label, row_number() OVER (PARTITION BY dataset, label = 'Normal' ORDER BY line_no) AS rn
+      FROM (SELECT 'BGL' AS dataset, line_no, label FROM rows UNION ALL SELECT 'HDFS', line_no, label FROM hdfs) b) r
     WHERE rn <= CASE WHEN label = 'Normal' THEN 600 ELSE 250 END
     """,
 )
 def class_caps(spark, d):
-    return prep.cap_classes(rows(spark, d), _order(), 600, 250).select("line_no", "label")
+    capped = _per_dataset(spark, d, lambda table: prep.cap_classes(table, _order(), 600, 250))
+    return capped.select("dataset", "line_no", "label")
 
 
 @check(
@@ -168,13 +170,23 @@ def shuffled(spark, d):
     return number_rows(placed, order, name="place").select("line_no", F.col("place"))
 
 
+BOTH = f"{WITH_ROWS}, both AS (SELECT 'BGL' AS dataset, line_no, label FROM rows UNION ALL SELECT 'HDFS', line_no, label FROM hdfs)"
+
+
+def _per_dataset(spark, d, step):
+    """What a step gives for the BGL rows and for the HDFS rows."""
+    tables = {"BGL": rows(spark, d), "HDFS": _labelled(spark, d, "HDFS")}
+    found = [step(table).withColumn("dataset", F.lit(name)) for name, table in tables.items()]
+    return found[0].unionByName(found[1])
+
+
 @check(
     "D5_label_distribution",
     "log_lines",
-    f"{WITH_ROWS} SELECT label, count(*) AS rows FROM rows GROUP BY label",
+    f"{BOTH} SELECT dataset, label, count(*) AS rows FROM both GROUP BY dataset, label",
 )
 def label_distribution(spark, d):
-    return prep.label_distribution(rows(spark, d))
+    return _per_dataset(spark, d, prep.label_distribution)
 
 
 RATIO = "avg(CASE WHEN label <> 'Normal' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
@@ -183,11 +195,11 @@ RATIO = "avg(CASE WHEN label <> 'Normal' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 @check(
     "D6_anomaly_ratio",
     "log_lines",
-    f"{WITH_ROWS} SELECT round({RATIO}, 6) AS anomaly_ratio, {RATIO} < 0.01 AS low_ratio FROM rows",
+    f"{BOTH} SELECT dataset, round({RATIO}, 6) AS anomaly_ratio, {RATIO} < 0.01 AS low_ratio FROM both GROUP BY dataset",
 )
 def anomaly_ratio(spark, d):
-    return prep.anomaly_summary(rows(spark, d)).select(
-        F.round("anomaly_ratio", 6).alias("anomaly_ratio"), "low_ratio"
+    return _per_dataset(spark, d, prep.anomaly_summary).select(
+        "dataset", F.round("anomaly_ratio", 6).alias("anomaly_ratio"), "low_ratio"
     )
 
 

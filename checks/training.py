@@ -170,7 +170,7 @@ def shuffled(spark, d):
     return number_rows(placed, order, name="place").select("line_no", F.col("place"))
 
 
-BOTH = f"{WITH_ROWS}, both AS (SELECT 'BGL' AS dataset, line_no, label FROM rows UNION ALL SELECT 'HDFS', line_no, label FROM hdfs)"
+BOTH = f"{WITH_ROWS}, labelled AS (SELECT 'BGL' AS dataset, line_no, label FROM rows UNION ALL SELECT 'HDFS', line_no, label FROM hdfs)"
 
 
 def _per_dataset(spark, d, step):
@@ -183,7 +183,7 @@ def _per_dataset(spark, d, step):
 @check(
     "D5_label_distribution",
     "log_lines",
-    f"{BOTH} SELECT dataset, label, count(*) AS rows FROM both GROUP BY dataset, label",
+    f"{BOTH} SELECT dataset, label, count(*) AS rows FROM labelled GROUP BY dataset, label",
 )
 def label_distribution(spark, d):
     return _per_dataset(spark, d, prep.label_distribution)
@@ -195,7 +195,7 @@ RATIO = "avg(CASE WHEN label <> 'Normal' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 @check(
     "D6_anomaly_ratio",
     "log_lines",
-    f"{BOTH} SELECT dataset, round({RATIO}, 6) AS anomaly_ratio, {RATIO} < 0.01 AS low_ratio FROM both GROUP BY dataset",
+    f"{BOTH} SELECT dataset, round({RATIO}, 6) AS anomaly_ratio, {RATIO} < 0.01 AS low_ratio FROM labelled GROUP BY dataset",
 )
 def anomaly_ratio(spark, d):
     return _per_dataset(spark, d, prep.anomaly_summary).select(

@@ -18,6 +18,7 @@ Only the named columns are read, so further columns can't clash with the results
 """
 
 from functools import reduce
+from math import erf, exp, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,17 +34,18 @@ SHARE = 0.75
 STEPS = 3
 #: Rows of its language that every group's estimate is mixed with.
 PRIOR = 50
-#: Rejected beyond this squared distance.  A vector of five normal statistics passes the
-#: chi-square point of 20.5 once in a thousand; repeated lines give clean documents far longer
-#: tails, and a clean document must stay, so the limit is set well beyond those tails.
-CUT = 600.0
+#: Rejected beyond this squared distance: the chi-square point that a vector of five normal
+#: statistics passes once in a thousand.
+CUT = 20.515
 #: Rows of a group this many doublings beyond its language's share are never close: a group
 #: may be as small as one odd row.
 REACH = 4
 SCALE = 1024
-#: Smallest variances of the transformed statistics: what counts as one usual deviation where a
-#: group hardly varies.  Symbols are rare in all prose; repeats and lengths vary freely.
-FLOORS = (0.05, 0.05, 0.0025, 0.05, 0.05)
+#: Added to the variances of the transformed statistics: what counts as one usual deviation where
+#: a group hardly varies.  For repeats that is a tenth of the words, for repeated lines a factor of
+#: 1.65 in their number plus one, for symbols 0.03 % of the characters.  With ``CUT`` each statistic
+#: can reject by itself: from about 46 % repeated words, 9 repeated lines or 0.65 % symbols on.
+FLOORS = (0.05, 0.05, 0.02, 0.25, 0.04)
 #: Bins of a squared distance or a deviation for each doubling.
 BINS = 32
 
@@ -52,6 +54,21 @@ N = len(STATS)
 PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
 
 
+def _chi_square(x: float, more: bool = False) -> float:
+    """Chance that the sum of five squared normal values is at most ``x``; of seven with ``more``."""
+    five = erf(sqrt(x / 2)) - sqrt(2 * x / pi) * exp(-x / 2) * (1 + x / 3)
+    return five - sqrt(2 / pi) * x**2.5 * exp(-x / 2) / 15 if more else five
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the closest ``share`` of normal rows is to be multiplied by to be that of all rows."""
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi_square(middle) < share else (low, middle)
+    return share / _chi_square(low, more=True)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once for the row."""
     return F.transform(F.array(value), body)[0]
@@ -142,7 +159,7 @@ def vectors(stats: DataFrame) -> DataFrame:
         "s_chars": 4 * F.log1p(F.col("word_chars") / n),
         "s_symbols": 8 * F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
         "s_lines": F.log1p(F.col("n_dup_lines")),
-        "s_repeats": 4 * F.sqrt(F.col("n_repeat_words") / n),
+        "s_repeats": 2 * F.col("n_repeat_words") / n,
     }
     return stats.withColumns({k: F.round(v * SCALE).cast("long") for k, v in values.items()})
 
@@ -181,22 +198,26 @@ def _sums(rows: DataFrame) -> DataFrame:
     )
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """Mean, and the triangular factor of the covariance, for every group; ``PRIOR`` rows of the language are mixed in."""
+def _estimate(sums: DataFrame, share: float) -> DataFrame:
+    """Mean, and the triangular factor of the covariance, for every group; ``PRIOR`` rows of the language are mixed in.
+
+    The covariance of the close rows is scaled up to that of all rows, then the floors are added.
+    """
+    factor = consistency(share)
     names = ["n", *[f"m{i}" for i in range(N)], *[f"c{i}{j}" for i, j in PAIRS]]
     language = sums.groupBy("lang").agg(*[F.sum(c).alias(f"l_{c}") for c in names]).withColumnRenamed("lang", "r_lang")
     both = sums.join(language, F.col("lang").eqNullSafe(F.col("r_lang")))
-    share = F.lit(float(PRIOR)) / F.greatest(F.col("l_n"), F.lit(1))
+    part = F.lit(float(PRIOR)) / F.greatest(F.col("l_n"), F.lit(1))
     total = F.col("n") + F.lit(float(PRIOR))
     steps = float(SCALE)
-    mixed = {c: (F.col(c).cast("double") + share * F.col(f"l_{c}").cast("double")) / total for c in names[1:]}
+    mixed = {c: (F.col(c).cast("double") + part * F.col(f"l_{c}").cast("double")) / total for c in names[1:]}
     moments = both.select("lang", "source", *[v.alias(c) for c, v in mixed.items()])
     moments = moments.select(
         "lang",
         "source",
         *[(F.col(f"m{i}") / steps).alias(f"mu{i}") for i in range(N)],
         *[
-            ((F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) / (steps * steps) + (FLOORS[i] if i == j else 0.0)).alias(f"v{i}{j}")
+            (factor * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) / (steps * steps) + (FLOORS[i] if i == j else 0.0)).alias(f"v{i}{j}")
             for i, j in PAIRS
         ],
     )
@@ -250,7 +271,7 @@ def fit(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
         language = _level(measured, F.col("d2"), share, ["lang"]).withColumnRenamed("edge", "far")
         marked = _with_group(_with_group(measured, group, ["lang", "source"]), language, ["lang"])
         close = _bin(F.col("d2")) <= F.least(F.col("edge"), F.col("far") + REACH * BINS)
-        model = materialize(_estimate(_sums(marked.withColumn("close", close))), f"quality-{step}")
+        model = materialize(_estimate(_sums(marked.withColumn("close", close)), share), f"quality-{step}")
         if step + 1 < steps:
             measured = _distance(_with_group(rows, model, ["lang", "source"]), "d2")
     return model

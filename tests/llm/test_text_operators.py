@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from string import ascii_lowercase
 
 import numpy as np
 import public_tokenizers
@@ -154,6 +155,28 @@ def test_outliers_are_rejected_and_others_stay(spark):
     assert moved == {r["doc_id"]: r["distance"] for r in quality.judge(df).collect()}
 
 
+def test_every_statistic_can_reject(spark):
+    chance = random.Random(3)
+
+    def word(low, high):
+        return "".join(chance.choice("abcdeghi") for _ in range(chance.randint(low, high)))
+
+    plain = [(i, " ".join(word(2, 8) for _ in range(chance.randint(60, 400)))) for i in range(400)]
+    phrase = " ".join(word(3, 8) for _ in range(8))
+    odd = [
+        (1000, " ".join(chance.choice(ascii_lowercase) for _ in range(150))),
+        (1001, " ".join("https:" + word(30, 40) for _ in range(150))),
+        (1002, " ".join(word(3, 8) for _ in range(104)) + f" {phrase}" * 12),
+        (1003, " ".join(word(3, 8) + "#" * (i % 10 == 0) for i in range(200))),
+        (1004, "\n".join(" ".join(word(3, 8) for _ in range(30)) + "\nab cd" for _ in range(14))),
+        (1005, " ".join(word(3, 8) for _ in range(8000))),
+    ]
+    df = spark.createDataFrame(plain + odd, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    rows = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert [i for i, _ in odd if rows[i]["base_failed"] or rows[i]["kept"]] == []
+    assert [i for i, _ in plain if not rows[i]["kept"]] == []
+
+
 def jump_one(key, shards):
     state, at, after = key % 2**64, 0, 0
     while after < shards:

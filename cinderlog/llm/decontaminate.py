@@ -10,8 +10,9 @@ Candidates are verified exactly: windows of the item's own size around the place
 with the item by the weighted Jaccard similarity of five-word shingles.  A shingle's weight is
 ln(1 + items / items that have it), times how often it occurs.
 
-The benchmark is the query set.  It is taken in blocks of ``BLOCK_ITEMS`` items, so what each
-task is sent stays bounded whatever its size.
+The benchmark is the query set.  It is taken in blocks of ``BLOCK_ITEMS`` items.  Holders of a
+shingle are counted once over all items, so results don't depend on the blocks; besides its
+block each task is sent the counts of the shingles that several items have.
 
 Definitions: null or word-free texts and items match nothing; a text shorter than a class's
 windows is one window if it has at least ``threshold`` of their words; rows without an id are
@@ -237,11 +238,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("words")).where(F.col("item").isNotNull())
     spark = df.sparkSession
     total = items.count()
+    frequency = _frequencies(items) if total else {}
     blocks = -(-total // BLOCK_ITEMS)
     found = spark.createDataFrame([], SCHEMA)
     for block in range(blocks):
         chosen = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        found = found.unionByName(_block(rows, chosen, total, threshold, radius))
+        found = found.unionByName(_block(rows, chosen, frequency, total, threshold, radius))
     return (
         found.groupBy("id", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("first"))).alias("best"))
@@ -255,9 +257,9 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     return df.join(leaking, F.col(key).cast("long") == F.col("__leaks"), "left_anti")
 
 
-def _block(rows: DataFrame, chosen: DataFrame, total: int, threshold: float, radius: int) -> DataFrame:
+def _block(rows: DataFrame, chosen: DataFrame, frequency: dict[int, int], total: int, threshold: float, radius: int) -> DataFrame:
     items = [(r["item"], r["words"]) for r in chosen.orderBy("item").collect()]
-    sent = rows.sparkSession.sparkContext.broadcast((items, _frequencies(items), total))
+    sent = rows.sparkSession.sparkContext.broadcast((items, frequency, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*sent.value, threshold, radius)
@@ -272,9 +274,15 @@ def _block(rows: DataFrame, chosen: DataFrame, total: int, threshold: float, rad
     return rows.mapInArrow(run, SCHEMA)
 
 
-def _frequencies(items: list[tuple[int, str]]) -> dict[int, int]:
-    """How many items have a shingle, for those in more than one."""
-    words, counts = WordHashes(), Counter()
-    for _, text in items:
-        counts.update(set(shingles(words.of(text), SHINGLE).tolist()))
-    return {s: n for s, n in counts.items() if n > 1}
+def _frequencies(items: DataFrame) -> dict[int, int]:
+    """How many of all items have a shingle, for those in more than one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for text in batch.column(0):
+                own = np.unique(shingles(words.of(text.as_py()), SHINGLE))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
+
+    counts = items.select("words").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return {r["shingle"] & (1 << 64) - 1: r["n"] for r in counts.toLocalIterator()}

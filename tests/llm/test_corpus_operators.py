@@ -262,6 +262,22 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
+    chance = random.Random(10)
+    shared = prose(chance, 24)
+    items = [(i, f"{shared} {prose(chance, 8)}") for i in range(12)]
+    docs = spark.createDataFrame([(i, f"{text.rsplit(' ', 2)[0]} {prose(chance, 30)}") for i, text in items], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in decontaminate.leaks(docs, benchmark, threshold=0.5).collect()}
+
+    whole = found()
+    assert whole
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    assert found() == whole
+
+
 def test_fingerprints_within_the_radius_are_all_found():
     chance = np.random.default_rng(2)
     own = chance.integers(0, 1 << 63, 70, dtype=np.uint64)

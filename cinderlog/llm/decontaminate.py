@@ -7,7 +7,8 @@ bits: of four 16-bit blocks one must be within a quarter of that, so each block'
 lists the items for every value that near, and the full distance is taken for those only.
 
 Candidates are verified exactly: windows of the item's own size around the place are compared
-with the item by the weighted Jaccard similarity of five-word shingles.  A shingle's weight is
+with the item by the weighted Jaccard similarity of five-word shingles (of all its words for
+a shorter item, so such an item is found where its words stand one after the other).  A shingle's weight is
 ln(1 + items / items that have it), times how often it occurs.
 
 The benchmark is the query set.  It is taken in blocks of ``BLOCK_ITEMS`` items.  Holders of a
@@ -136,8 +137,9 @@ class Index:
         """
         size, bag = len(self.words[item]), self.bags[item]
         low, high = max(0, start - slack), min(len(words), start + slack + size)
-        if values is None or high - low < SHINGLE:
-            values = shingles(words[low:high], SHINGLE).tolist()
+        width = min(SHINGLE, size)
+        if values is None or width < SHINGLE or high - low < SHINGLE:
+            values = shingles(words[low:high], width).tolist()
         else:
             values = values[low : high - SHINGLE + 1]
         if bag.keys().isdisjoint(values):
@@ -166,6 +168,8 @@ class Index:
                         part = block.part[starts[k]]
                         text = block.owners[part]
                         place = int(starts[k] - block.firsts[part] + block.offsets[part])
+                        if best.get((text, item), (0.0, 0))[0] >= 1 and place - slack >= best[text, item][1]:
+                            continue
                         value, first = self.similarity(item, texts[text], place, slack, known[text])
                         if value >= self.threshold and (value, -first) > (lambda b: (b[0], -b[1]))(best.get((text, item), (0.0, 0))):
                             best[text, item] = (value, first)

@@ -278,6 +278,16 @@ def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
     assert found() == whole
 
 
+def test_short_items_are_found_inside_texts(spark):
+    chance = random.Random(11)
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(1, 7)]
+    rows = [(n, f"{prose(chance, 40)} {text.title()} {prose(chance, 30)}") for n, text in items] + [(9, "item3word0 item3word2 item3word1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert found == {(n, n, 1.0, 40) for n in range(1, 7)}
+
+
 def test_fingerprints_within_the_radius_are_all_found():
     chance = np.random.default_rng(2)
     own = chance.integers(0, 1 << 63, 70, dtype=np.uint64)

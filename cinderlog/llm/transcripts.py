@@ -39,6 +39,8 @@ CHUNK = 256
 #: A marker name is told apart when at least this share of all marked lines has it.
 NAME_SHARE = 0.001
 SMOOTHING = 0.5
+#: A marker name is so much likelier (logarithm) for starts than for later lines.
+MARKED = log(10)
 
 # What may stand before a speaker's words: some signs, a name, a closing sign.
 MARKER = re.compile(r"^[\s#*\-<|\[(]{0,8}([A-Za-z]{1,14})[|\])*>]{0,3}(?:[:>\]|]+\s?|\s*$)")
@@ -55,9 +57,10 @@ def observe(line: str) -> tuple[str, str, str, str, str]:
     return found[1].lower() if found else "-", str(text.endswith("?")), str(min(len(text).bit_length(), 12)), case, str(not text)
 
 
-def without_marker(line: str) -> str:
+def without_marker(line: str, model: "Model") -> str:
+    """The line without its speaker marker, if the model knows that name for the starts of turns."""
     found = MARKER.match(line)
-    return line[found.end() :] if found else line
+    return line[found.end() :] if found and model.marks(found[1].lower()) else line
 
 
 @dataclass(frozen=True)
@@ -68,6 +71,11 @@ class Model:
     moves: np.ndarray
     emissions: dict[str, dict[str, np.ndarray]]
 
+    def marks(self, name: str) -> bool:
+        """Whether a name is clearly likelier in the first line of some role's turns than in their later ones."""
+        found = self.emissions["name"].get(name) if name else None
+        return found is not None and any(found[NUMBER[r, True]] > found[NUMBER[r, False]] + MARKED for r in ROLES)
+
     def scores(self, lines: list[str]) -> np.ndarray:
         """Log probability of each line in each state."""
         out = np.zeros((len(lines), S))
@@ -260,7 +268,7 @@ def parse(df: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn"
                 role, begins = STATES[state]
                 if begins or not rows:
                     rows.append([role, not begins, []])
-                rows[-1][2].append(without_marker(line) if begins else line)
+                rows[-1][2].append(without_marker(line, own) if begins else line)
             content = ["\n".join(r[2]).strip() for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [

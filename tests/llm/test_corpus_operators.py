@@ -207,6 +207,14 @@ def test_roles_of_marked_transcripts(talk):
     assert transcripts.parse(talk.limit(0), model).count() == 0
 
 
+def test_words_that_mark_no_speaker_stay(talk):
+    model = transcripts.fit(talk)
+    rows = [(1, 0, "Thanks"), (2, 0, "Warning: do not mix"), (3, 0, "User: hello there")]
+    parts = talk.sparkSession.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r["conv_id"]: r["content"] for r in transcripts.parse(parts, model).where("segment = 0").collect()}
+    assert got == {1: "Thanks", 2: "Warning: do not mix", 3: "hello there"}
+
+
 def test_chunks_do_not_change_the_path(talk):
     model = transcripts.fit(talk)
 

@@ -1,12 +1,13 @@
 """The queries of these operators: each applies one to its whole table."""
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.llm import bpe, decontaminate, licenses, neardup, packing, quality, sharding, suffixes, transcripts, warc
+from cinderlog.llm import bpe, decontaminate, licenses, neardup, negatives, packing, quality, repacking, runs, sharding, suffixes, transcripts, warc
 from cinderlog.llm.workers import with_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,70 @@ def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jump_sharding")
 def jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def with_echo(name: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten, by the check sum of its id, repeats a part of itself to its end."""
+    code = zlib.crc32(b"" if name is None else b"%d" % name)
+    n = len(words)
+    if code % 10 or not n:
+        return words
+    g = code // 10
+    at = g % n
+    period = 1 + (n - at) // (3 + g % 8)
+    part = words[at : at + period]
+    return words[:at] + (part * (-(-(n - at) // period)))[: n - at]
+
+
+def _by_exponent(a: Column, b: Column) -> Column:
+    """Order of runs by length/period downwards, then start, then period, in whole numbers."""
+    longer = F.signum(b["length"] * a["period"] - a["length"] * b["period"])
+    later = F.signum(a["start"] - b["start"])
+    return F.when(longer != 0, longer).when(later != 0, later).otherwise(F.signum(a["period"] - b["period"])).cast("int")
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=with_echo)
+    best = F.get(F.array_sort("runs", _by_exponent), 0)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+@query("op13_certified_packing")
+def certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = repacking.repack(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset", "gap")

@@ -1,20 +1,23 @@
 """Fitted models: training, scoring, explanations, retraining.
 
-Fitted values depend on random forests, so the SQL of these queries covers what
-does not: sample sizes, routes, rule rows, ranges, counts.
+Scoring is checked value by value on bundles whose trees follow from a rule (``checks.fixed``), which
+SQL walks by itself.  What depends on fitted trees is checked by labels that the features decide, by
+sample sizes and counts.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.lines import BGL, HDFS, _lines
-from checks.registry import check, hour, routed, rule
-from checks.training import _order
+from checks import fixed
+from checks.lines import PARSED, PARSER, _lines, respelled
+from checks.registry import check, routed
+from checks.training import STANDARD_TIME, _order, time_sql
 from checks.views import documents, table, view
 from cinderlog.functions import text
 from cinderlog.functions.ordering import column_order
 from cinderlog.functions.quantile import exact_quantiles
-from cinderlog.operators import explain, features, forest, iforest, prep
+from cinderlog.operators import explain, features, forest, iforest, parse, scorer
+from cinderlog.operators.rules import is_short_circuit
 from cinderlog.plans import retrain, scoring, training
 from cinderlog.sources import corrections, models, staging
 
@@ -72,15 +75,21 @@ def forest_samples(spark, d):
     return drawn.groupBy("tree").agg(F.count_distinct("code").alias("rows"))
 
 
-@check("M2_isolation_scores", sql="SELECT vec_id, true AS in_range FROM embeddings")
+DENSE = [("vectors", 64, 5)]
+VECTOR_CELLS = "SELECT vec_id AS key, unnest(range(len(embedding))) AS feature, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
+VECTOR_OUTPUTS = fixed.outputs_sql("SELECT vec_id AS key, 'vectors' AS model FROM embeddings", VECTOR_CELLS, fixed.nodes_sql(DENSE, dense=True))
+
+
+@check(
+    "M2_isolation_scores",
+    sql=f"""WITH RECURSIVE {VECTOR_OUTPUTS}
+    SELECT key AS vec_id, round(if_decision, 9) AS if_decision, CASE WHEN if_decision < 0 THEN -1 ELSE 1 END AS if_prediction FROM iso""",
+)
 def isolation_scores(spark, d):
-    rows = _embeddings(spark, d)
-    model = iforest.IsolationForest("vec_id", trees=50).fit(rows)
-    scored = model.transform(rows)
-    agrees = (F.col("if_decision") < 0) == (F.col("if_prediction") == -1)
-    return scored.select(
-        "vec_id", (F.col("if_decision").between(-1.0, 1.0) & agrees).alias("in_range")
-    )
+    """Scores of a forest that follows from a rule; SQL walks the same trees."""
+    _, size, salt = DENSE[0]
+    scored = fixed.isolation_forest(size, salt, dense=True).transform(_embeddings(spark, d))
+    return scored.select("vec_id", F.round("if_decision", 9).alias("if_decision"), "if_prediction")
 
 
 @check(
@@ -105,12 +114,34 @@ def offset_share(spark, d):
     )
 
 
-LABEL_TEXT = "FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+def _decided(spark, d):
+    """Log lines whose label their parsed level decides, with few other features."""
+    parsed = parse.parse_generic(_lines(spark, d))
+    label = F.when(F.col("level") == "ERROR", "AppError").when(F.col("level").isin("WARNING", "CRITICAL"), "SystemFailure").otherwise("Normal")
+    rows = parsed.select("line_no", text.mask("message").alias("message"), "level", F.lit(-1).alias("hour"), label.alias("label"))
+    vocabulary = features.fit_vocabulary(rows, max_features=1)
+    return staging.materialize(
+        features.served_features(rows, vocabulary).select("line_no", "label", "features"), "decided"
+    )
+
+
+DECIDED = f"""
+WITH levels AS (SELECT line_no, {respelled('raw_level', PARSER)} AS level FROM ({PARSED}) p),
+decided AS (SELECT line_no, CASE WHEN level = 'ERROR' THEN 'AppError' WHEN level IN ('WARNING', 'CRITICAL') THEN 'SystemFailure' ELSE 'Normal' END AS label FROM levels)
+"""
+
+
+@check("M5_decided_labels", "log_lines", f"{DECIDED} SELECT line_no, label AS rf_class FROM decided")
+def decided_labels(spark, d):
+    """A fitted forest finds the label of every line, as one feature decides it."""
+    rows = _decided(spark, d)
+    model, classes = forest.fit_forest(rows, "line_no", trees=40, depth=8)
+    return forest.predict(rows, model, classes).select("line_no", "rf_class")
 
 
 @check(
     "M5_document_classifier",
-    sql=f"SELECT d.doc_id, true AS known_class, true AS sums_to_one {LABEL_TEXT}",
+    sql="SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS truth, 1.0::DOUBLE AS total FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
 )
 def document_classifier(spark, d):
     """TF-IDF of documents against their quality label."""
@@ -129,19 +160,24 @@ def document_classifier(spark, d):
     model, classes = forest.fit_forest(featured, "doc_id", trees=20, depth=5)
     total = F.aggregate(F.map_values("rf_probabilities"), F.lit(0.0), lambda a, x: a + x)
     return forest.predict(featured, model, classes).select(
-        "doc_id",
-        F.col("rf_class").isin("0", "1").alias("known_class"),
-        (F.abs(total - 1.0) < 1e-9).alias("sums_to_one"),
+        "doc_id", F.col("label").alias("truth"), F.round(total, 9).alias("total")
     )
 
 
-@check("M6_predictions", sql=None)
+PROBABILITIES = ", ".join(f"round(m{c}, 9) AS p_{name.lower()}" for c, name in enumerate(fixed.CLASSES))
+
+
+@check(
+    "M6_predictions",
+    sql=f"WITH RECURSIVE {VECTOR_OUTPUTS} SELECT key AS vec_id, rf_class, round(rf_confidence, 9) AS rf_confidence, {PROBABILITIES} FROM classed",
+)
 def predictions(spark, d):
-    _, bundles, _, _ = trained(spark, d)
-    rows = _featured(spark, d)
-    return forest.predict(rows, bundles["BGL"].forest, bundles["BGL"].classes).select(
-        "line_no", "label", "rf_class", F.round("rf_confidence", 6).alias("rf_confidence")
-    )
+    """Class, confidence and all probabilities by a forest that follows from a rule; SQL walks the same trees."""
+    _, size, salt = DENSE[0]
+    table_of = fixed.class_forest(size, salt, dense=True)
+    scored = forest.predict(_embeddings(spark, d), table_of, fixed.CLASSES)
+    shown = [F.round(F.col("rf_probabilities")[name], 9).alias(f"p_{name.lower()}") for name in fixed.CLASSES]
+    return scored.select("vec_id", "rf_class", F.round("rf_confidence", 9).alias("rf_confidence"), *shown)
 
 
 @check("M7_cross_validation", sql=None)
@@ -194,85 +230,48 @@ def attributions(spark, d):
     )
 
 
-@check(
-    "K10_served_scoring",
-    "log_lines",
-    f"""
-    SELECT line_no, dataset_routed, {hour('raw', 'dataset_routed')} AS extracted_hour, coalesce(score >= 0.8, false) AS is_known_threat,
-      threat AS matched_rule, score AS rule_score, true AS consistent
-    FROM (SELECT line_no, raw, {routed('raw')} AS dataset_routed, {rule('raw', 2)} AS threat, {rule('raw', 3)} AS score FROM log_lines) l
-    """,
-)
+SERVED = "WITH RECURSIVE " + fixed.served_sql("SELECT line_no AS key, raw FROM log_lines")
+
+
+@check("K10_served_scoring", "log_lines", f"{SERVED} SELECT key AS line_no, {fixed.SERVED_COLUMNS} FROM served")
 def served_scoring(spark, d):
-    """Every line through rules and fitted models; levels agree with scores."""
-    _, bundles, _, _ = trained(spark, d)
+    """Every column of every line: rules, both forests of either dataset, overrides, rounding."""
     lines = _lines(spark, d).select("line_no", "raw")
-    scored = scoring.score_served(lines, bundles, "line_no")
-    risk, level, known = F.col("final_risk_score"), F.col("risk_level"), F.col("is_known_threat")
-    by_risk = F.when(risk > 0.80005, level == "High").when(
-        risk < 0.49995, level == "Low"
-    ).otherwise(level.isNotNull())
-    return scored.select(
-        "line_no",
-        "dataset_routed",
-        "extracted_hour",
-        "is_known_threat",
-        "matched_rule",
-        F.when(known, risk).alias("rule_score"),
-        (risk.between(0.0, 1.0) & by_risk & (F.col("predicted_class").isNotNull())).alias(
-            "consistent"
-        ),
-    )
+    return scoring.score_served(lines, fixed.bundles(), "line_no").select("line_no", *fixed.SERVED_LIST)
 
 
 @check(
     "K10_staged_explained_scoring",
     "log_lines",
-    f"""
-    SELECT line_no, coalesce({rule('raw', 3)} >= 0.8, false) AS is_known_threat, true AS explained_when_risky FROM log_lines
-    """,
+    f"{SERVED} SELECT key AS line_no, final_risk_score, NOT hit AND r3 >= 0.5 AS is_explained FROM (SELECT s.*, hit, r3 FROM served s JOIN final f ON s.key = f.key) x",
 )
 def explained_scoring(spark, d):
     """Staged scoring: exactly the risky lines without a rule are explained."""
-    _, bundles, _, _ = trained(spark, d)
     lines = _lines(spark, d).select("line_no", "raw")
-    scored = scoring.score_served(lines, bundles, "line_no", explained=True, stage=True)
-    risky = ~F.col("is_known_threat") & (F.col("risk_level") != "Low")
+    scored = scoring.score_served(lines, fixed.bundles(), "line_no", explained=True, stage=True)
     return scored.select(
-        "line_no",
-        "is_known_threat",
-        (F.col("shap_explanation").isNotNull() == risky).alias("explained_when_risky"),
+        "line_no", "final_risk_score", F.col("shap_explanation").isNotNull().alias("is_explained")
     )
 
 
+LAYERED_OUTPUTS = fixed.layered_sql(
+    f"SELECT p.line_no AS key, raw, message, {respelled('raw_level', PARSER)} AS level, time_delta, ts_hour FROM ({PARSED}) p JOIN times t ON p.line_no = t.line_no"
+)
+
+
 @check(
     "K10_layered_scoring",
     "log_lines",
-    """
-    SELECT file_id, count(*) AS lines, true AS consistent FROM log_lines GROUP BY file_id
-    """,
+    f"WITH RECURSIVE times AS ({time_sql(STANDARD_TIME)}), {LAYERED_OUTPUTS} SELECT key AS line_no, {fixed.LAYERED_COLUMNS} FROM layered",
 )
 def layered_scoring(spark, d):
-    """Parsed files through a bundle of the layered layout."""
+    """Parsed files layer by layer, by a bundle of the layered layout."""
     lines = _lines(spark, d).select("line_no", "file_id", "raw")
-    rows = prep.prepare(lines, "BGL", _order(), "line_no")
-    timed = rows.withColumns({"time_delta": F.lit(0.0), "ts_hour": F.col("hour")})
-    bundle, _ = training.train_rows(
-        staging.materialize(timed, "layered"), "BGL", "line_no", terms=TERMS, layout="layered", **SMALL
-    )
-    models.publish(spark, staging.new_path(spark, "layered-models"), bundle)
     scored = scoring.score_layered(
-        lines, bundle, column_order("line_no", 900), "line_no", "file_id", file="file_id", explained=True
-    )
-    known, usual = F.col("is_known_threat"), F.col("if_prediction") == 1
-    consistent = (
-        F.when(known, (F.col("risk_level") == "Critical") & (F.col("final_risk_score") == 1.0))
-        .when(usual, (F.col("predicted_class") == "Normal") & (F.col("final_risk_score") <= 0.2))
-        .otherwise(F.col("final_risk_score").between(0.0, 1.0))
-    )
-    return scored.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.bool_and(consistent).alias("consistent")
+        lines, fixed.bundle("BGL", "layered"), column_order("line_no", 900), "line_no", file="file_id"
     )
+    rounded = {c: F.round(c, 9) for c in ("if_anomaly_score", "rf_confidence", "final_risk_score")}
+    return scored.withColumns(rounded).select("line_no", *fixed.LAYERED_LIST)
 
 
 @check(
@@ -285,9 +284,8 @@ def layered_scoring(spark, d):
 )
 def model_selection(spark, d):
     """Without an HDFS model its lines fall back to the BGL one."""
-    _, bundles, _, _ = trained(spark, d)
     lines = _lines(spark, d).select("line_no", "raw")
-    scored = scoring.score_served(lines, {"BGL": bundles["BGL"]}, "line_no")
+    scored = scoring.score_served(lines, {"BGL": fixed.bundle("BGL")}, "line_no")
     return scored.where(F.col("final_risk_score").isNotNull()).groupBy("dataset_routed").agg(
         F.count(F.lit(1)).alias("lines")
     )
@@ -296,38 +294,28 @@ def model_selection(spark, d):
 @check(
     "S10_model_round_trip",
     "log_lines",
-    f"""
-    SELECT 'HDFS' AS dataset, count(*) AS lines, true AS same FROM log_lines WHERE regexp_matches(raw, '{HDFS}')
-    UNION ALL SELECT 'BGL', count(*), true FROM log_lines WHERE regexp_matches(raw, '{BGL}')
-    """,
+    f"""{SERVED} SELECT a.key AS line_no, a.model AS dataset, round(if_decision, 9) AS if_decision, rf_class, round(c.rf_confidence, 9) AS rf_confidence
+    FROM asked a JOIN iso i ON a.key = i.key JOIN classed c ON a.key = c.key WHERE NOT hit""",
 )
 def model_round_trip(spark, d):
-    """A stored and reloaded bundle scores every training line the same."""
-    _, bundles, _, _ = trained(spark, d)
-    lines = _lines(spark, d).select("line_no", "raw")
-    out = []
-    for dataset in DATASETS:
-        path = staging.new_path(spark, "copy")
-        again = models.load_bundle(spark, models.save_bundle(spark, models.load_bundle(
-            spark, bundles[dataset].path), path).path)
-        featured = features.served_features(
-            prep.label_lines(lines, dataset), bundles[dataset].vocabulary
-        )
-        one = scoring.apply_models(featured, bundles[dataset]).select(
-            "line_no", F.col("if_decision").alias("a"), F.col("rf_confidence").alias("b")
-        )
-        two = scoring.apply_models(featured, again).select("line_no", "if_decision", "rf_confidence")
-        same = (F.abs(F.col("a") - F.col("if_decision")) < 1e-12) & (
-            F.abs(F.col("b") - F.col("rf_confidence")) < 1e-12
-        )
-        out.append(
-            one.join(two, "line_no").agg(
-                F.lit(dataset).alias("dataset"),
-                F.count(F.lit(1)).alias("lines"),
-                F.bool_and(same).alias("same"),
-            )
-        )
-    return out[0].unionByName(out[1])
+    """Published, reloaded bundles score every line as the trees that were stored do."""
+    root = staging.new_path(spark, "stored-models")
+    for bundle in fixed.bundles().values():
+        models.publish(spark, root, bundle)
+    bundles = models.load_available(spark, root)
+    routed_lines = scoring.route_lines(_lines(spark, d).select("line_no", "raw"), ["line_no"], set(bundles))
+    prepared = routed_lines.where(~is_short_circuit(F.col("rule.score"))).withColumns(
+        {"words": text.mask(F.col("message")), "hour": F.col("extracted_hour")}
+    )
+    featured = scoring.features_by_model(prepared, bundles, "words", F.lit(True))
+    shared = {name: bundle.shared(spark) for name, bundle in bundles.items()}
+    return scorer.with_model_outputs(featured, shared).select(
+        "line_no",
+        F.col("model").alias("dataset"),
+        F.round("if_decision", 9).alias("if_decision"),
+        "rf_class",
+        F.round("rf_confidence", 9).alias("rf_confidence"),
+    )
 
 
 @check(

@@ -165,4 +165,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(names: str, body: str) -> str:
     """SQL for DuckDB: the named inputs as common table expressions, then the body."""
     parts = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names.split())
-    return f"WITH {parts} {body.replace('WITH ', ', ', 1) if body.lstrip().startswith('WITH ') else body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.lstrip().startswith(start):
+            return f"{start}{parts} {body.replace(start, ', ', 1)}"
+    return f"WITH {parts} {body}"

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from checks import fixed
 from checks.registry import check
 from checks.views import view
 from cinderlog.operators import workflow
+from cinderlog.plans import reports
 
 SOC = "analysts feedbacks cases"
 ANALYST = 5
@@ -150,6 +152,44 @@ def case_reports(spark, d):
     )
 
 
+# Lines of all formats, some blank or missing, and a second case for every other feedback that has one.
+REPORTED = """SELECT f.* EXCLUDE (raw_log), CASE WHEN f.id % 13 = 0 THEN NULL WHEN f.id % 17 = 0 THEN '  ' WHEN f.id % 3 = 0 THEN f.raw_log ELSE l.raw END AS raw_log
+  FROM feedbacks f LEFT JOIN log_lines l ON CAST(f.id AS BIGINT) = l.line_no"""
+TWICE = "SELECT id, feedback_id, assigned_analyst_id, status FROM cases UNION ALL SELECT id + 5000000, feedback_id, 7, 'Closed' FROM cases WHERE feedback_id % 2 = 0"
+NOW = ", ".join(f"v.{c} AS {reports.PREFIX}{c}" for c in fixed.SERVED_LIST)
+
+
+@check(
+    "Q8_rescored_reports",
+    f"{SOC} log_lines",
+    f"""WITH RECURSIVE reported AS ({REPORTED}), twice AS ({TWICE}),
+    {fixed.served_sql("SELECT DISTINCT trim(raw_log) AS key, trim(raw_log) AS raw FROM reported WHERE trim(raw_log) <> ''")},
+    first_case AS (SELECT feedback_id, min(id) AS id, min_by(status, id) AS status, arg_min_null(assigned_analyst_id, id) AS assigned_analyst_id FROM twice GROUP BY feedback_id)
+    SELECT f.id, f.status, a.username AS author_username, c.id AS case_id, c.status AS case_status, s.username AS assignee_username, {NOW}
+    FROM reported f LEFT JOIN analysts a ON f.analyst_id = a.id LEFT JOIN first_case c ON f.id = c.feedback_id
+    LEFT JOIN analysts s ON c.assigned_analyst_id = s.id LEFT JOIN served v ON trim(f.raw_log) = v.key
+    """,
+)
+def rescored_reports(spark, d):
+    """Joined reports with every column of the re-score by fixed bundles; null and blank lines, two cases a feedback."""
+    analysts, feedbacks, cases = _soc(spark, d)
+    lines = view(spark, d, "log_lines").select(F.col("line_no").alias("__line_no"), "raw")
+    number = F.col("id")
+    shown = F.when(number % 13 == 0, None).when(number % 17 == 0, "  ").when(number % 3 == 0, F.col("raw_log")).otherwise(F.col("raw"))
+    reported = (
+        feedbacks.join(lines, number.cast("long") == F.col("__line_no"), "left")
+        .withColumn("raw_log", shown)
+        .select(*feedbacks.columns)
+    )
+    extra = cases.where("feedback_id % 2 = 0").withColumns(
+        {"id": F.col("id") + 5000000, "assigned_analyst_id": F.lit(7), "status": F.lit("Closed")}
+    )
+    rescored = reports.rescored_reports(reported, cases.unionByName(extra), analysts, fixed.bundles())
+    return rescored.select(
+        "id", "status", "author_username", "case_id", "case_status", "assignee_username", *[reports.PREFIX + c for c in fixed.SERVED_LIST]
+    )
+
+
 @check(
     "Q9_intake",
     "feedbacks",

@@ -24,21 +24,24 @@ def distinct_rows(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the first copy of each sparse row, and every row's copy number.
 
-    Masked log lines repeat a lot, so models run on the distinct rows of a batch.
+    Masked log lines repeat a lot, so models run on the distinct rows of a batch.  Rows of
+    one length are compared together, as bytes.
     """
-    indices = np.ascontiguousarray(indices, dtype=np.int32)
-    values = np.ascontiguousarray(values, dtype=np.float64)
-    seen: dict[bytes, int] = {}
-    firsts: list[int] = []
-    copy = np.empty(len(offsets) - 1, dtype=np.int64)
-    for row in range(len(offsets) - 1):
-        a, b = offsets[row], offsets[row + 1]
-        code = indices[a:b].tobytes() + values[a:b].tobytes()
-        number = seen.setdefault(code, len(firsts))
-        if number == len(firsts):
-            firsts.append(row)
-        copy[row] = number
-    return np.array(firsts, dtype=np.int64), copy
+    lengths = np.diff(offsets)
+    first = np.empty(len(lengths), dtype=np.int64)
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        place = offsets[rows][:, None] + np.arange(length)
+        codes = np.concatenate(
+            [indices[place].astype(np.int64), values[place].astype(np.float64).view(np.int64)], axis=1
+        )
+        if length == 0:
+            first[rows] = rows[0]
+            continue
+        codes = np.ascontiguousarray(codes).view(f"V{codes.shape[1] * 8}").ravel()
+        _, where, copy = np.unique(codes, return_index=True, return_inverse=True)
+        first[rows] = rows[where][copy]
+    return np.unique(first, return_inverse=True)
 
 
 def densify(
@@ -58,8 +61,28 @@ def densify(
     return dense
 
 
+def flat_forest(
+    tree: np.ndarray, feature: np.ndarray, threshold: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray
+) -> dict:
+    """Node arrays of a forest, ordered by tree and node; children are positions in the arrays.
+
+    Nodes of a tree are numbered from 0 without gaps, leaves have feature -1, and ``value`` has
+    a number or a row of numbers for every node.
+    """
+    trees, starts = np.unique(tree, return_index=True)
+    base = starts[np.searchsorted(trees, tree)]
+    return {
+        "roots": starts,
+        "feature": np.asarray(feature, dtype=np.int64),
+        "threshold": np.asarray(threshold, dtype=float),
+        "left": np.asarray(left, dtype=np.int64) + base,
+        "right": np.asarray(right, dtype=np.int64) + base,
+        "value": np.asarray(value, dtype=float),
+    }
+
+
 def leaf_values(dense: np.ndarray, forest: dict) -> np.ndarray:
-    """Leaf value reached in every tree: one matrix of rows by trees."""
+    """Leaf value reached in every tree: one matrix of rows by trees (by classes, where values are rows)."""
     node = np.repeat(forest["roots"][None, :], len(dense), axis=0)
     row = np.arange(len(dense))[:, None]
     while True:
@@ -72,23 +95,50 @@ def leaf_values(dense: np.ndarray, forest: dict) -> np.ndarray:
         node = np.where(inner, step, node)
 
 
-def mean_leaf_values(indices: pa.Array, values: pa.Array, forest: dict) -> np.ndarray:
-    """Forest average for a batch of sparse rows."""
+def flat_lists(indices: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets from 0, indices and values of a batch of sparse rows without nulls."""
     offsets, flat_indices = list_parts(indices)
-    _, flat_values = list_parts(values)
+    value_offsets, flat_values = list_parts(values)
     # Both lists of a row have one length, but slices may start elsewhere.
-    base = offsets[0]
-    value_base = list_parts(values)[0][0]
-    flat_indices = flat_indices[base : offsets[-1]]
-    flat_values = flat_values[value_base : value_base + len(flat_indices)]
-    offsets = offsets - base
+    n = offsets[-1] - offsets[0]
+    flat_indices = flat_indices[offsets[0] : offsets[-1]]
+    flat_values = flat_values[value_offsets[0] : value_offsets[0] + n]
+    return offsets - offsets[0], flat_indices, flat_values
+
+
+def mean_leaf_values(indices: pa.Array, values: pa.Array, forest: dict) -> np.ndarray:
+    """Forest average for a batch of sparse rows."""
+    offsets, flat_indices, flat_values = flat_lists(indices, values)
     firsts, copy = distinct_rows(offsets, flat_indices, flat_values)
-    means = np.empty(len(firsts))
+    means = [np.empty((0, *forest["value"].shape[1:]))]
     for start in range(0, len(firsts), BLOCK_ROWS):
         block = firsts[start : start + BLOCK_ROWS]
         dense = densify(block, offsets, flat_indices, flat_values, forest["size"])
-        means[start : start + BLOCK_ROWS] = leaf_values(dense, forest).mean(axis=1)
-    return means[copy] if len(firsts) else np.empty(0)
+        means.append(leaf_values(dense, forest).mean(axis=1))
+    return np.concatenate(means)[copy]
+
+
+def both_forests(
+    indices: pa.Array, values: pa.Array, model: dict, only_odd: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(decision, class number, confidence) of a batch of sparse rows; class -1 where the second forest was not asked.
+
+    With ``only_odd`` the class forest sees only rows that the isolation forest calls odd.
+    """
+    offsets, flat_indices, flat_values = flat_lists(indices, values)
+    firsts, copy = distinct_rows(offsets, flat_indices, flat_values)
+    decision, number, confidence = np.empty(len(firsts)), np.full(len(firsts), -1), np.zeros(len(firsts))
+    for start in range(0, len(firsts), BLOCK_ROWS):
+        part = slice(start, start + BLOCK_ROWS)
+        dense = densify(firsts[part], offsets, flat_indices, flat_values, model["size"])
+        paths = leaf_values(dense, model["iso"]).mean(axis=1)
+        decision[part] = -np.exp2(-paths / model["norm"]) - model["offset"]
+        asked = np.flatnonzero(decision[part] < 0) if only_odd else np.arange(len(dense))
+        if len(asked):
+            shares = leaf_values(dense[asked], model["forest"]).mean(axis=1)
+            best = shares.argmax(axis=1)
+            number[start + asked], confidence[start + asked] = best, shares[np.arange(len(best)), best]
+    return decision[copy], number[copy], confidence[copy]
 
 
 def average_path(n) -> np.ndarray:

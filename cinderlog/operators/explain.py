@@ -11,10 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyspark.cloudpickle as cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.functions import kernels
+from cinderlog.operators.forest import ForestTable, read_nodes  # noqa: F401
 
 cloudpickle.register_pickle_by_value(kernels)
 
@@ -34,21 +35,6 @@ EXPLAINED = (
 )
 
 
-def read_nodes(spark: SparkSession, forest_path: str) -> DataFrame:
-    """Node table of a stored forest: children, splits and class shares."""
-    nodes = spark.read.parquet(f"{forest_path}/data")
-    n = F.col("nodeData")
-    return nodes.select(
-        F.col("treeID").alias("tree"),
-        n["id"].alias("node"),
-        n["leftChild"].alias("left"),
-        n["rightChild"].alias("right"),
-        n["split"]["featureIndex"].alias("feature"),
-        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        n["impurityStats"].alias("stats"),
-    )
-
-
 @dataclass
 class Explainer:
     """Leaf table of a forest with everything a row needs, ready to broadcast."""
@@ -57,10 +43,21 @@ class Explainer:
     base: np.ndarray
     names: list[str]
 
+    @staticmethod
+    def from_table(forest: ForestTable, names: list[str]) -> "Explainer":
+        """From a node table with its class shares and covers."""
+        nodes = forest.nodes
+        weights = [np.asarray(s, dtype=float) * c for s, c in zip(nodes["shares"], nodes["cover"], strict=True)]
+        return Explainer._built(nodes.assign(stats=weights), names)
+
     @staticmethod
     def from_nodes(nodes: DataFrame, names: list[str]) -> "Explainer":
+        """From MLlib's stored nodes."""
+        return Explainer._built(nodes.orderBy("tree", "node").toPandas(), names)
+
+    @staticmethod
+    def _built(table: pd.DataFrame, names: list[str]) -> "Explainer":
         """Built on the driver: the table is the forest, which fits it anyway."""
-        table = nodes.orderBy("tree", "node").toPandas()
         rows, roots, blocks = [], [], [0]
         for _, tree in table.groupby("tree", sort=True):
             left = tree["left"].to_numpy()

@@ -1,19 +1,27 @@
 """Random forest on MLlib, with weights, prediction columns and evaluation."""
 
 import statistics
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyspark.cloudpickle as cloudpickle
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlog.functions import kernels
 from cinderlog.functions.ordering import hash_order, number_rows
 from cinderlog.operators.features import as_vector
-from cinderlog.sources.staging import materialize
+from cinderlog.sources.staging import materialize, new_path
+
+cloudpickle.register_pickle_by_value(kernels)
 
 # Forest settings.
 TREES = 200
@@ -25,6 +33,77 @@ PARTITIONS = 64
 
 MAX_CLASSES = 1000
 
+NODE_SCHEMA = (
+    "tree int, node int, feature int, threshold double, left int, right int, shares array<double>"
+)
+
+
+def read_nodes(spark: SparkSession, forest_path: str) -> DataFrame:
+    """Node table of a forest that MLlib stored: children, splits and class weights."""
+    nodes = spark.read.parquet(f"{forest_path}/data")
+    n = F.col("nodeData")
+    return nodes.select(
+        F.col("treeID").alias("tree"),
+        n["id"].alias("node"),
+        n["leftChild"].alias("left"),
+        n["rightChild"].alias("right"),
+        n["split"]["featureIndex"].alias("feature"),
+        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        n["impurityStats"].alias("stats"),
+    )
+
+
+@dataclass
+class ForestTable:
+    """A fitted forest as its node table, which any engine can walk.
+
+    A row goes left where its value is at most the threshold; leaves have feature -1.  ``shares``
+    are a node's class shares, ``cover`` the weight of the rows it was fitted on.  The forest's
+    probabilities are the mean of the shares of the leaves that a row reaches.  The table has at
+    most ``trees * 2 ** (depth + 1)`` nodes, whatever the size of the data.
+    """
+
+    nodes: pd.DataFrame
+    size: int
+    _flat: dict | None = field(default=None, repr=False, compare=False)
+
+    @staticmethod
+    def from_model(spark: SparkSession, model: RandomForestClassificationModel) -> "ForestTable":
+        path = new_path(spark, "forest")
+        model.write().save(path)
+        nodes = read_nodes(spark, path)
+        cover = F.aggregate("stats", F.lit(0.0), lambda total, x: total + x)
+        inner = F.col("left") >= 0
+        table = nodes.withColumn("cover", cover).select(
+            "tree",
+            "node",
+            F.when(inner, F.col("feature")).otherwise(-1).cast("int").alias("feature"),
+            F.when(inner, F.col("threshold")).otherwise(0.0).alias("threshold"),
+            "left",
+            "right",
+            F.transform("stats", lambda x: x / F.col("cover")).alias("shares"),
+            "cover",
+        )
+        return ForestTable.from_frame(table, model.numFeatures)
+
+    @staticmethod
+    def from_frame(nodes: DataFrame, size: int) -> "ForestTable":
+        return ForestTable(nodes.orderBy("tree", "node").toPandas(), size)
+
+    def to_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(
+            self.nodes.assign(shares=self.nodes["shares"].map(list)), f"{NODE_SCHEMA}, cover double"
+        )
+
+    def flat(self) -> dict:
+        """Node arrays for :mod:`kernels`."""
+        if self._flat is None:
+            n = self.nodes
+            columns = [n[c].to_numpy() for c in ("tree", "feature", "threshold", "left", "right")]
+            shares = np.stack([np.asarray(x, dtype=float) for x in n["shares"]])
+            self._flat = kernels.flat_forest(*columns, shares) | {"size": self.size}
+        return self._flat
+
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights ``n / (k * n_c)`` of every class."""
@@ -108,28 +187,38 @@ def best_class(probabilities: Column, classes: list[str]) -> Column:
 
 def predict(
     df: DataFrame,
-    model: RandomForestClassificationModel,
+    model: RandomForestClassificationModel | ForestTable,
     classes: list[str],
     features: str = "features",
 ) -> DataFrame:
-    """Add ``rf_class``, ``rf_confidence`` and ``rf_probabilities`` by class."""
-    scored = (
-        model.setFeaturesCol("__vector")
-        .setPredictionCol("")
-        .setRawPredictionCol("")
-        .setProbabilityCol("__probability")
-        .transform(df.withColumn("__vector", as_vector(F.col(features))))
-        .withColumn("__p", vector_to_array("__probability"))
+    """Add ``rf_class``, ``rf_confidence`` and ``rf_probabilities`` by class; null features have none."""
+    spark = df.sparkSession
+    table = model if isinstance(model, ForestTable) else ForestTable.from_model(spark, model)
+    shared = spark.sparkContext.broadcast(table.flat())
+
+    @F.arrow_udf("array<double>")
+    def probabilities(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for indices, values in batches:
+            asked = np.flatnonzero(indices.is_valid().to_numpy(zero_copy_only=False))
+            means = kernels.mean_leaf_values(indices.take(pa.array(asked)), values.take(pa.array(asked)), shared.value)
+            rows = np.empty(len(indices), dtype=object)
+            rows[asked] = list(means)
+            yield pa.array(rows, pa.list_(pa.float64()))
+
+    # Stops the optimizer from copying the call into pushed-down filters.
+    scored = df.withColumn(
+        "__p", probabilities.asNondeterministic()(F.col(features)["indices"], F.col(features)["values"])
     )
     return scored.withColumns(
         {
             "rf_class": best_class(F.col("__p"), classes),
             "rf_confidence": F.array_max("__p"),
-            "rf_probabilities": F.map_from_arrays(
-                F.array(*[F.lit(c) for c in classes]), F.col("__p")
+            "rf_probabilities": F.when(
+                F.col("__p").isNotNull(),
+                F.map_from_arrays(F.array(*[F.lit(c) for c in classes]), F.col("__p")),
             ),
         }
-    ).drop("__vector", "__probability", "__p")
+    ).drop("__p")
 
 
 def _ratio(top: Column, bottom: Column) -> Column:

@@ -142,26 +142,20 @@ class IsolationForestModel(Model):
     def _forest(self) -> dict:
         """Flat node arrays; children are positions in the arrays."""
         nodes = self.nodes.sort_values(["tree", "node"], kind="stable")
-        tree = nodes["tree"].to_numpy()
-        trees, starts = np.unique(tree, return_index=True)
-        base = starts[np.searchsorted(trees, tree)]
-        return {
-            "roots": starts,
-            "feature": nodes["feature"].to_numpy(dtype=np.int64),
-            "threshold": nodes["threshold"].to_numpy(),
-            "left": nodes["left"].to_numpy(dtype=np.int64) + base,
-            "right": nodes["right"].to_numpy(dtype=np.int64) + base,
-            "value": nodes["path"].to_numpy(),
-            "size": int(self.size),
-        }
+        columns = [nodes[c].to_numpy() for c in ("tree", "feature", "threshold", "left", "right", "path")]
+        return kernels.flat_forest(*columns) | {"size": int(self.size)}
+
+    @property
+    def norm(self) -> float:
+        """Expected path length of a sample of the fitted size."""
+        return max(float(kernels.average_path(self.sample)), 1e-12)
 
     def score(self) -> Column:
         """Anomaly score in [-1, 0): lower is odder."""
         if self._shared is None:
             spark = SparkSession.active()
             self._shared = spark.sparkContext.broadcast(self._forest())
-        shared = self._shared
-        norm = max(float(kernels.average_path(self.sample)), 1e-12)
+        shared, norm = self._shared, self.norm
 
         @F.arrow_udf("double")
         def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions import risk, text
 from cinderlog.functions.ordering import RowOrder
-from cinderlog.operators import explain, features, forest, parse
+from cinderlog.operators import explain, features, parse, scorer
 from cinderlog.operators.rules import DEFAULT_RULES, Rule, is_short_circuit, rule_outcome
 from cinderlog.schemas import SCORED_COLUMNS, SHAP
 from cinderlog.sources.models import ModelBundle
@@ -42,24 +42,26 @@ def rule_hits(routed: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def fuse_served(scored: DataFrame, key: Sequence[str], *keep: str) -> DataFrame:
-    """Result rows from model outputs ``if_decision, if_prediction, rf_class, rf_confidence``."""
-    level, message = F.col("level"), F.col("message")
-    base = risk.served_base_risk(
-        F.col("rf_class"), F.col("anomaly"), F.col("rf_confidence")
-    )
-    fused = (
+def _fused(scored: DataFrame) -> DataFrame:
+    """Add ``anomaly``, ``risk`` and ``class`` from model outputs; null where there are none."""
+    level, message, known = F.col("level"), F.col("message"), F.col("rf_class").isNotNull()
+    base = risk.served_base_risk(F.col("rf_class"), F.col("anomaly"), F.col("rf_confidence"))
+    return (
         scored.withColumn("anomaly", risk.anomaly_probability(F.col("if_decision")))
-        .withColumn("risk", risk.override_risk(base, level, message))
+        .withColumn("risk", F.when(known, risk.override_risk(base, level, message)))
         .withColumn(
             "risk",
             risk.unscored_rule_bonus(
                 F.col("risk"), F.col("rule.threat_type"), F.col("rule.score")
             ),
         )
-        .withColumn("class", risk.override_class(F.col("rf_class"), level, message))
+        .withColumn("class", F.when(known, risk.override_class(F.col("rf_class"), level, message)))
     )
-    return fused.select(
+
+
+def fuse_served(scored: DataFrame, key: Sequence[str], *keep: str) -> DataFrame:
+    """Result rows from model outputs ``if_decision, if_prediction, rf_class, rf_confidence``."""
+    return _fused(scored).select(
         *key,
         "level",
         "message",
@@ -79,6 +81,34 @@ def fuse_served(scored: DataFrame, key: Sequence[str], *keep: str) -> DataFrame:
     )
 
 
+def settle(scored: DataFrame, key: Sequence[str], *keep: str) -> DataFrame:
+    """Result rows of all lines: by rule where one settles the line, else by the models, else without scores."""
+    rule_score, threat = F.col("rule.score"), F.col("rule.threat_type")
+    hit, known = is_short_circuit(rule_score), F.col("rf_class").isNotNull()
+
+    def by_case(settled: Column, modelled: Column) -> Column:
+        return F.when(hit, settled).when(known, modelled)
+
+    return _fused(scored).select(
+        *key,
+        "level",
+        "message",
+        "raw_log",
+        "dataset_routed",
+        "extracted_hour",
+        hit.alias("is_known_threat"),
+        by_case(threat, risk.threat_of(F.col("class"))).alias("threat_type"),
+        by_case(threat, threat).alias("matched_rule"),
+        by_case(F.lit(-1), F.col("if_prediction")).alias("if_prediction"),
+        by_case(F.lit(1.0), F.round("anomaly", 4)).alias("if_anomaly_score"),
+        by_case(threat, F.col("class")).alias("predicted_class"),
+        by_case(F.lit(1.0), F.round("rf_confidence", 4)).alias("rf_confidence"),
+        by_case(rule_score, F.round("risk", 4)).alias("final_risk_score"),
+        by_case(risk.served_level(rule_score), risk.served_level(F.col("risk"))).alias("risk_level"),
+        *keep,
+    )
+
+
 def route_lines(
     lines: DataFrame,
     key: Sequence[str],
@@ -112,59 +142,29 @@ def route_lines(
     )
 
 
-def apply_models(rows: DataFrame, bundle: ModelBundle) -> DataFrame:
-    """Add both models' outputs to rows with a ``features`` struct.
-
-    The isolation forest comes last: its function is marked non-deterministic, so
-    a filter on a score is not copied below it and no model runs twice.
-    """
-    predicted = forest.predict(rows, bundle.forest, bundle.classes).drop("rf_probabilities")
-    return bundle.iso.transform(predicted)
+def apply_models(rows: DataFrame, bundle: ModelBundle, only_odd: bool = False) -> DataFrame:
+    """Add both models' outputs to rows with a ``features`` struct; null features give nulls."""
+    shared = {bundle.dataset: bundle.shared(rows.sparkSession)}
+    named = rows.withColumn("__model", F.lit(bundle.dataset))
+    return scorer.with_model_outputs(named, shared, only_odd, model="__model").drop("__model")
 
 
-def _served_model_rows(
-    routed: DataFrame, bundle: ModelBundle, mask: bool
+def features_by_model(
+    rows: DataFrame, bundles: dict[str, ModelBundle], words: str, needed: Column
 ) -> DataFrame:
-    """Unsettled lines of one dataset, with features and model outputs.
+    """Add ``features`` by the vocabulary that ``model`` names; null where ``needed`` is not true.
 
-    The filter sits in front of every Python function, so lines that a rule
-    settled never reach a Python worker.
+    Texts are null where a vocabulary does not apply, so a line is split into words for its own only.
     """
-    mine = routed.where(
-        ~is_short_circuit(F.col("rule.score")) & (F.col("model") == bundle.dataset)
-    )
-    words = text.mask(F.col("message")) if mask else F.col("message")
-    prepared = mine.withColumns({"__text": words, "hour": F.col("extracted_hour")})
-    return apply_models(
-        features.served_features(prepared, bundle.vocabulary, "__text"), bundle
-    ).drop("__text", "hour")
-
-
-def unscored_rows(routed: DataFrame, loaded: set[str], key: Sequence[str]) -> DataFrame:
-    """Lines for which no model is loaded at all: routed, but without any score."""
-    left = routed.where(
-        ~is_short_circuit(F.col("rule.score")) & ~F.col("model").isin(*sorted(loaded))
-    )
-    unknown = {
-        "threat_type": "string",
-        "matched_rule": "string",
-        "if_prediction": "int",
-        "if_anomaly_score": "double",
-        "predicted_class": "string",
-        "rf_confidence": "double",
-        "final_risk_score": "double",
-        "risk_level": "string",
-    }
-    return left.select(
-        *key,
-        "level",
-        "message",
-        "raw_log",
-        "dataset_routed",
-        "extracted_hour",
-        F.lit(False).alias("is_known_threat"),
-        *[F.lit(None).cast(t).alias(c) for c, t in unknown.items()],
-    )
+    built = []
+    for dataset, bundle in sorted(bundles.items()):
+        mine = needed & (F.col("model") == dataset)
+        rows = rows.withColumn("__words_of", F.when(mine, F.col(words)))
+        rows = features.served_features(rows, bundle.vocabulary, "__words_of").withColumnRenamed("features", f"__features_{dataset}")
+        built.append(F.when(mine, F.col(f"__features_{dataset}")))
+    none = "struct<size:int,indices:array<int>,values:array<double>>"
+    found = F.coalesce(*built) if built else F.lit(None).cast(none)
+    return rows.withColumn("features", found).drop("__words_of", *[f"__features_{d}" for d in bundles])
 
 
 def attach_explanations(
@@ -222,12 +222,13 @@ def score_served(
     mask: bool = True,
     stage: bool = False,
 ) -> DataFrame:
-    """Score raw lines as the service does.
+    """Score raw lines as the service does, all datasets in one pass without a shuffle.
 
     By default the whole line is the message at level INFO; ``level`` names a
     column with the caller's level, ``parse_first`` takes level and message from
-    the parsed line.  ``stage`` stores the routed lines by branch, so that several
-    datasets do not mean several scans of the text.
+    the parsed line.  Lines that a rule settles and lines without any loaded model carry
+    no features, so no model runs on them; the latter keep their row without scores.
+    ``stage`` stores the routed lines first, for inputs that cost more than a scan.
     """
     given = F.col(level) if level else None
     message = None
@@ -236,39 +237,18 @@ def score_served(
         given, message = F.col("level"), F.col("message")
     routed = route_lines(lines, key, set(bundles), rules, raw, given, message)
     if stage:
-        branch = F.when(is_short_circuit(F.col("rule.score")), "rule").otherwise(F.col("model"))
-        # Without parsing the message is the line itself: no need to store it twice.
-        twice = [] if parse_first else ["message"]
-        stored = routed.withColumn("branch", branch).drop(*twice)
-        routed = materialize(stored, "routed", "branch")
-        if twice:
-            routed = routed.withColumn("message", F.col("raw_log"))
-    hits = rule_hits(routed, key)
-    if stage:
-        hits = rule_hits(routed.where("branch = 'rule'"), key)
-    model_rows = []
-    for dataset, bundle in sorted(bundles.items()):
-        mine = routed.where(F.col("branch") == dataset) if stage else routed
-        model_rows.append(
-            fuse_served(
-                _served_model_rows(mine, bundle, mask),
-                key,
-                "model",
-                "features",
-                risk.wants_explanation(F.col("risk")).alias("__wanted"),
-            )
-        )
-    if "BGL" not in bundles:
-        hits = hits.unionByName(unscored_rows(routed, set(bundles), key))
-    if not explained or not model_rows:
-        frames = [f.drop("model", "features", "__wanted") for f in model_rows]
-        scored = _union([hits, *frames])
-        return scored.withColumn("shap_explanation", F.lit(None).cast(SHAP)).select(
-            *key, *SCORED_COLUMNS
-        )
-    with_shap = attach_explanations(_union(model_rows), bundles, key)
-    bare = hits.withColumn("shap_explanation", F.lit(None).cast(SHAP))
-    return bare.select(*key, *SCORED_COLUMNS).unionByName(with_shap)
+        routed = materialize(routed, "routed")
+    words = text.mask(F.col("message")) if mask else F.col("message")
+    unsettled = ~is_short_circuit(F.col("rule.score"))
+    prepared = routed.withColumns({"__text": F.when(unsettled, words), "hour": F.col("extracted_hour")})
+    featured = features_by_model(prepared, bundles, "__text", unsettled).drop("__text", "hour")
+    shared = {dataset: bundle.shared(lines.sparkSession) for dataset, bundle in bundles.items()}
+    modelled = scorer.with_model_outputs(featured, shared)
+    if not explained or not bundles:
+        return settle(modelled, key, F.lit(None).cast(SHAP).alias("shap_explanation")).select(*key, *SCORED_COLUMNS)
+    wanted = F.coalesce(F.col("rf_class").isNotNull() & risk.wants_explanation(F.col("risk")), F.lit(False))
+    settled = settle(modelled, key, "model", "features", wanted.alias("__wanted"))
+    return attach_explanations(settled, bundles, key)
 
 
 def score_layered(
@@ -285,7 +265,8 @@ def score_layered(
 ) -> DataFrame:
     """Score parsed files layer by layer: rules, isolation forest, random forest.
 
-    The forest's verdict counts only where the isolation forest sees an anomaly.
+    Each layer sees only what the one before let through: lines that a rule settles have no
+    features, and the class forest is asked only about rows that the isolation forest calls odd.
     """
     parsed = parse.parse_generic(lines, raw)
     if strict:
@@ -302,64 +283,43 @@ def score_layered(
         rule_outcome(F.col("message"), rules).alias("rule"),
     )
     known = F.col("rule.is_known_threat")
-    hits = matched.where(known).select(
-        *key,
-        "level",
-        "service",
-        "message",
-        "raw_log",
-        F.lit(True).alias("is_known_threat"),
-        F.col("rule.threat_type").alias("threat_type"),
-        F.col("rule.matched_rule").alias("matched_rule"),
-        F.lit(1).alias("if_prediction"),
-        F.lit(0.0).alias("if_anomaly_score"),
-        F.col("rule.threat_type").alias("predicted_class"),
-        F.lit(1.0).alias("rf_confidence"),
-        F.lit(1.0).alias("final_risk_score"),
-        risk.layered_level(F.lit(1.0), F.lit(True)).alias("risk_level"),
-    )
     words = text.mask(F.col("message")) if mask else F.col("message")
-    prepared = matched.where(~known).withColumn("__text", words)
-    modelled = apply_models(
-        features.layered_features(prepared, bundle.vocabulary, "__text"), bundle
-    )
+    featured = features.layered_features(
+        matched.withColumn("__text", F.when(~known, words)), bundle.vocabulary, "__text"
+    ).withColumn("features", F.when(~known, F.col("features")))
+    modelled = apply_models(featured, bundle, only_odd=True)
     usual = F.col("if_prediction") == 1
+    threat = F.col("rule.threat_type")
     fused = modelled.withColumn(
         "anomaly", risk.anomaly_probability(F.col("if_decision"))
     ).withColumn(
         "risk",
-        risk.layered_risk(
-            F.lit(False), F.col("if_prediction"), F.col("anomaly"), F.col("rf_confidence")
-        ),
+        risk.layered_risk(known, F.col("if_prediction"), F.col("anomaly"), F.col("rf_confidence")),
     )
+    wanted = ~known & ~usual & risk.wants_explanation(F.col("risk"))
     scored = fused.select(
         *key,
         "level",
         "service",
         "message",
         "raw_log",
-        F.lit(False).alias("is_known_threat"),
-        F.lit(None).cast("string").alias("threat_type"),
-        F.lit(None).cast("string").alias("matched_rule"),
-        "if_prediction",
-        F.col("anomaly").alias("if_anomaly_score"),
-        risk.layered_class(
-            F.lit(False), F.lit(None).cast("string"), F.col("if_prediction"), F.col("rf_class")
-        ).alias("predicted_class"),
-        F.when(usual, 0.0).otherwise(F.col("rf_confidence")).alias("rf_confidence"),
+        known.alias("is_known_threat"),
+        F.when(known, threat).alias("threat_type"),
+        F.when(known, F.col("rule.matched_rule")).alias("matched_rule"),
+        F.when(known, 1).otherwise(F.col("if_prediction")).alias("if_prediction"),
+        F.when(known, 0.0).otherwise(F.col("anomaly")).alias("if_anomaly_score"),
+        risk.layered_class(known, threat, F.col("if_prediction"), F.col("rf_class")).alias("predicted_class"),
+        F.when(known, 1.0).otherwise(F.col("rf_confidence")).alias("rf_confidence"),
         F.col("risk").alias("final_risk_score"),
-        risk.layered_level(F.col("risk"), F.lit(False)).alias("risk_level"),
+        risk.layered_level(F.col("risk"), known).alias("risk_level"),
         F.lit(bundle.dataset).alias("model"),
         "features",
-        (~usual & risk.wants_explanation(F.col("risk"))).alias("__wanted"),
+        F.coalesce(wanted, F.lit(False)).alias("__wanted"),
     )
-    empty = F.lit(None).cast(SHAP)
-    bare = hits.withColumn("shap_explanation", empty)
     if not explained:
-        rest = scored.drop("model", "features", "__wanted").withColumn("shap_explanation", empty)
-        return bare.unionByName(rest)
-    with_shap = _explain_layered(scored, bundle, key)
-    return bare.unionByName(with_shap.select(*bare.columns))
+        return scored.drop("model", "features", "__wanted").withColumn("shap_explanation", F.lit(None).cast(SHAP))
+    columns = [c for c in scored.columns if c not in ("model", "features", "__wanted")]
+    return _explain_layered(scored, bundle, key).select(*columns, "shap_explanation")
 
 
 def _explain_layered(

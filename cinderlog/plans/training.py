@@ -36,7 +36,8 @@ def fit_models(
     ).fit(featured)
     split = materialize(prep.split_rows(prep.merge_rare(featured), *key, seed=seed), "split")
     train, test = split.where(~F.col("is_test")), split.where("is_test")
-    model, classes = forest.fit_forest(train, *key, trees=trees, depth=depth, seed=seed)
+    fitted, classes = forest.fit_forest(train, *key, trees=trees, depth=depth, seed=seed)
+    model = forest.ForestTable.from_model(featured.sparkSession, fitted)
     report = forest.evaluate(forest.predict(test, model, classes))
     return iso, model, classes, report
 

@@ -3,14 +3,16 @@
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlog.operators.explain import Explainer, read_nodes
+from cinderlog.operators.explain import Explainer
 from cinderlog.operators.features import LAYERED_NUMERIC, SERVED_NUMERIC, Vocabulary
+from cinderlog.operators.forest import ForestTable
 from cinderlog.operators.iforest import IsolationForestModel
+from cinderlog.operators.scorer import share_models
 
 PUBLISHED = "dataset string, version string, published_at timestamp, entry string"
 NUMERIC = {"served": SERVED_NUMERIC, "layered": LAYERED_NUMERIC}
@@ -28,28 +30,32 @@ class ModelBundle:
     layout: str
     vocabulary: Vocabulary
     iso: IsolationForestModel
-    forest: RandomForestClassificationModel
+    forest: ForestTable
     classes: list[str]
     path: str | None = None
     _explainer: Explainer | None = field(default=None, repr=False)
+    _shared: Broadcast | None = field(default=None, repr=False)
 
     @property
     def names(self) -> list[str]:
         return [*NUMERIC[self.layout], *self.vocabulary.terms]
 
     def explainer(self, spark: SparkSession) -> Explainer:
-        if self.path is None:
-            raise ModelNotFound("save the model first: explanations read its stored trees")
         if self._explainer is None:
-            nodes = read_nodes(spark, f"{self.path}/forest")
-            self._explainer = Explainer.from_nodes(nodes, self.names)
+            self._explainer = Explainer.from_table(self.forest, self.names)
         return self._explainer
 
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """Both forests on the workers, sent once."""
+        if self._shared is None:
+            self._shared = share_models(spark, self.iso, self.forest, self.classes)
+        return self._shared
+
 
 def save_bundle(spark: SparkSession, bundle: ModelBundle, path: str) -> ModelBundle:
     bundle.vocabulary.to_frame(spark).write.parquet(f"{path}/vocabulary")
     spark.createDataFrame(bundle.iso.nodes).write.parquet(f"{path}/iso_nodes")
-    bundle.forest.write().save(f"{path}/forest")
+    bundle.forest.to_frame(spark).write.parquet(f"{path}/forest_nodes")
     about = [
         (
             bundle.dataset,
@@ -75,7 +81,7 @@ def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
         about = spark.read.parquet(f"{path}/about").first()
         terms = spark.read.parquet(f"{path}/vocabulary").collect()
         nodes = spark.read.parquet(f"{path}/iso_nodes").orderBy("tree", "node").toPandas()
-        forest = RandomForestClassificationModel.load(f"{path}/forest")
+        forest = ForestTable.from_frame(spark.read.parquet(f"{path}/forest_nodes"), about["size"])
     except AnalysisException as error:
         raise ModelNotFound(f"no complete model at {path}") from error
     return ModelBundle(

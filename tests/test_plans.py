@@ -1,10 +1,12 @@
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from checks import fixed
 from checks import models as model_checks
 from checks.views import view
-from cinderlog.operators import iforest
-from cinderlog.plans import retrain, scoring
+from cinderlog.operators import features, forest, iforest, rules
+from cinderlog.plans import reports, retrain, scoring
 from cinderlog.sources import models, staging
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -20,18 +22,55 @@ def lines(spark):
     return view(spark, SF_DIR, "log_lines").select("line_no", "raw")
 
 
-def test_rule_hits_never_reach_python(spark, trained, lines):
-    """The filter on rule hits lies below the Arrow function."""
-    scored = scoring.score_served(lines, trained[1], "line_no")
-    plan = scored._jdf.queryExecution().executedPlan().toString()
-    for branch in plan.split("ArrowEvalPython")[1:]:
-        below = branch.split("FileScan")[0]
-        assert "Filter" in below and "RLIKE" in below
-
-
-def test_scoring_needs_no_shuffle(spark, trained, lines):
-    scored = scoring.score_served(lines, trained[1], "line_no")
-    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoring_is_one_pass(spark, trained, lines):
+    """All datasets, rules and both forests: one scan, one Arrow function, no shuffle, rules once, no JSON."""
+    plan = plan_of(scoring.score_served(lines, trained[1], "line_no"))
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan and "json" not in plan.lower().replace(SF_DIR, "")
+    pattern = rules.DEFAULT_RULES[0].pattern[:24]
+    assert plan.count(pattern) == 1
+
+
+def test_rule_hits_and_unknown_models_have_no_features(spark, lines):
+    """Nothing of a line that a rule settles reaches a model, nor of a line without one."""
+    bundles = {"HDFS": fixed.bundle("HDFS")}
+    routed = scoring.route_lines(lines, ["line_no"], set(bundles))
+    open_line = ~rules.is_short_circuit(F.col("rule.score"))
+    rows = routed.withColumns({"words": F.col("message"), "hour": F.col("extracted_hour")})
+    featured = scoring.features_by_model(rows, bundles, "words", open_line)
+    needed = open_line & (F.col("model") == "HDFS")
+    assert featured.where(F.col("features").isNotNull() != needed).count() == 0
+    assert 0 < featured.where(needed).count() < featured.count()
+
+
+def test_the_class_forest_is_asked_about_odd_rows_only(spark, lines, monkeypatch):
+    bundle = fixed.bundle("BGL")
+    rows = lines.select("line_no", F.col("raw").alias("message"), F.lit("INFO").alias("level"), F.lit(3).alias("hour"))
+    featured = features.served_features(rows, bundle.vocabulary)
+    all_asked = scoring.apply_models(featured, bundle)
+    odd_asked = scoring.apply_models(featured, bundle, only_odd=True)
+    usual = odd_asked.where("if_prediction = 1")
+    assert usual.where("rf_class IS NOT NULL OR rf_confidence <> 0").count() == 0
+    odd = "line_no, if_decision, rf_class, rf_confidence".split(", ")
+    assert 0 < odd_asked.where("if_prediction = -1").count() < lines.count()
+    assert odd_asked.where("if_prediction = -1").select(*odd).exceptAll(all_asked.select(*odd)).count() == 0
+
+
+def test_each_distinct_line_of_a_join_is_scored_once(spark):
+    """A line that most rows share, null and blank lines, columns of its own names."""
+    line = "- 1117838570 2005.06.03 R02 2005-06-03-15.42.50.363779 R02 RAS KERNEL INFO request"
+    rows = spark.createDataFrame(
+        [(i, line if i % 3 else f"{line} {i}", "x") for i in range(300)] + [(300, None, "x"), (301, " ", "x")],
+        "id int, raw_log string, risk_level string",
+    )
+    scored = reports.rescore(rows, {"BGL": fixed.bundle("BGL")}).collect()
+    assert sorted(r["id"] for r in scored) == list(range(302))
+    assert {r["risk_level"] for r in scored} == {"x"}
+    assert {r["id"] for r in scored if r["now_final_risk_score"] is None} == {300, 301}
 
 
 def test_every_line_is_scored_once(spark, trained, lines):
@@ -123,6 +162,24 @@ def test_isolation_forest_matches_after_reload(spark, trained):
     assert again.iso.nodes.equals(trained[1]["BGL"].iso.nodes)
 
 
+def test_a_stored_forest_is_the_fitted_one(spark, trained, folder):
+    """MLlib's own predictions, the node table in memory and the one read back agree value by value."""
+    rows = features.served_features(trained[3]["BGL"], trained[1]["BGL"].vocabulary).select("line_no", "label", "features")
+    rows = staging.materialize(rows, "forest-rows")
+    fitted, classes = forest.fit_forest(rows, "line_no", trees=5, depth=5)
+    table = forest.ForestTable.from_model(spark, fitted)
+    table.to_frame(spark).write.parquet(f"{folder}/nodes")
+    again = forest.ForestTable.from_frame(spark.read.parquet(f"{folder}/nodes"), table.size)
+    own = fitted.setFeaturesCol("v").transform(rows.withColumn("v", features.as_vector(F.col("features"))))
+    own = own.select("line_no", vector_to_array("probability").alias("p"))
+    for model in (table, again):
+        ours = forest.predict(rows, model, classes).join(own, "line_no")
+        names = F.array(*[F.lit(c) for c in classes])
+        ours = F.transform(names, lambda c: F.col("rf_probabilities")[c]), ours
+        gaps = ours[1].select(F.array_max(F.zip_with(ours[0], "p", lambda a, b: F.abs(a - b))).alias("gap"))
+        assert gaps.agg(F.max("gap")).first()[0] < 1e-12
+
+
 def test_arriving_lines_score_like_a_batch(spark, trained, lines, folder):
     from cinderlog.streaming.scoring import arriving_lines, score_arriving
 

@@ -240,3 +240,50 @@ def layered_sql(source: str) -> str:
       CASE WHEN hit THEN 1 WHEN usual THEN 0 ELSE round(rf_confidence, 9) END::DOUBLE AS rf_confidence, round(r, 9) AS final_risk_score,
       CASE WHEN hit THEN 'Critical' ELSE {level_sql('r')} END AS risk_level FROM risky)
     """
+
+
+STUMPS = 12
+
+
+def two_level_forest() -> forest.ForestTable:
+    """Trees of three splits on three neighbouring features; their attributions have a closed form."""
+    rows = []
+    for tree in range(STUMPS):
+        first, left = tree * 5 % 60, 30.0 + tree * 7 % 41
+        covers = (100.0, left, 100.0 - left)
+        halves = [0.25 + (tree * 3 + side * 5) % 9 / 16.0 for side in (0, 1)]
+        parts = [covers[1] * halves[0], covers[1] * (1 - halves[0]), covers[2] * halves[1], covers[2] * (1 - halves[1])]
+        for node, cover in enumerate((*covers, *parts)):
+            inner = node < 3
+            raw = [(tree * 5 + node * 3 + c * 7) % 11 + 1.0 for c in range(len(CLASSES))]
+            step = ((tree * 31 + node * 17) % 21 - 10) / 41.0
+            rows.append(
+                (tree, node, first + node if inner else -1, step if inner else 0.0, 2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1, [x / sum(raw) for x in raw], cover)
+            )
+    return forest.ForestTable(pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "shares", "cover"]), 64)
+
+
+def attributions_sql(top: int) -> str:
+    """(vec_id, place, feature, shap, base): a leaf under splits a and b pays v (1a - ca) (1b + cb) / 2 to a, likewise to b."""
+    shares = ", ".join(f"(tree * 5 + node * 3 + {c * 7}) % 11 + 1 AS r{c}" for c in range(len(CLASSES)))
+    listed = ", ".join(f"r{c}" for c in range(len(CLASSES)))
+    return f"""
+    WITH splits AS (SELECT tree, side, leaf, 3 + 2 * side + leaf AS node, tree * 5 % 60 AS a, tree * 5 % 60 + 1 + side AS b,
+        ((tree * 31) % 21 - 10) / 41.0::DOUBLE AS ta, ((tree * 31 + (1 + side) * 17) % 21 - 10) / 41.0::DOUBLE AS tb,
+        (30 + tree * 7 % 41) / 100.0::DOUBLE AS wa, 0.25::DOUBLE + (tree * 3 + side * 5) % 9 / 16.0::DOUBLE AS wb
+      FROM range({STUMPS}) t(tree), range(2) s(side), range(2) l(leaf)),
+    shared AS (SELECT *, {shares} FROM splits),
+    leaves AS (SELECT *, unnest(range({len(CLASSES)})) AS class, unnest([{listed}])::DOUBLE / list_sum([{listed}]) / {STUMPS} AS v,
+      CASE WHEN side = 0 THEN wa ELSE 1 - wa END AS ca, CASE WHEN leaf = 0 THEN wb ELSE 1 - wb END AS cb FROM shared),
+    passed AS (SELECT vec_id, l.*, CASE WHEN (e.embedding[a + 1] <= ta) = (side = 0) THEN 1 ELSE 0 END AS oa,
+      CASE WHEN (e.embedding[b + 1] <= tb) = (leaf = 0) THEN 1 ELSE 0 END AS ob FROM embeddings e, leaves l),
+    paid AS (SELECT vec_id, class, a AS feature, v * (oa - ca) * (ob + cb) / 2 AS p FROM passed UNION ALL SELECT vec_id, class, b, v * (ob - cb) * (oa + ca) / 2 FROM passed),
+    phi AS (SELECT vec_id, class, feature, sum(p) AS p FROM paid GROUP BY 1, 2, 3),
+    best AS (SELECT vec_id, arg_max(class, total - class * 1e-12) AS class FROM (SELECT vec_id, class, sum(abs(p)) AS total FROM phi GROUP BY 1, 2) t GROUP BY 1),
+    roots AS (SELECT tree, 0 AS node FROM range({STUMPS}) t(tree)),
+    bases AS (SELECT class, avg(share) AS base FROM (SELECT unnest(range({len(CLASSES)})) AS class, unnest([{listed}])::DOUBLE / list_sum([{listed}]) AS share
+      FROM (SELECT {shares} FROM roots) r) s GROUP BY class)
+    SELECT p.vec_id, CAST(row_number() OVER (PARTITION BY p.vec_id ORDER BY round(abs(p), 12) DESC, feature DESC) AS INTEGER) AS place,
+      'd' || feature AS feature, round(p, 9) AS shap, round(base, 9) AS base
+    FROM phi p JOIN best b ON p.vec_id = b.vec_id AND p.class = b.class JOIN bases s ON s.class = p.class QUALIFY place <= {top}
+    """

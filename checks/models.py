@@ -210,26 +210,41 @@ def training_report(spark, d):
     return bgl.unionByName(hdfs)
 
 
-@check("M9_attributions", sql=None)
+@check("M9_attributions", sql=fixed.attributions_sql(explain.TOP_FEATURES))
 def attributions(spark, d):
-    """Attributions of every distinct training row of one dataset."""
-    _, bundles, _, _ = trained(spark, d)
-    distinct = (
-        _featured(spark, d)
-        .withColumn("feature_key", explain.feature_key(F.lit("BGL"), F.col("features")))
-        .groupBy("feature_key")
-        .agg(F.any_value("features").alias("f"))
-        .select("feature_key", "f.indices", "f.values")
-    )
-    shown = bundles["BGL"].explainer(spark).explain(distinct)
-    return shown.select(
-        "feature_key",
-        explain.explanation(F.col("names"), F.col("shap"), F.col("base"))[
-            "explanation_text"
-        ].alias("explanation_text"),
+    """Attributions of every vector by trees of two levels, for which SQL has a closed form; rows and leaves meet in small cells."""
+    explainer = explain.Explainer(fixed.two_level_forest(), [f"d{i}" for i in range(64)])
+    rows = _embeddings(spark, d).select(F.col("vec_id").cast("string").alias("feature_key"), "features.indices", "features.values")
+    shown = explainer.explain(rows, cell_leaves=20, cell_rows=300)
+    places = F.posexplode(F.arrays_zip("names", "shap")).alias("at", "e")
+    return shown.select("feature_key", "base", places).select(
+        F.col("feature_key").cast("long").alias("vec_id"),
+        (F.col("at") + 1).alias("place"),
+        F.col("e.names").alias("feature"),
+        F.round("e.shap", 9).alias("shap"),
+        F.round("base", 9).alias("base"),
     )
 
 
+@check("M9_explained_lines", sql=None)
+def explained_lines(spark, d):
+    """Sentences for every distinct feature row of the training lines of both datasets, by fitted forests."""
+    _, bundles, _, tables = trained(spark, d)
+    sentences = []
+    for dataset, bundle in bundles.items():
+        featured = features.served_features(tables[dataset], bundle.vocabulary)
+        distinct = (
+            featured.withColumn("feature_key", explain.feature_key(F.lit(dataset), F.col("features")))
+            .groupBy("feature_key")
+            .agg(F.any_value("features").alias("f"))
+            .select("feature_key", "f.indices", "f.values")
+        )
+        shown = bundle.explainer(spark).explain(distinct)
+        text_of = explain.explanation(F.col("names"), F.col("shap"), F.col("base"))["explanation_text"]
+        sentences.append(shown.select(F.lit(dataset).alias("dataset"), "feature_key", text_of.alias("explanation_text")))
+    return sentences[0].unionByName(sentences[1])
+
+
 SERVED = "WITH RECURSIVE " + fixed.served_sql("SELECT line_no AS key, raw FROM log_lines")
 
 

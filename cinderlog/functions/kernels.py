@@ -175,48 +175,63 @@ def grow_isolation_tree(dense: np.ndarray, depth_limit: int, rng) -> list[tuple]
     return nodes
 
 
-def shap_values(x: np.ndarray, leaves: dict) -> np.ndarray:
-    """Path-dependent tree SHAP of one row: a matrix of features by classes.
+# Rows and leaves of which all combinations are held at a time.
+SHAP_ROWS = 16
+SHAP_LEAVES = 1 << 11
+
+
+def padded_leaves(table: pa.Table) -> dict:
+    """Matrices of leaves by places on their paths; unused places hold a feature that every row passes."""
+    offsets, feature = list_parts(table["feature"])
+    lengths = np.diff(offsets)
+    width = max(1, int(lengths.max()))
+    shape = (len(lengths), width)
+    used = np.arange(width) < lengths[:, None]
+    leaves = {"feature": np.zeros(shape, dtype=np.int64), "low": np.full(shape, -np.inf), "high": np.full(shape, np.inf), "cover": np.ones(shape)}
+    leaves["feature"][used] = feature[offsets[0] : offsets[-1]]
+    for name in ("low", "high", "cover"):
+        starts, values = list_parts(table[name])
+        leaves[name][used] = values[starts[0] : starts[-1]]
+    starts, values = list_parts(table["value"])
+    leaves["value"] = values[starts[0] : starts[-1]].reshape(len(lengths), -1)
+    # n nodes integrate degree 2n - 1 exactly; the degree here is width - 1.
+    points, weights = np.polynomial.legendre.leggauss(-(-width // 2))
+    leaves["points"], leaves["weights"] = (points + 1.0) / 2.0, weights / 2.0
+    return leaves
+
+
+def shap_rows(indices: pa.ChunkedArray, values: pa.ChunkedArray, leaves: dict, size: int, trees: int):
+    """(features, matrix of features by classes) for every sparse row: the leaves' part of its attributions.
 
     A leaf pays its value when the row passes all its features' intervals.  The
     Shapley weight of a coalition is the integral of t^k (1-t)^(d-1-k), so a
     feature's share of a leaf is an integral of a product over its other features,
     which Gauss-Legendre nodes give exactly for these low-degree polynomials.
-
-    Leaves come in blocks of whole trees, and the attributions of the blocks are added up,
-    so a row needs room for one block and not for the forest.
     """
-    blocks = zip(leaves["blocks"][:-1], leaves["blocks"][1:])
-    return sum(_block_values(x, leaves, slice(start, end)) for start, end in blocks)
-
-
-def _block_values(x: np.ndarray, leaves: dict, part: slice) -> np.ndarray:
-    leaves = leaves | {k: leaves[k][part] for k in ("feature", "low", "high", "cover", "value")}
-    passes = (leaves["low"] < x[leaves["feature"]]) & (x[leaves["feature"]] <= leaves["high"])
-    cover = leaves["cover"]
-    one = passes.astype(float)
-    share = np.zeros_like(cover)
-    for t, weight in zip(leaves["nodes"], leaves["weights"]):
+    offsets, flat_indices, flat_values = flat_lists(indices, values)
+    for start in range(0, len(offsets) - 1, SHAP_ROWS):
+        rows = np.arange(start, min(start + SHAP_ROWS, len(offsets) - 1))
+        dense = densify(rows, offsets, flat_indices, flat_values, size)
+        phi = np.zeros((len(rows) * size, leaves["value"].shape[1]))
+        for at in range(0, len(leaves["feature"]), SHAP_LEAVES):
+            _add_shares(phi, dense, {k: leaves[k][at : at + SHAP_LEAVES] for k in ("feature", "low", "high", "cover", "value")}, leaves)
+        phi = phi.reshape(len(rows), size, -1) / trees
+        for row in phi:
+            used = np.flatnonzero(row.any(axis=1))
+            yield used.astype(np.int32), row[used]
+
+
+def _add_shares(phi: np.ndarray, dense: np.ndarray, part: dict, rule: dict) -> None:
+    x = dense[:, part["feature"]]
+    one = ((part["low"] < x) & (x <= part["high"])).astype(float)
+    cover = part["cover"]
+    share = np.zeros_like(one)
+    for t, weight in zip(rule["points"], rule["weights"]):
         factor = cover * (1.0 - t) + one * t
-        share += weight * factor.prod(axis=1, keepdims=True) / factor
+        share += weight * factor.prod(axis=2, keepdims=True) / factor
     share *= one - cover
-    flat = leaves["feature"].ravel()
-    return np.stack(
-        [
-            np.bincount(
-                flat,
-                weights=(share * leaves["value"][:, c : c + 1]).ravel(),
-                minlength=leaves["size"],
-            )
-            for c in range(leaves["value"].shape[1])
-        ],
-        axis=1,
-    )
-
-
-def explain_row(x: np.ndarray, leaves: dict, top: int) -> tuple[list[int], list[float], int]:
-    """Features that matter most for the class with the largest attributions."""
-    phi = shap_values(x, leaves)
-    explained = int(np.argmax(np.abs(phi).sum(axis=0)))
-    chosen = np.argsort(np.abs(phi[:, explained]), kind="stable")[::-1][:top]
-    return chosen.tolist(), phi[chosen, explained].tolist(), explained
+    size = dense.shape[1]
+    place = (np.arange(len(dense))[:, None, None] * size + part["feature"]).ravel()
+    for c in range(phi.shape[1]):
+        paid = (share * part["value"][:, c, None]).ravel()
+        phi[:, c] += np.bincount(place, weights=paid, minlength=len(phi))

@@ -42,7 +42,7 @@ class ModelBundle:
 
     def explainer(self, spark: SparkSession) -> Explainer:
         if self._explainer is None:
-            self._explainer = Explainer.from_table(self.forest, self.names)
+            self._explainer = Explainer(self.forest, self.names)
         return self._explainer
 
     def shared(self, spark: SparkSession) -> Broadcast:

@@ -113,23 +113,51 @@ def test_forest_beats_the_majority_class(spark, fitted):
         assert r["rf_probabilities"][r["rf_class"]] == r["rf_confidence"]
 
 
-def test_attributions_add_up(spark, fitted):
-    df, model, classes, path, x, _ = fitted
-    explainer = explain.Explainer.from_nodes(
-        explain.read_nodes(spark, path), [f"f{i}" for i in range(5)]
-    )
-    rows = forest.predict(df, model, classes).orderBy("id").limit(50).collect()
-    for r in rows:
-        phi = kernels.shap_values(x[r["id"]], explainer.leaves)
-        total = explainer.base + phi.sum(axis=0)
+@pytest.fixture(scope="module")
+def explained(spark, fitted):
+    """Explainer and all attributions of 50 rows as matrices, from one cell and from many."""
+    df, model, classes, _, _, _ = fitted
+    explainer = explain.Explainer(forest.ForestTable.from_model(spark, model), [f"f{i}" for i in range(5)])
+    rows = df.where("id < 50").select(F.col("id").cast("string").alias("feature_key"), "features.indices", "features.values")
+
+    def matrices(**cells):
+        out = {}
+        for r in explainer.contributions(rows, **cells).collect():
+            out.setdefault(int(r["feature_key"]), np.zeros((5, len(classes))))[r["feature"]] = r["phi"]
+        return out
+
+    return explainer, rows, matrices(), matrices(cell_leaves=20, cell_rows=7)
+
+
+def test_attributions_do_not_depend_on_cells(explained):
+    _, _, whole, parts = explained
+    assert set(whole) == set(parts) == set(range(50))
+    assert all(np.allclose(whole[i], parts[i], atol=1e-12) for i in whole)
+
+
+def test_attributions_add_up(fitted, explained):
+    df, model, classes, _, _, _ = fitted
+    explainer, _, phi, _ = explained
+    for r in forest.predict(df.where("id < 50"), model, classes).collect():
+        total = explainer.base + phi[r["id"]].sum(axis=0)
         assert np.allclose(total, [r["rf_probabilities"][c] for c in classes], atol=1e-9)
 
 
-def test_attributions_equal_shapley_values(spark, fitted):
+def test_explanations_show_the_largest_attributions(explained):
+    explainer, rows, phi, _ = explained
+    for r in explainer.explain(rows, top=3).collect():
+        own = phi[int(r["feature_key"])]
+        chosen = int(np.abs(own).sum(axis=0).argmax())
+        order = np.argsort(np.abs(own[:, chosen]), kind="stable")[::-1][:3]
+        assert r["names"] == [f"f{i}" for i in order]
+        assert np.allclose(r["shap"], own[order, chosen], atol=1e-12) and r["base"] == pytest.approx(explainer.base[chosen])
+
+
+def test_attributions_equal_shapley_values(spark, fitted, explained):
     """Against the definition: average marginal contribution over all coalitions."""
     _, _, _, path, x, _ = fitted
-    nodes = explain.read_nodes(spark, path)
-    explainer = explain.Explainer.from_nodes(nodes, [f"f{i}" for i in range(5)])
+    explainer, _, phi, _ = explained
+    nodes = forest.read_nodes(spark, path)
     trees = [
         {r["node"]: r for r in g} for _, g in itertools.groupby(
             nodes.orderBy("tree", "node").collect(), key=lambda r: r["tree"])
@@ -148,18 +176,18 @@ def test_attributions_equal_shapley_values(spark, fitted):
             left * value(r["left"], tree, row, known) + right * value(r["right"], tree, row, known)
         ) / (left + right)
 
-    for row in x[:3]:
+    for i, row in enumerate(x[:3]):
         worth = {
             s: np.mean([value(0, t, row, set(s)) for t in trees], axis=0)
             for k in range(6) for s in itertools.combinations(range(5), k)
         }
         exact = np.zeros((5, len(explainer.base)))
-        for i in range(5):
+        for j in range(5):
             for s in worth:
-                if i not in s:
+                if j not in s:
                     weight = math.factorial(len(s)) * math.factorial(4 - len(s)) / math.factorial(5)
-                    exact[i] += weight * (worth[tuple(sorted((*s, i)))] - worth[s])
-        assert np.allclose(kernels.shap_values(row, explainer.leaves), exact, atol=1e-9)
+                    exact[j] += weight * (worth[tuple(sorted((*s, j)))] - worth[s])
+        assert np.allclose(phi[i], exact, atol=1e-9)
 
 
 def test_cross_validation(spark, fitted):

@@ -1,5 +1,7 @@
 """Sources, parsers, text expressions and rules."""
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from checks.registry import bgl_hour, check, hdfs_hour, hour, mask, routed, rule
@@ -87,6 +89,28 @@ def read_log_lines(spark, d):
     return lines.read_log_lines(spark, _text_files(spark, d)).select("raw")
 
 
+FILES_OF = 4
+
+
+@check(
+    "S1_numbered_lines",
+    "stored_lines",
+    f"""
+    SELECT CAST(line_no % {FILES_OF} AS VARCHAR) AS folder, row_number() OVER (PARTITION BY line_no % {FILES_OF} ORDER BY line_no) - 1 AS line_no, {TRIMMED} AS raw
+    FROM stored_lines WHERE {TRIMMED} <> ''
+    """,
+)
+def numbered_lines(spark, d):
+    """Place of every line in its file, blank lines not counted."""
+    path = staging.new_path(spark, "numbered")
+    stored = view(spark, d, "stored_lines")
+    for i in range(FILES_OF):
+        part = stored.where(F.col("line_no") % FILES_OF == i).orderBy("line_no").select("value").coalesce(1)
+        part.write.text(f"{path}/{i}")
+    folder = F.element_at(F.split("file", "/"), -2)
+    return lines.numbered_lines(spark, path).select(folder.alias("folder"), "line_no", "raw")
+
+
 @check(
     "S2_admitted_lines",
     "stored_lines",
@@ -249,6 +273,30 @@ def session_results(spark, d):
     return results.read_results(spark, path).select("session_id", "line_no", "row_no")
 
 
+@check(
+    "S9_appended_sessions",
+    "model_out",
+    """
+    SELECT session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS row_no
+    FROM model_out
+    """,
+)
+def appended_sessions(spark, d):
+    """Three appends, one of them interrupted before its commit and run again, one refused: each session is there once."""
+    path = staging.new_path(spark, "results")
+    scored = view(spark, d, "model_out").select("session_id", "line_no")
+    number = F.substring("session_id", 2, 9).cast("int")
+    early, late = scored.where(number < 3), scored.where(number >= 3)
+    order = column_order("line_no", 1000)
+    results.write_results(early, order, path)
+    # What an append leaves that died before its commit.
+    late.withColumns({"row_no": F.lit(-1), "bucket": F.lit(0)}).write.partitionBy("bucket").parquet(f"{path}/rows/part=lost")
+    results.write_results(late, order, path)
+    with contextlib.suppress(results.SessionStored):
+        results.write_results(scored, order, path)
+    return results.read_results(spark, path).select("session_id", "line_no", "row_no")
+
+
 # Parsing -----------------------------------------------------------------------
 
 
@@ -317,6 +365,34 @@ def file_quality(spark, d):
     return quality.withColumn("unparsed_ratio", F.round("unparsed_ratio", 6))
 
 
+# Formats that parse and one that does not, mixed so that one file has exactly a fifth of unparsed lines.
+GATED = "CASE WHEN kind IN (4, 5, 6, 7, 9) THEN 'exact' WHEN kind = 8 THEN 'clean' WHEN kind IN (0, 1) THEN 'bad' ELSE 'mixed' END"
+KINDS = f"(SELECT line_no AS kind_of, kind, {GATED} AS file FROM log_lines) g"
+
+
+@check(
+    "P5_quality_gate",
+    "log_lines",
+    f"""
+    WITH parsed AS (SELECT g.file, p.line_no, {respelled('raw_level', PARSER)} AS level, message, is_parsed FROM ({PARSED}) p JOIN {KINDS} ON p.line_no = kind_of),
+    verdicts AS (SELECT file, count(*) AS total, count(*) FILTER (WHERE NOT is_parsed) AS unparsed FROM parsed GROUP BY file)
+    SELECT p.file, true AS accepted, line_no, level, message, unparsed FROM parsed p JOIN verdicts v ON p.file = v.file WHERE 5 * unparsed <= total
+    UNION ALL SELECT file, false, NULL, NULL, NULL, unparsed FROM verdicts WHERE 5 * unparsed > total
+    """,
+)
+def quality_gate(spark, d):
+    """Lines of the files that pass, and the files that do not, out of one parse."""
+    rows = view(spark, d, "log_lines").withColumn("file", F.expr(GATED)).select("line_no", "file", "raw")
+    accepted, verdicts = parse.quality_gate(rows)
+    counts = verdicts.select(F.col("file").alias("gated"), "unparsed")
+    passed = accepted.join(counts, F.col("file") == F.col("gated")).select(
+        "file", F.lit(True).alias("accepted"), "line_no", "level", "message", "unparsed"
+    )
+    none = {"line_no": "bigint", "level": "string", "message": "string"}
+    rejected = verdicts.where("NOT accepted").select("file", "accepted", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "unparsed")
+    return passed.unionByName(rejected)
+
+
 @check(
     "P6_timestamps",
     "log_lines",

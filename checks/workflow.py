@@ -6,7 +6,8 @@ from checks import fixed
 from checks.registry import check
 from checks.views import view
 from cinderlog.operators import workflow
-from cinderlog.plans import reports
+from cinderlog.plans import caselog, reports
+from cinderlog.sources import staging
 
 SOC = "analysts feedbacks cases"
 ANALYST = 5
@@ -276,6 +277,57 @@ def cases_after_actions(spark, d):
     )
 
 
+HALVES = "feedbacks cases feedback_actions"
+
+
+@check(
+    "Q10_folded_in_halves",
+    HALVES,
+    f"""{FOLD}
+    SELECT f.id, coalesce(s.status, f.status) AS status, CASE WHEN c.at_id IS NOT NULL THEN 'Correction' ELSE f.action_type END AS action_type,
+      CASE WHEN c.at_id IS NOT NULL THEN c.label ELSE f.proposed_label END AS proposed_label,
+      CASE WHEN c.at_id IS NOT NULL THEN c.notes ELSE f.analyst_notes END || coalesce(n.text, '') AS analyst_notes
+    FROM feedbacks f LEFT JOIN corr c ON f.id = c.feedback_id LEFT JOIN added n ON f.id = n.feedback_id
+    LEFT JOIN settled s ON f.id = s.feedback_id
+    """,
+)
+def folded_in_halves(spark, d):
+    """A stored state takes the log's first half, then the whole log, of which only the second half is new."""
+    _, feedbacks, cases = _soc(spark, d)
+    actions = view(spark, d, "feedback_actions")
+    root = staging.new_path(spark, "case-state")
+    caselog.start_state(feedbacks, cases, root)
+    middle = actions.agg(F.floor((F.min("action_id") + F.max("action_id")) / 2)).first()[0]
+    caselog.fold_log(actions.where(F.col("action_id") <= middle), root)
+    caselog.fold_log(actions, root)
+    caselog.fold_log(actions, root)
+    return caselog.read_state(spark, root)[0].select("id", "status", "action_type", "proposed_label", "analyst_notes")
+
+
+TWO_CASES = "SELECT id, feedback_id, assigned_analyst_id, status FROM cases UNION ALL SELECT id + 5000000, feedback_id, assigned_analyst_id, status FROM cases"
+NAMED = "CASE WHEN action_id % 3 = 0 THEN feedback_id + 6000000 WHEN action_id % 3 = 1 THEN feedback_id + 1000000 END"
+
+
+@check(
+    "Q10_claimed_cases",
+    HALVES,
+    f"""
+    WITH both_cases AS ({TWO_CASES}), claims AS (SELECT action_id, actor_id, coalesce({NAMED}, feedback_id + 1000000) AS case_id FROM feedback_actions WHERE action = 'claim'),
+    k AS (SELECT case_id, max_by(actor_id, action_id) AS actor_id FROM claims GROUP BY 1),
+    r AS (SELECT DISTINCT feedback_id FROM feedback_actions WHERE action = 'resolve')
+    SELECT c.id, c.feedback_id, CASE WHEN c.id < 6000000 AND r.feedback_id IS NOT NULL THEN 'Resolved' ELSE c.status END AS status,
+      coalesce(k.actor_id, c.assigned_analyst_id) AS assigned_analyst_id
+    FROM both_cases c LEFT JOIN k ON c.id = k.case_id LEFT JOIN r ON c.feedback_id = r.feedback_id
+    """,
+)
+def claimed_cases(spark, d):
+    """Two cases of every feedback: a claim reaches the case it names, a resolution the first one."""
+    _, _, cases = _soc(spark, d)
+    both = cases.unionByName(cases.withColumn("id", F.col("id") + 5000000))
+    actions = view(spark, d, "feedback_actions").withColumn("case_id", F.expr(NAMED).cast("int"))
+    return workflow.apply_actions_to_cases(both, actions).select("id", "feedback_id", "status", "assigned_analyst_id")
+
+
 @check(
     "Q11_label_whitelist",
     "feedbacks",

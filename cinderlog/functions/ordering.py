@@ -37,6 +37,11 @@ def file_order() -> RowOrder:
     )
 
 
+def numbered_order(rows_per_chunk: int = 1 << 20) -> RowOrder:
+    """Line order of files whose lines are numbered; a chunk is a stretch of one file, whatever its splits."""
+    return RowOrder(F.struct(F.col("file"), F.floor(F.col("line_no") / F.lit(rows_per_chunk)).alias("part")), F.col("line_no"))
+
+
 def column_order(name: str, rows_per_chunk: int = 1 << 20) -> RowOrder:
     """Order by a numeric position column."""
     return RowOrder(F.floor(F.col(name) / F.lit(rows_per_chunk)), F.col(name))

@@ -28,6 +28,9 @@ SERVED_NUMERIC = ("level_encoded", "log_hour")
 LAYERED_NUMERIC = ("level_encoded", "time_delta_sec", "hour")
 MAX_DELTA_SECONDS = 3600.0
 
+# Words that are listed to spare pairs, as a multiple of the vocabulary's size.
+LISTED_WORDS = 4
+
 VECTOR_JSON = T.StructType([T.StructField("v", VectorUDT())])
 
 
@@ -95,14 +98,16 @@ def frequent_words(counts: DataFrame, max_features: int) -> list[str] | None:
 
     A pair of words is never more frequent than either word.  So once
     ``max_features`` words reach some count, no term below that count is kept,
-    and a pair with a rarer word need not even be built.  The list is as long as the
-    vocabulary, plus the words that tie with its last one.
+    and a pair with a rarer word need not even be built.  The list only saves work: pairs with rarer
+    words never reach the vocabulary.  So where too many words tie with the last one to be
+    listed, every pair is counted, and nothing is listed.
     """
     top = counts.orderBy(F.desc("tf"), "term").limit(max_features).collect()
     if len(top) < max_features:
         return None
-    reached = counts.where(F.col("tf") >= top[-1]["tf"])
-    return [r["term"] for r in reached.select("term").collect()]
+    most = LISTED_WORDS * max_features
+    reached = counts.where(F.col("tf") >= top[-1]["tf"]).select("term").limit(most + 1).collect()
+    return [r["term"] for r in reached] if len(reached) <= most else None
 
 
 def pair_counts(worded: DataFrame, frequent: list[str] | None, words: str = "__words") -> DataFrame:

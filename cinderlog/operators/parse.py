@@ -12,6 +12,7 @@ from cinderlog.functions.regex import (
     strip,
     unpack_groups,
 )
+from cinderlog.sources.staging import materialize
 
 # Log formats, tried in this order, most specific first.
 STANDARD = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})\s+(\w+)\s+\[([^\]]+)\]\s+(.+)$"
@@ -111,6 +112,20 @@ def file_quality(
     )
 
 
+def quality_gate(
+    lines: DataFrame, file: str = "file", raw: str = "raw", max_unparsed: float = MAX_UNPARSED
+) -> tuple[DataFrame, DataFrame]:
+    """Parsed lines of the files that pass, and every file's verdict.
+
+    Lines are parsed once, into a stored table that both results read; a bad file costs its own
+    lines and nothing else.
+    """
+    parsed = materialize(parse_generic(lines, raw), "parsed")
+    verdicts = materialize(file_quality(parsed, file, max_unparsed), "file-verdicts")
+    passed = verdicts.where("accepted").select(F.col(file).alias("__passed"))
+    return parsed.join(passed, parsed[file].eqNullSafe(F.col("__passed")), "left_semi"), verdicts
+
+
 def require_quality(
     parsed: DataFrame, file: str = "file", max_unparsed: float = MAX_UNPARSED
 ) -> DataFrame:

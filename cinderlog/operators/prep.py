@@ -209,10 +209,13 @@ def split_rows(
 ) -> DataFrame:
     """Add ``is_test``: an exact, seeded split with every label's share kept."""
     sizes = test_sizes(rows, share)
-    stratified = sizes.where(F.col("__stratum").isNotNull()).limit(1).count() > 0
-    stratum = F.col("label") if stratified else F.lit(None).cast("string")
+    # Every label's group: the label itself, or NULL for all where the split is not stratified.
+    strata = sizes.where(F.col("__stratum").isNotNull()).select(
+        F.col("__stratum").alias("__label"), F.col("__stratum").alias("__group")
+    )
+    grouped = rows.join(strata, rows["label"] == F.col("__label"), "left").withColumn("__stratum", F.col("__group"))
     return mark_first_n(
-        rows.withColumn("__stratum", stratum),
+        grouped.drop("__label", "__group"),
         hash_order(seed, *key),
         sizes,
         "is_test",

@@ -301,10 +301,9 @@ def fold_actions(actions: DataFrame, actions_per_chunk: int = 1 << 16) -> DataFr
         ).alias("with_case"),
         F.when(corrects, F.struct("action_id", "label", "notes")).alias("correction"),
         F.when(action == "resolve", F.struct("action_id", "acted_at", "notes")).alias("resolution"),
-        F.when(action == "claim", F.struct("action_id", "actor_id")).alias("claim"),
         F.when((action == "note") & living, F.struct("action_id", note.alias("text"))).alias("note"),
     )
-    latest = ("plain", "with_case", "correction", "resolution", "claim")
+    latest = ("plain", "with_case", "correction", "resolution")
     chunks = prepared.groupBy("feedback_id", "chunk").agg(
         *[F.max_by(c, F.col(f"{c}.action_id")).alias(c) for c in latest],
         F.array_sort(F.collect_list("note")).alias("notes"),
@@ -355,16 +354,37 @@ def apply_actions_to_feedback(
     return joined.withColumns(changed).select(*feedbacks.columns)
 
 
-def apply_actions_to_cases(cases: DataFrame, actions: DataFrame) -> DataFrame:
-    """Cases after the action log; actions reach the first case of a feedback."""
-    effect = fold_actions(actions).select(
-        F.col("feedback_id").alias("__feedback_id"), "resolution", "claim"
+def fold_claims(cases: DataFrame, actions: DataFrame) -> DataFrame:
+    """(case, actor_id): who claimed each case last.
+
+    A claim names its case by ``case_id``; without one it means the first case of its feedback.
+    """
+    claims = actions.where("action = 'claim'")
+    first = cases.groupBy(F.col("feedback_id").alias("of")).agg(F.min("id").alias("first_case"))
+    named = F.col("case_id") if "case_id" in actions.columns else F.lit(None).cast("int")
+    # Before the join: many claims on one feedback become one row.
+    latest = claims.groupBy("feedback_id", named.alias("case_id")).agg(F.max(F.struct("action_id", "actor_id")).alias("claim"))
+    found = latest.join(first, F.col("feedback_id") == F.col("of"), "left")
+    return (
+        found.groupBy(F.coalesce("case_id", "first_case").alias("case"))
+        .agg(F.max("claim").alias("claim"))
+        .select("case", F.col("claim.actor_id").alias("actor_id"))
     )
+
+
+def apply_actions_to_cases(cases: DataFrame, actions: DataFrame) -> DataFrame:
+    """Cases after the action log: resolutions reach the first case of a feedback, claims the case they name."""
+    effect = fold_actions(actions).select(F.col("feedback_id").alias("__feedback_id"), "resolution")
+    claims = fold_claims(cases, actions).select(F.col("case").alias("__case"), F.col("actor_id").alias("__actor"))
     first = cases.groupBy("feedback_id").agg(F.min("id").alias("__id")).select("__id")
-    marked = cases.join(first, F.col("id") == F.col("__id"), "left").join(
-        effect,
-        (F.col("feedback_id") == F.col("__feedback_id")) & F.col("__id").isNotNull(),
-        "left",
+    marked = (
+        cases.join(first, F.col("id") == F.col("__id"), "left")
+        .join(
+            effect,
+            (F.col("feedback_id") == F.col("__feedback_id")) & F.col("__id").isNotNull(),
+            "left",
+        )
+        .join(claims, F.col("id") == F.col("__case"), "left")
     )
     resolved = F.col("resolution").isNotNull()
     changed = {
@@ -373,6 +393,6 @@ def apply_actions_to_cases(cases: DataFrame, actions: DataFrame) -> DataFrame:
         "resolution_notes": F.when(resolved, F.col("resolution.notes")).otherwise(
             F.col("resolution_notes")
         ),
-        "assigned_analyst_id": F.coalesce("claim.actor_id", "assigned_analyst_id"),
+        "assigned_analyst_id": F.coalesce("__actor", "assigned_analyst_id"),
     }
     return marked.withColumns(changed).select(*cases.columns)

@@ -262,13 +262,19 @@ def score_layered(
     explained: bool = False,
     mask: bool = True,
     strict: bool = False,
+    accepted_only: bool = False,
 ) -> DataFrame:
     """Score parsed files layer by layer: rules, isolation forest, random forest.
 
+    ``strict`` raises if any file has too many unparsed lines; ``accepted_only`` leaves such files out.
+
     Each layer sees only what the one before let through: lines that a rule settles have no
     features, and the class forest is asked only about rows that the isolation forest calls odd.
     """
-    parsed = parse.parse_generic(lines, raw)
+    if accepted_only:
+        parsed, _ = parse.quality_gate(lines, file, raw)
+    else:
+        parsed = parse.parse_generic(lines, raw)
     if strict:
         parsed = parse.require_quality(parsed, file)
     timed = features.time_features(parsed, order, file)

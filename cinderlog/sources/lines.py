@@ -1,11 +1,12 @@
 """Raw text files to ordered lines, with the checks made on whole files."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
 from cinderlog.functions.ordering import RowOrder, file_order, first_n
 from cinderlog.functions.regex import strip
+from cinderlog.sources.staging import materialize
 
 # What may be uploaded.
 EXTENSIONS = ("log", "txt", "csv")
@@ -69,6 +70,27 @@ def read_log_lines(
     return cap_lines(lines, file_order(), max_lines)
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """(file, line_no, raw): clean, non-blank lines with their place in the file, from 0 without gaps.
+
+    The place is the same however the files are split into tasks, so hashes of (file, line_no)
+    choose the same rows on any cluster.  The lines are stored with the split they came from; a
+    split's lines are counted, the counts of a file's earlier splits added up, and each line's place
+    follows without sorting any lines.
+    """
+    read = clean_lines(scan_lines(spark, paths, max_bytes)).drop("file_size", "line_in_block")
+    # Numbered after blank lines are gone: a split's numbers have no gaps.
+    stored = materialize(read.withColumn("__at", F.monotonically_increasing_id()), "numbered-lines")
+    splits = stored.groupBy("file", "block_start").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select(
+        "file", "block_start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    )
+    return stored.join(shifts, ["file", "block_start"]).select(
+        "file", (F.col("__at") + F.col("__shift")).alias("line_no"), "raw"
+    )
+
+
 def cap_lines(
     lines: DataFrame, order: RowOrder, max_lines: int | str | None = None
 ) -> DataFrame:

@@ -1,11 +1,14 @@
 """Fitted models on disk: immutable versions and a log of published ones."""
 
+import json
 import uuid
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark import Broadcast
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.operators.explain import Explainer
@@ -13,8 +16,8 @@ from cinderlog.operators.features import LAYERED_NUMERIC, SERVED_NUMERIC, Vocabu
 from cinderlog.operators.forest import ForestTable
 from cinderlog.operators.iforest import IsolationForestModel
 from cinderlog.operators.scorer import share_models
+from cinderlog.sources import commits
 
-PUBLISHED = "dataset string, version string, published_at timestamp, entry string"
 NUMERIC = {"served": SERVED_NUMERIC, "layered": LAYERED_NUMERIC}
 
 
@@ -96,13 +99,15 @@ def load_bundle(spark: SparkSession, path: str) -> ModelBundle:
 
 
 def published_versions(spark: SparkSession, root: str) -> DataFrame:
-    """The log of published versions, numbered by time; entries of one instant by their own key."""
-    try:
-        log = spark.read.schema(PUBLISHED).parquet(f"{root}/published")
-    except AnalysisException:
-        log = spark.createDataFrame([], PUBLISHED)
-    by_time = Window.partitionBy("dataset").orderBy("published_at", "entry")
-    return log.withColumn("sequence", F.row_number().over(by_time).cast("long"))
+    """(dataset, sequence, version, published_at) of all published versions.
+
+    Numbers are taken by creating an entry that must not exist, so no two publishers share one and
+    clocks decide nothing; ``published_at`` is only told.
+    """
+    said = F.from_json("value", "version string, published_at timestamp")
+    return commits.entries(spark, f"{root}/published/*").select(
+        F.col("log").alias("dataset"), "sequence", said["version"].alias("version"), said["published_at"].alias("published_at")
+    )
 
 
 def current_version(spark: SparkSession, root: str, dataset: str) -> str | None:
@@ -115,14 +120,10 @@ def current_version(spark: SparkSession, root: str, dataset: str) -> str | None:
     return row["version"]
 
 
-def point_to(spark: SparkSession, root: str, dataset: str, version: str) -> None:
-    """Make a stored version the current one: one appended row, without reading what is there."""
-    row = spark.createDataFrame(
-        [(dataset, version, uuid.uuid4().hex)], "dataset string, version string, entry string"
-    ).withColumn("published_at", F.current_timestamp())
-    row.select("dataset", "version", "published_at", "entry").coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{root}/published")
+def point_to(spark: SparkSession, root: str, dataset: str, version: str) -> int:
+    """Make a stored version the current one, under the next free number of its dataset."""
+    said = json.dumps({"version": version, "published_at": datetime.now(timezone.utc).isoformat()})
+    return commits.commit(spark, f"{root}/published/{quote(dataset, safe='')}", said)
 
 
 def version_path(root: str, dataset: str, version: str) -> str:

@@ -111,3 +111,16 @@ def test_time_features_across_chunks(spark, chunk):
     assert [got[("f", i)][0] for i in range(8)] == [0, 0, 0, 0, 0, 3600, 0, 1]
     assert [got[("f", i)][1] for i in range(8)] == [5, 5, 5, 5, 5, 7, 7, 7]
     assert {got[("empty", i)] for i in range(3)} == {(0.0, 0)}
+
+
+def test_many_words_that_tie_need_no_list(spark, monkeypatch):
+    """Thousands of words tie with the last term: none is listed, and the vocabulary stays exact."""
+    rows = [(f"alpha beta w{i:05d}x v{i:05d}x",) for i in range(3000)] + [("alpha gamma",)] * 2
+    df = spark.createDataFrame(rows, "message string")
+    counts = features.word_counts(df.select(features.tokens(F.col("message")).alias("__words")))
+    assert features.frequent_words(counts, 6) is None
+    fitted = features.fit_vocabulary(df, max_features=6)
+    # Counts: alpha 3002, beta and "alpha beta" 3000, gamma and "alpha gamma" 2, then all that occur once.
+    assert fitted.terms == ("alpha", "alpha beta", "alpha gamma", "beta", "beta w00000x", "gamma")
+    monkeypatch.setattr(features, "LISTED_WORDS", 10_000)
+    assert features.fit_vocabulary(df, max_features=6) == fitted

@@ -1,3 +1,6 @@
+import json
+from datetime import datetime
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -5,8 +8,9 @@ from pyspark.sql import functions as F
 from checks import fixed
 from checks import models as model_checks
 from checks.views import view
-from cinderlog.operators import features, forest, iforest, rules
-from cinderlog.plans import reports, retrain, scoring
+from cinderlog.functions.ordering import column_order
+from cinderlog.operators import features, forest, iforest, parse, rules
+from cinderlog.plans import caselog, reports, retrain, scoring
 from cinderlog.sources import models, staging
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -100,8 +104,6 @@ def test_a_brute_force_line_in_layers(spark, trained):
     one = spark.createDataFrame(
         [("f", 0, "2025-01-20 14:30:15 ERROR [Auth] Failed login attempt")], "file string, n int, raw string"
     )
-    from cinderlog.functions.ordering import column_order
-
     row = scoring.score_layered(one, layered, column_order("n"), "file", "n").first()
     assert (row["final_risk_score"], row["risk_level"]) == (1.0, "Critical")
     assert (row["matched_rule"], row["threat_type"]) == ("BruteForce", "BruteForce")
@@ -190,3 +192,68 @@ def test_arriving_lines_score_like_a_batch(spark, trained, lines, folder):
     batch = scoring.score_served(lines, trained[1], "line_no")
     wanted = batch.select("raw_log", "final_risk_score", "predicted_class")
     assert got.count() == wanted.count() and got.exceptAll(wanted).count() == 0
+
+
+@pytest.fixture
+def case_tables(spark):
+    feedbacks = spark.createDataFrame(
+        [(1, "Pending", "Investigate", None, "seen"), (2, "Pending", "FalsePositive", "Normal", None)],
+        "id int, status string, action_type string, proposed_label string, analyst_notes string",
+    )
+    cases = spark.createDataFrame(
+        [(10, 1, None, "Open", None, None), (11, 1, 3, "Open", None, None)],
+        "id int, feedback_id int, assigned_analyst_id int, status string, resolution_notes string, closed_at timestamp",
+    )
+    when = datetime(2025, 1, 2, 3, 4)
+    actions = [
+        (1, 1, None, "note", 5, when, None, "first"),
+        (2, 2, None, "correct", 5, when, "DDoS", "is one"),
+        (3, 1, 11, "claim", 7, when, None, None),
+        (4, 1, None, "resolve", 7, when, None, "done"),
+        (5, 2, None, "note", 6, when, None, "late"),
+        (6, 1, None, "claim", 8, when, None, None),
+    ]
+    log = spark.createDataFrame(
+        actions, "action_id long, feedback_id int, case_id int, action string, actor_id int, acted_at timestamp, label string, notes string"
+    )
+    return feedbacks, cases, log
+
+
+def test_a_log_folds_in_parts(spark, case_tables, folder):
+    feedbacks, cases, log = case_tables
+    states = []
+    for name, ends in (("once", [6]), ("parts", [1, 2, 2, 5, 6, 6])):
+        root = f"{folder}/{name}"
+        caselog.start_state(feedbacks, cases, root)
+        assert [caselog.fold_log(log.where(F.col("action_id") <= end), root) for end in ends] == ends
+        states.append([sorted(map(tuple, t.collect()), key=lambda r: r[0]) for t in caselog.read_state(spark, root)])
+    assert states[0] == states[1]
+    (one, two), (first, second) = states[0]
+    assert one[1] == "Resolved" and one[4].endswith("Update]: first")
+    assert two[1:4] == ("Pending", "Correction", "DDoS") and two[4].startswith("is one") and two[4].endswith("late")
+    assert first[2:4] == (8, "Resolved") and second[2:4] == (7, "Open")
+
+
+def test_a_fold_that_lost_a_race_changes_nothing(spark, case_tables, folder, monkeypatch):
+    feedbacks, cases, log = case_tables
+    caselog.start_state(feedbacks, cases, folder)
+    commit = caselog.commits.try_commit
+
+    def beaten(session, root, number, said):
+        commit(session, root, number, json.dumps({"state": "theirs", "upto": 6}))
+        return commit(session, root, number, said)
+
+    monkeypatch.setattr(caselog.commits, "try_commit", beaten)
+    with pytest.raises(caselog.StateMoved):
+        caselog.fold_log(log, folder)
+    assert caselog._latest(spark, folder) == (2, {"state": "theirs", "upto": 6})
+
+
+def test_a_bad_file_costs_only_itself(spark, folder):
+    rows = [("good", i, "2025-01-20 14:30:15 ERROR [Auth] item") for i in range(8)] + [("good", 8, "???"), ("good", 9, "???"), ("bad", 0, "???")]
+    lines_of = spark.createDataFrame(rows, "file string, line_no int, raw string")
+    accepted, verdicts = parse.quality_gate(lines_of)
+    assert accepted.groupBy("file").count().collect() == [("good", 10)]
+    assert {(r["file"], r["accepted"], r["unparsed_ratio"]) for r in verdicts.collect()} == {("good", True, 0.2), ("bad", False, 1.0)}
+    scored = scoring.score_layered(lines_of, fixed.bundle("BGL", "layered"), column_order("line_no"), "file", "line_no", accepted_only=True)
+    assert scored.count() == 10

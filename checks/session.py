@@ -2,14 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from checks import fixed
+from checks.lines import TRIMMED
 from checks.registry import check, hour, routed, rule
 from checks.views import view
 from cinderlog.functions import risk
 from cinderlog.functions.ordering import column_order
 from cinderlog.operators import explain, rules, session
 from cinderlog.operators.rules import Rule
-from cinderlog.plans import scoring
-from cinderlog.sources import results, staging
+from cinderlog.plans import files, scoring
+from cinderlog.sources import models, results, staging
 
 # Oracle pieces -----------------------------------------------------------------
 
@@ -620,3 +622,52 @@ def session_dashboard(spark, d):
         "dataset_routed",
         F.array_join(threats, ",").alias("threats"),
     )
+
+
+UPLOADED = 7
+LINES_OF_FILES = f"SELECT line_no AS key, {TRIMMED} AS raw FROM stored_lines WHERE {TRIMMED} <> ''"
+DASHBOARD = (
+    "session_id, total_logs, total_anomalies, avg_risk_score, low, medium, high, dataset_routed, threats"
+)
+
+
+@check(
+    "K10_files_to_dashboard",
+    "stored_lines",
+    f"""WITH RECURSIVE {fixed.served_sql(LINES_OF_FILES)},
+    lines_of AS (SELECT *, 's' || key % {UPLOADED} AS session_id FROM served),
+    threats AS (SELECT session_id, threat_type, count(*) AS logs FROM lines_of WHERE threat_type <> '' GROUP BY 1, 2)
+    SELECT session_id, count(*) AS total_logs, CAST(count(*) FILTER (WHERE final_risk_score >= {session.ANOMALY_FROM}) AS BIGINT) AS total_anomalies,
+      round(sum(final_risk_score) / count(*), 4) AS avg_risk_score, count(*) FILTER (WHERE risk_level = 'Low') AS low,
+      count(*) FILTER (WHERE risk_level = 'Medium') AS medium, count(*) FILTER (WHERE risk_level = 'High') AS high,
+      arg_min(dataset_routed, key) AS dataset_routed,
+      coalesce((SELECT string_agg(threat_type || '=' || logs, ',' ORDER BY threat_type) FROM threats t WHERE t.session_id = l.session_id), '') AS threats
+    FROM lines_of l GROUP BY session_id
+    """,
+)
+def files_to_dashboard(spark, d):
+    """Text files of seven sessions, with blank and padded lines, to published models, stored results and their statistics."""
+    root = staging.new_path(spark, "uploads")
+    stored = view(spark, d, "stored_lines")
+    for i in range(UPLOADED):
+        part = stored.where(F.col("line_no") % UPLOADED == i).orderBy("line_no").select("value").coalesce(1)
+        part.write.text(f"{root}/files/s{i}")
+    for bundle in fixed.bundles().values():
+        models.publish(spark, f"{root}/models", bundle)
+    bundles = models.load_available(spark, f"{root}/models")
+    stats_of = files.analyse_files(spark, f"{root}/files", bundles, f"{root}/results")
+    levels = F.col("risk_distribution")
+    threats = F.array_sort(
+        F.transform(F.map_entries("threat_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    )
+    return stats_of.select(
+        "session_id",
+        "total_logs",
+        "total_anomalies",
+        "avg_risk_score",
+        levels["Low"].alias("low"),
+        levels["Medium"].alias("medium"),
+        levels["High"].alias("high"),
+        "dataset_routed",
+        F.array_join(threats, ",").alias("threats"),
+    )

@@ -23,8 +23,9 @@ two documents; the bytes around all others are never moved.
 
 Definitions: a null text is the empty text; a row without an id loses nothing and takes
 nothing from others; rows with equal ids are one document, so they take nothing from each
-other, and must have equal texts; an empty table gives an empty table.  Only the named columns are read, so further
-columns can't clash with the results.
+other, whatever their texts; an empty table gives an empty table.  Only the named columns are
+read, so further columns can't clash with the results.  Grams and windows are told apart by
+64-bit hashes, as far as they are not compared byte by byte.
 """
 
 import hashlib
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,15 +48,17 @@ GRAM = 20
 BLOCK_ROWS = 1 << 17
 
 _BYTES = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hashes of strings from the hashes of their halves."""
-    mixed = left * _LEFT + right
+    mixed = left * _LEFT
+    mixed += right
     mixed ^= mixed >> np.uint64(29)
     mixed *= _RIGHT
-    return mixed ^ (mixed >> np.uint64(32))
+    return mixed
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -84,13 +87,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         return empty, empty, empty, np.empty(0, np.uint64)
     hashes = gram_hashes(data, gram)
     span = length - gram + 1
-    value, place, width = hashes, np.arange(len(hashes)), 1
+    # The upper half of the hash and the place in one number: of equal ones the first place is less.
+    least, width = (hashes & _UPPER) | np.arange(len(hashes), dtype=np.uint64), 1
     while width < span:
         shift = min(width, span - width)
-        n = len(value) - shift
-        later = value[shift:] < value[:n]
-        value, place = np.where(later, value[shift:], value[:n]), np.where(later, place[shift:], place[:n])
+        least = np.minimum(least[shift:], least[: len(least) - shift])
         width += shift
+    place = (least & ~_UPPER).view(np.int64)
     change = np.flatnonzero(place[1:] != place[:-1]) + 1
     first = np.concatenate(([0], change))
     last = np.concatenate((change, [windows])) - 1
@@ -112,7 +115,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, id) for every anchor of every text."""
+    """(anchor, no) for every anchor of every text."""
     for batch in batches:
         ids, own = [], []
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -120,30 +123,31 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.append(found)
             ids.append(np.full(len(found), key.as_py(), np.int64))
         if own:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "no"])
 
 
-RUNS = "anchor long, id long, first int, before int, code binary, data binary"
+RUNS = "anchor long, no long, id long, first int, before int, code binary, data binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of every run of windows whose anchor is among the given ones."""
     for batch in batches:
-        columns = ([], [], [], [], [], [])
-        for key, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
+        columns = ([], [], [], [], [], [], [])
+        for no, key, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
             data = _bytes(text)
             first, last, at, found = anchors(data)
             keep = np.flatnonzero(np.isin(found.view(np.int64), wanted.values.to_numpy()))
             raw = data.tobytes()
             columns[0].append(found[keep].view(np.int64))
-            columns[1].append(np.full(len(keep), key.as_py(), np.int64))
-            columns[2].append(first[keep].astype(np.int32))
-            columns[3].append((at[keep] - first[keep]).astype(np.int32))
+            columns[1].append(np.full(len(keep), no.as_py(), np.int64))
+            columns[2].append(np.full(len(keep), key.as_py(), np.int64))
+            columns[3].append(first[keep].astype(np.int32))
+            columns[4].append((at[keep] - first[keep]).astype(np.int32))
             cut = [raw[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-            columns[4].extend(map(hash_run, cut))
-            columns[5].extend(cut)
+            columns[5].extend(map(hash_run, cut))
+            columns[6].extend(cut)
         if columns[0]:
-            arrays = [pa.array(np.concatenate(c)) for c in columns[:4]] + [pa.array(c, pa.binary()) for c in columns[4:]]
+            arrays = [pa.array(np.concatenate(c)) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in RUNS.split(", ")])
 
 
@@ -277,56 +281,59 @@ def _stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return table
 
 
+def _identified(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(id, no, text): rows with one id and different texts are told apart by ``no``."""
+    rows = df.select(*more, F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("no", F.xxhash64("id", "text"))
+
+
+def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Rows of one (no, id) joined; only ``no`` is a key, so that texts stay in the buckets of theirs."""
+    other = right.withColumnsRenamed({"no": "__no", "id": "__id"})
+    return left.join(other, (left["no"] == F.col("__no")) & (left["id"] - F.col("__id") == 0), how).drop("__no", "__id")
+
+
 def _first_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies, texts): ids whose text an earlier id has, and the other rows, stored in buckets of their ids.
+    """(copies, texts): rows (no, id) whose text an earlier id has, and the other rows, stored in buckets of ``no``.
 
     Copies are found by digest, so only ids and digests are grouped.  The texts are moved
-    once; what is joined to them later by id comes to where they are.
+    once; what is joined to them later comes to where they are.
     """
     spark = rows.sparkSession
     with scratch(spark):
-        digests = _stored(rows.where(F.col("id").isNotNull()).select("id", F.sha2("text", 256).alias("digest")), "suffix-digests")
+        digests = _stored(rows.where(F.col("id").isNotNull()).select("no", "id", F.sha2("text", 256).alias("digest")), "suffix-digests")
         firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
-        copies = digests.join(firsts, "digest").where(F.col("id") != F.col("first")).select("id").distinct()
+        copies = digests.join(firsts, "digest").where(F.col("id") != F.col("first")).select("no", "id").distinct()
         copies = _stored(copies, "suffix-copies", keep=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.where(F.col("id").isNotNull()).repartition(parts, "id").join(copies, "id", "left_anti")
+    own = _beside(rows.where(F.col("id").isNotNull()).repartition(parts, "no"), copies, "left_anti")
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    own.write.bucketBy(parts, "id").option("compression", "zstd").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
+    own.write.bucketBy(parts, "no").option("compression", "zstd").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     return copies, spark.table(name)
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(id, found): for every text (id, text) the runs of windows that may lie in an earlier one, stored."""
+    """(no, id, found): for every text (no, id, text) the runs of windows that may lie in an earlier one, stored."""
     with scratch(texts.sparkSession):
         return _stored(_repeated_runs(texts), "suffix-found", keep=True)
 
 
 def _repeated_runs(texts: DataFrame) -> DataFrame:
-    counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
+    counts = texts.select("no", "text").mapInArrow(_counts, "anchor long, n long")
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     shared = _stored(shared, "suffix-shared")
-    places = texts.select("id", "text").mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
-    wanted = _stored(places.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
-    runs = texts.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_runs, RUNS)
+    places = texts.select("no", "text").mapInArrow(_places, "anchor long, no long").join(shared, "anchor", "left_semi")
+    wanted = _stored(places.groupBy("no").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
+    runs = texts.join(wanted, "no").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
     runs = _stored(runs, "suffix-runs")
     distinct = runs.groupBy("anchor", "before", "data").agg(F.min("id").alias("low"))
     shards = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "before", "data", "low")
     lows = _stored(shards.mapInArrow(_induce, "anchor long, before int, code binary, lows array<bigint>"), "suffix-lows")
     windows = (F.octet_length("data") - LENGTH + 1).alias("windows")
-    coded = runs.select("anchor", "before", "id", "first", windows, "code")
+    coded = runs.select("anchor", "before", "no", "id", "first", windows, "code")
     later = coded.join(lows, ["anchor", "before", "code"]).where(F.array_min("lows") < F.col("id"))
-    return later.groupBy("id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
-
-
-def _removal(df: DataFrame, key: str, text: str, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """(copies, done): ids whose whole text an earlier id has, and (id, removed) for the other rows with an id."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    copies, texts = _first_texts(rows)
-    found = repeated_runs(texts)
-    done = texts.join(found, "id", "left").select("id", _removed("id", "text", "found", F.lit(with_text)).alias("removed"))
-    return copies, done
+    return later.groupBy("no", "id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
 
 
 def _untouched(rows: DataFrame) -> DataFrame:
@@ -345,9 +352,10 @@ def _untouched(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    copies, done = _removal(df, key, text, with_text=False)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    others = _untouched(rows.join(copies, "id").withColumn("whole", F.lit(True)))
+    rows = _identified(df, key, text)
+    copies, texts = _first_texts(rows)
+    done = _beside(texts, repeated_runs(texts), "left").select("id", _removed("id", "text", "found", F.lit(False)).alias("removed"))
+    others = _untouched(_beside(rows, copies, "left_semi").withColumn("whole", F.lit(True)))
     nameless = _untouched(rows.where(F.col("id").isNull()).withColumn("whole", F.lit(False)))
     parts = done.select("id", "removed.n_bytes", "removed.n_removed", "removed.n_spans", "removed.kept_sha256")
     return parts.unionByName(others).unionByName(nameless).withColumnRenamed("id", key)
@@ -355,12 +363,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with what is left of their texts; bytes of characters that were cut in two go as well."""
-    rows = df.select(F.struct(*[df[c] for c in df.columns if c != text]).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = _identified(df, key, text, F.struct(*[df[c] for c in df.columns if c != text]).alias("row"))
     copies, texts = _first_texts(rows)
     found = repeated_runs(texts)
-    done = texts.join(found, "id", "left").select("row", _removed("id", "text", "found", F.lit(True)).getField("kept").cast("string").alias("kept"))
+    done = _beside(texts, found, "left").select("row", _removed("id", "text", "found", F.lit(True)).getField("kept").cast("string").alias("kept"))
     whole = F.when(F.octet_length("text") >= LENGTH, F.lit("")).otherwise(F.col("text"))
-    others = rows.join(copies, "id").select("row", whole.alias("kept"))
+    others = _beside(rows, copies, "left_semi").select("row", whole.alias("kept"))
     nameless = rows.where(F.col("id").isNull()).select("row", F.col("text").alias("kept"))
     left = done.unionByName(others).unionByName(nameless)
     valid = F.coalesce(F.try_validate_utf8("kept"), F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))

@@ -142,6 +142,20 @@ def test_repeated_strings(docs, corpus):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeated_strings_of_one_id_with_several_texts(spark):
+    """A copy under an id does not take the id's other texts with it; texts of one id take nothing from each other."""
+    chance = random.Random(5)
+    a, b, c = (prose(chance, 40) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, c), (2, c + " " + b), (3, b + " tail of three"), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in suffixes.without_repeats(df).collect())
+    kept = {3: " tail of three"}
+    expected = Counter((k, "" if (k, t) == (2, a) else kept.get(k, t)) for k, t in rows)
+    assert got == expected
+    sizes = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(df).collect())
+    assert sizes == Counter((k, len(t), len(t) if (k, t) == (2, a) else len(b) if k == 3 else 0) for k, t in rows)
+
+
 def test_anchors_depend_on_their_window_only():
     chance = np.random.default_rng(4)
     data = chance.integers(97, 101, 400).astype(np.uint8)

@@ -121,12 +121,12 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
             found = np.unique(anchors(_bytes(text))[3])
             own.append(found)
-            ids.append(np.full(len(found), key.as_py(), np.int64))
+            ids.append(np.full(len(found), key.as_py(), np.int32))
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "no"])
 
 
-RUNS = "anchor long, no long, id long, first int, before int, code binary, data binary"
+RUNS = "anchor long, no int, id long, first int, before int, code binary, data binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.flatnonzero(np.isin(found.view(np.int64), wanted.values.to_numpy()))
             raw = data.tobytes()
             columns[0].append(found[keep].view(np.int64))
-            columns[1].append(np.full(len(keep), no.as_py(), np.int64))
+            columns[1].append(np.full(len(keep), no.as_py(), np.int32))
             columns[2].append(np.full(len(keep), key.as_py(), np.int64))
             columns[3].append(first[keep].astype(np.int32))
             columns[4].append((at[keep] - first[keep]).astype(np.int32))
@@ -282,9 +282,9 @@ def _stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def _identified(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    """(id, no, text): rows with one id and different texts are told apart by ``no``."""
+    """(id, no, text): rows with one id and different texts are told apart by ``no``, which other ids may have too."""
     rows = df.select(*more, F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("no", F.xxhash64("id", "text"))
+    return rows.withColumn("no", F.hash("id", "text"))
 
 
 def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -323,7 +323,7 @@ def _repeated_runs(texts: DataFrame) -> DataFrame:
     counts = texts.select("no", "text").mapInArrow(_counts, "anchor long, n long")
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     shared = _stored(shared, "suffix-shared")
-    places = texts.select("no", "text").mapInArrow(_places, "anchor long, no long").join(shared, "anchor", "left_semi")
+    places = texts.select("no", "text").mapInArrow(_places, "anchor long, no int").join(shared, "anchor", "left_semi")
     wanted = _stored(places.groupBy("no").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
     runs = texts.join(wanted, "no").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
     runs = _stored(runs, "suffix-runs")

@@ -115,15 +115,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, no) for every anchor of every text."""
+    """(anchor, id) for every anchor of every text."""
     for batch in batches:
         ids, own = [], []
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
             found = np.unique(anchors(_bytes(text))[3])
             own.append(found)
-            ids.append(np.full(len(found), key.as_py(), np.int32))
+            ids.append(np.full(len(found), key.as_py(), np.int64))
         if own:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "no"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "id"])
 
 
 RUNS = "anchor long, no int, id long, first int, before int, code binary, data binary"
@@ -282,19 +282,19 @@ def _stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 def _identified(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    """(id, no, text): rows with one id and different texts are told apart by ``no``, which other ids may have too."""
+    """(id, no, text): rows with one id and different texts are told apart by ``no``, a hash of the text."""
     rows = df.select(*more, F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("no", F.hash("id", "text"))
+    return rows.withColumn("no", F.hash("text"))
 
 
 def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Rows of one (no, id) joined; only ``no`` is a key, so that texts stay in the buckets of theirs."""
+    """Rows of one (id, no) joined; only the id is a key, so that texts stay in the buckets of theirs."""
     other = right.withColumnsRenamed({"no": "__no", "id": "__id"})
-    return left.join(other, (left["no"] == F.col("__no")) & (left["id"] - F.col("__id") == 0), how).drop("__no", "__id")
+    return left.join(other, (left["id"] == F.col("__id")) & (left["no"] - F.col("__no") == 0), how).drop("__no", "__id")
 
 
 def _first_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies, texts): rows (no, id) whose text an earlier id has, and the other rows, stored in buckets of ``no``.
+    """(copies, texts): rows (id, no) whose text an earlier id has, and the other rows, stored in buckets of their ids.
 
     Copies are found by digest, so only ids and digests are grouped.  The texts are moved
     once; what is joined to them later comes to where they are.
@@ -306,9 +306,9 @@ def _first_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         copies = digests.join(firsts, "digest").where(F.col("id") != F.col("first")).select("no", "id").distinct()
         copies = _stored(copies, "suffix-copies", keep=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = _beside(rows.where(F.col("id").isNotNull()).repartition(parts, "no"), copies, "left_anti")
+    own = _beside(rows.where(F.col("id").isNotNull()).repartition(parts, "id"), copies, "left_anti")
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    own.write.bucketBy(parts, "no").option("compression", "zstd").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
+    own.write.bucketBy(parts, "id").option("compression", "zstd").option("path", new_path(spark, "suffix-texts")).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
     return copies, spark.table(name)
 
@@ -320,12 +320,12 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 
 
 def _repeated_runs(texts: DataFrame) -> DataFrame:
-    counts = texts.select("no", "text").mapInArrow(_counts, "anchor long, n long")
+    counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
     shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
     shared = _stored(shared, "suffix-shared")
-    places = texts.select("no", "text").mapInArrow(_places, "anchor long, no int").join(shared, "anchor", "left_semi")
-    wanted = _stored(places.groupBy("no").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
-    runs = texts.join(wanted, "no").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
+    places = texts.select("id", "text").mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
+    wanted = _stored(places.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
+    runs = texts.join(wanted, "id").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
     runs = _stored(runs, "suffix-runs")
     distinct = runs.groupBy("anchor", "before", "data").agg(F.min("id").alias("low"))
     shards = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "before", "data", "low")
@@ -333,7 +333,7 @@ def _repeated_runs(texts: DataFrame) -> DataFrame:
     windows = (F.octet_length("data") - LENGTH + 1).alias("windows")
     coded = runs.select("anchor", "before", "no", "id", "first", windows, "code")
     later = coded.join(lows, ["anchor", "before", "code"]).where(F.array_min("lows") < F.col("id"))
-    return later.groupBy("no", "id").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
+    return later.groupBy("id", "no").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
 
 
 def _untouched(rows: DataFrame) -> DataFrame:

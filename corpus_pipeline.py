@@ -20,22 +20,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 @with_workers
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have too few words and go; repeated rows are judged each on its own."""
     return quality.keep_good(docs)
 
 
 @with_workers
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an id and texts without words stay; rows with equal id and text become one."""
     return neardup.keep_one(docs, percent=80)
 
 
 @with_workers
 def own_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts change, and so do their lengths."""
+    """Texts change, and so do their lengths; null texts become empty, rows without an id stay as they are."""
     return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @with_workers
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold no item and stay; repeated rows are judged each on its own."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

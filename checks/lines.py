@@ -655,6 +655,33 @@ def user_rules(spark, d):
     )
 
 
+MANY = 5_000
+COUNTED = "TRY_CAST(regexp_extract(raw, 'processed in ([0-9]+) ms', 1) AS INTEGER)"
+
+
+@check(
+    "R2_large_rule_table",
+    "log_lines",
+    f"""
+    SELECT line_no, coalesce(name, CASE WHEN n < {MANY} THEN 'Slow' || n END) AS matched_rule, coalesce(threat, CASE WHEN n < {MANY} THEN 'Slow' || n % 7 END) AS threat_type,
+      CASE WHEN name IS NOT NULL THEN score WHEN n < {MANY} THEN n % 10 / 10.0::DOUBLE END AS score
+    FROM (SELECT line_no, {COUNTED} AS n, {rule('raw', 0)} AS name, {rule('raw', 2)} AS threat, {rule('raw', 3)} AS score FROM log_lines) l
+    """,
+)
+def large_rule_table(spark, d):
+    """Thousands of user rules after the default ones, over all lines."""
+    extra = spark.range(MANY).select(
+        F.col("id").cast("int").alias("rule_order"),
+        F.concat(F.lit("Slow"), "id").alias("name"),
+        F.concat(F.lit("processed\\s+in "), "id", F.lit(" ms")).alias("pattern"),
+        F.concat(F.lit("Slow"), F.col("id") % 7).alias("threat_type"),
+        F.lit(None).cast("string").alias("description"),
+        (F.col("id") % 10 / 10.0).alias("score"),
+    )
+    combined = rules.extend_rules(rules.read_rules(extra))
+    return rules.match_rules(_lines(spark, d), combined, "raw").select("line_no", "matched_rule", "threat_type", "score")
+
+
 @check(
     "R3_short_circuit",
     "log_lines",

@@ -1,15 +1,20 @@
 """Ordered threat rules: the first pattern found in a message wins."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyspark.cloudpickle as cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.functions import literals
 from cinderlog.functions.regex import py
 from cinderlog.functions.risk import RULE_CUTOFF
 
+cloudpickle.register_pickle_by_value(literals)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -109,9 +114,11 @@ RULES_SCHEMA = T.StructType(
     ]
 )
 
-# A rule table is configuration: it becomes literals of the plan.
+# A rule table is configuration.  A short one becomes part of the plan; a longer one goes to the workers as data.
 MAX_RULES = 10_000
-RULES_PER_CHAIN = 100
+INLINE_RULES = 100
+
+OUTCOME = "is_known_threat boolean, threat_type string, matched_rule string, description string, score double"
 
 
 def read_rules(rules: DataFrame) -> tuple[Rule, ...]:
@@ -159,18 +166,45 @@ def _matches(message: Column, rule: Rule) -> Column:
 def rule_outcome(message: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """Struct describing the first rule that matches, or no match at all.
 
-    Every chain stops at its first hit and ``coalesce`` stops at the first chain
-    with one, so a line is never tested against later rules.
+    Up to ``INLINE_RULES`` rules are a chain of conditions on the JVM that stops at its first hit.  More
+    are matched by :func:`table_outcome`, whose plan does not grow with them; both give the same rows.
+    """
+    if len(rules) > INLINE_RULES:
+        return table_outcome(message, rules)
+    chain = None
+    for rule in rules:
+        chain = (F if chain is None else chain).when(_matches(message, rule), _outcome(rule))
+    return _outcome(None) if chain is None else F.coalesce(chain, _outcome(None))
+
+
+def table_outcome(message: Column, rules: Sequence[Rule]) -> Column:
+    """The same for many rules: an automaton over literals finds the rules that a message can match at all.
+
+    Every match of a rule holds one of its literals (its hints, or the longest one that its pattern
+    demands), so only the rules whose literals occur are tried, in order.  Rules without any
+    literal are tried on every message.  Messages of a batch are looked at once each.
     """
-    chains = []
-    for start in range(0, len(rules), RULES_PER_CHAIN):
-        chain = None
-        for rule in rules[start : start + RULES_PER_CHAIN]:
-            chain = (F if chain is None else chain).when(
-                _matches(message, rule), _outcome(rule)
-            )
-        chains.append(chain)
-    return F.coalesce(*chains, _outcome(None))
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"a rule table may hold {MAX_RULES} rules at most")
+    shared = SparkSession.active().sparkContext.broadcast(
+        [(r.pattern, r.hints, (True, r.threat_type, r.name, r.description, None if r.score is None else float(r.score))) for r in rules]
+    )
+    names = [f.split()[0] for f in OUTCOME.split(", ")]
+    kinds = [pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64()]
+
+    @F.arrow_udf(OUTCOME)
+    def outcome(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = literals.Matcher([(pattern, hints) for pattern, hints, _ in shared.value])
+        outcomes = [*[told for _, _, told in shared.value], (False, None, None, None, None)]
+        for batch in batches:
+            encoded = batch.dictionary_encode()
+            first = [matcher.first(text) for text in encoded.dictionary.to_pylist()]
+            rows = [outcomes[-1 if i is None else first[i]] for i in encoded.indices.to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    # Stops the optimizer from repeating the call for each use of its result.
+    return outcome.asNondeterministic()(message)
 
 
 def match_rules(

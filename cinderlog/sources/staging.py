@@ -1,6 +1,7 @@
 """Tables that cut a plan: written once to shared storage, then read back."""
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from functools import lru_cache
@@ -31,7 +32,14 @@ def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     return f"{(folder or shared_folder(spark)).rstrip('/')}/cinderlog/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
+#: Tables to be removed, by thread: jobs that run side by side have their own.
+_open = threading.local()
+
+
+def _scratch() -> list[list[str]]:
+    if not hasattr(_open, "tables"):
+        _open.tables = []
+    return _open.tables
 
 
 @contextmanager
@@ -40,11 +48,11 @@ def scratch(spark: SparkSession):
 
     For steps whose result is stored itself: nothing that is read later may rest on the others.
     """
-    _scratch.append([])
+    _scratch().append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _scratch().pop():
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -58,7 +66,7 @@ def materialize(
     """
     spark = df.sparkSession
     path = new_path(spark, name, folder)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if _scratch() and not keep:
+        _scratch()[-1].append(path)
     df.write.options(**options).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from cinderlog.functions import risk
+from cinderlog.functions import literals, risk
 from cinderlog.operators import rules
 from cinderlog.operators.rules import DEFAULT_RULES, Rule
 from cinderlog.plans import scoring
@@ -83,3 +86,40 @@ def test_level_comes_from_the_unrounded_risk(spark):
     row = row.withColumn("rf_confidence", F.lit((0.49996 - 0.4 * (1 - 0.50011)) / 0.6))
     fused = scoring.fuse_served(row, ["line_no"]).first()
     assert (fused["risk_level"], fused["final_risk_score"]) == ("Low", 0.5)
+
+
+def test_literals_that_matches_demand():
+    assert literals.demanded("processed in 5 ms") == "processed in 5 ms"
+    assert literals.demanded(r"Disk\s+FULLY?") == "disk"
+    assert literals.demanded(r"a.*timeouts{2}x") == "timeout"
+    assert literals.demanded(r"ab+cd") is None and literals.demanded("one|two") is None and literals.demanded("(abcdef)") is None
+    assert literals.demanded(r"error\.log") == "error.log"
+
+
+def test_many_rules_give_what_a_chain_gives(spark):
+    """Random patterns and awkward texts: automaton, native chain and Python's own search agree."""
+    chance = random.Random(3)
+    patterns = ["disk full", r"d\w+k", "ſpecial", "kelvin", r"timeouts?", "a|zz", r"x{2,}y", r"\bid=\d+", "İstanbul", r"full.*disk"] + [f"code {i}" for i in range(200)]
+    made = [rules.Rule(f"r{i}", p, f"t{i % 5}", "", i / 300, ()) for i, p in enumerate(patterns)]
+    parts = ["DISK", "full", " ", "disk", "code 7", "CODE 199", "Kelvin", "\u212aelvin", "speCial", "\u017fpecial", "timeout", "xxy", "id=5", "\u0130stanbul", "zz", "\n"]
+    texts = [None, ""] + ["".join(chance.choice(parts) for _ in range(chance.randrange(6))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, message string")
+    told = df.select("n", "message", rules.table_outcome(F.col("message"), made).alias("o")).collect()
+    for r in told:
+        own = next((i for i, p in enumerate(patterns) if r["message"] is not None and re.search(p, r["message"], re.IGNORECASE)), None)
+        assert r["o"]["matched_rule"] == (None if own is None else f"r{own}")
+        assert r["o"]["is_known_threat"] == (own is not None)
+    ascii_rules = [r for r in made if r.pattern.isascii()][:60]
+    plain = df.where(F.length("message") == F.octet_length("message"))
+    chain = plain.select("n", rules.rule_outcome(F.col("message"), ascii_rules).alias("o")).select("n", "o.matched_rule", "o.score")
+    table = plain.select("n", rules.table_outcome(F.col("message"), ascii_rules).alias("o")).select("n", "o.matched_rule", "o.score")
+    assert chain.exceptAll(table).count() == 0 == table.exceptAll(chain).count()
+
+
+def test_the_plan_does_not_grow_with_the_rules(spark):
+    df = spark.createDataFrame([("x",)], "message string")
+    sizes = []
+    for n in (200, 5000):
+        made = [rules.Rule(f"r{i}", f"word {i}", "t", "", 0.1) for i in range(n)]
+        sizes.append(len(rules.match_rules(df, made)._jdf.queryExecution().toString()))
+    assert abs(sizes[0] - sizes[1]) < 200

@@ -3,9 +3,14 @@
 Texts with equal shingle sets are one class, so copies are never paired.  Classes that
 agree in a band share a bucket.  A bucket never yields all its pairs: its members are
 first compared with its hub and its last class only, links are contracted to components,
-and just those members that are still apart from the hub's component are compared with
-the bucket's members in other components.  Pairs inside a component can't change the
-result, so no link between different components is lost.
+and just members of buckets that are still in several components are compared further.  Pairs
+inside a component can't change the result, so no link between different components is lost.
+
+These last pairs come from an exact set-similarity join, not from the bucket: shingles are
+ordered by how many open classes hold them, rarest first, and two classes meet only if they
+share one of their first few (prefix filter), with enough of both left from there on (length
+and positional filters), in different components and with a band in common.  Copies with edits
+of their own have those edits first, so a large group does not meet on what all of it shares.
 
 Shingles that only one class in all buckets has can't be shared with a candidate.  What is
 left of two classes bounds their similarity from above, so pairs below the threshold are
@@ -19,7 +24,8 @@ pair at the threshold to share none with a chance below ``BAND_MISS``.
 
 Definitions: a null or word-free text has no shingles and is linked with nothing; a text
 of fewer words than a shingle is one shingle; rows without an id are linked with nothing
-and have no component; repeated rows are one class; an empty table gives an empty table.
+and have no component; repeated rows are one class, and rows of one id with different texts
+are told apart by their texts; an empty table gives an empty table.
 Only the named columns are read, so further columns can't clash with the results.
 """
 
@@ -29,10 +35,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm.components import connected
+from cinderlog.llm.names import free_name
 from cinderlog.llm.shingles import WordHashes, shingle_set
 from cinderlog.sources.staging import materialize, scratch
 
@@ -91,7 +98,7 @@ def _describe(band: int):
         words = WordHashes()
         for batch in batches:
             sizes, digests, keys, sketches = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_set(words, text.as_py(), SHINGLE)
                 sizes.append(len(found))
                 if not len(found):
@@ -102,8 +109,8 @@ def _describe(band: int):
                 keys.append(band_keys(least, band))
                 sketches.append((least >> np.uint32(11)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["id", "n", "digest", "keys", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["id", "mark", "n", "digest", "keys", "sketch"],
             )
 
     return run
@@ -183,13 +190,25 @@ def _confirmed(percent: int):
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """The rows without near duplicates: of each component the row with the smallest id.
+    """The rows without near duplicates: of each component the text with the smallest id.
 
-    Rows with equal id and text are one; rows without an id stay.
+    Rows with equal id and text are one: the first by the JSON of their other columns.  An id's
+    other texts are judged each on its own.  Rows without an id stay, and so do rows without words.
     """
-    kept = near_duplicates(df, key, text, percent).where("kept").select(F.col(key).alias("__kept")).distinct()
-    chosen = df.join(kept, F.col(key).cast("long") == F.col("__kept")).drop("__kept").dropDuplicates([key, text])
-    return chosen.unionByName(df.where(F.col(key).isNull()))
+    own, mark, kept = (free_name(df, name) for name in ("kept_id", "kept_mark", "kept_row"))
+    with scratch(df.sparkSession):
+        judged = NearDuplicates(df, key, text, percent).components(marked=True).where("kept")
+        judged = judged.select(F.col(key).alias(own), F.col("mark").alias(mark)).distinct()
+        judged = materialize(judged, "neardup-kept", keep=True)
+    rows = df.where(F.col(key).isNotNull()).withColumns({own: F.col(key).cast("long"), mark: _mark(F.col(text))})
+    rest = [F.col(c) for c in df.columns if c != text] or [F.lit(0)]
+    chosen = rows.join(judged, [own, mark]).groupBy(own, mark).agg(F.min_by(F.struct(*df.columns), F.to_json(F.struct(*rest))).alias(kept))
+    return chosen.select(f"{kept}.*").unionByName(df.where(F.col(key).isNull()))
+
+
+def _mark(text: Column) -> Column:
+    """What tells the texts of one id apart."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -203,13 +222,13 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, miss: float = MISS):
         self.percent, self.miss, self.key = percent, miss, key
-        rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-        schema = "id long, n long, digest binary, keys array<bigint>, sketch binary"
+        rows = df.select(F.col(key).cast("long").alias("id"), _mark(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
+        schema = "id long, mark string, n long, digest binary, keys array<bigint>, sketch binary"
         self.described = materialize(rows.mapInArrow(_describe(band_rows(percent / 100)), schema), "neardup-described")
         known = self.described.where((F.col("n") > 0) & F.col("id").isNotNull())
         classes = known.groupBy("digest").agg(F.min("id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
-        members = self.classes.select("node", F.posexplode("keys").alias("band", "key"))
+        members = self.classes.select("node", F.explode("keys").alias("key"))
         shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
         members = materialize(members.join(shared.select("key"), "key"), "neardup-shared")
         active = members.select("node").distinct().join(self.classes.select("node", "digest", "first"), "node")
@@ -264,31 +283,55 @@ class NearDuplicates:
             .where(F.col("least") != F.col("most"))
             .select("key", "main")
         )
-        open_members = placed.join(split, "key").join(self.classes.select("node", "keys"), "node")
-        # A pair is made in the first band only that both classes agree in.
-        open_members = materialize(open_members.withColumn("before", F.slice("keys", F.lit(1), F.col("band"))).drop("keys"), "neardup-open")
-        apart = open_members.where(m("root") != m("main")).select("key", *[m(c).alias(f"u_{c}") for c in ("node", "root", "n", "shared", "before")])
-        others = open_members.where((m("node") != m("hub.node")) & (m("node") != m("last.node")))
-        others = others.select("key", *[m(c).alias(f"v_{c}") for c in ("node", "root", "n", "shared", "before")])
-        possible = self._possible(m("u_n"), m("u_shared"), m("v_n"), m("v_shared"))
-        rest = apart.join(others, "key").where((m("u_root") != m("v_root")) & possible & ~F.arrays_overlap("u_before", "v_before"))
-        rest = rest.select(m("u_node").alias("u"), m("v_node").alias("v"))
-        rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        open_nodes = placed.join(split.select("key"), "key", "left_semi").select("node", "root", "n").distinct()
+        rest = self._residual(open_nodes.join(self.classes.select("node", "keys"), "node"))
         links = near.select("u", "v").unionByName(self._verified(rest).select("u", "v"))
         return connected(links)
 
-    def components(self) -> DataFrame:
-        """(key, n_shingles, component_id, kept) for every row."""
+    def _residual(self, nodes: DataFrame) -> DataFrame:
+        """Pairs (u, v) of classes (node, root, n, keys) in different components that can be links.
+
+        A pair's first shared shingle, rarest first, is at places with enough shingles from there on
+        in both sets.  For the smaller set these are its first few (a partner is no smaller), for the
+        larger one about twice as many.
+        """
+        nodes = materialize(nodes, "neardup-open")
+        p = self.percent
+        places = self.sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_places, "node long, shingle long")
+        places = materialize(places, "neardup-places")
+        held = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+        inside = places.join(held, "shingle")
+        sizes = inside.groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+        ordered = Window.partitionBy("node").orderBy("holders", "shingle")
+        # Shingles that no other open class has come first; only their number matters.
+        first = inside.withColumn("nth", F.row_number().over(ordered)).join(sizes, "node").join(nodes, "node")
+        first = first.withColumn("at", F.col("n") - F.col("common") + F.col("nth") - 1).where(100 * F.col("at") <= (100 - p) * F.col("n"))
+        first = materialize(first.select("shingle", "node", "root", "n", "at", "keys"), "neardup-prefixes")
+        small = first.where((100 + p) * F.col("at") <= (100 - p) * F.col("n"))
+        small, large = (side.select("shingle", *[F.col(c).alias(f"{end}_{c}") for c in ("node", "root", "n", "at", "keys")]) for side, end in ((small, "u"), (first, "v")))
+        m = F.col
+        left = F.least(m("u_n") - m("u_at"), m("v_n") - m("v_at"))
+        pairs = small.join(large, "shingle").where(
+            ((m("u_n") < m("v_n")) | ((m("u_n") == m("v_n")) & (m("u_node") < m("v_node"))))
+            & (m("u_root") != m("v_root"))
+            & ((100 + p) * left >= p * (m("u_n") + m("v_n")))
+            & F.arrays_overlap("u_keys", "v_keys")
+        )
+        return pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+
+    def components(self, marked: bool = False) -> DataFrame:
+        """(key, n_shingles, component_id, kept) for every row; ``marked`` adds the mark of its text."""
         roots = self.roots()
         named = self.classes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("first").alias("component_id"))
         placed = named.join(least, "root").select("digest", "component_id")
         known = F.col("n") > 0
         component = F.when(known, F.col("component_id")).otherwise(F.col("id"))
-        rows = self.described.select("id", "n", "digest").join(placed, "digest", "left")
+        rows = self.described.select("id", "mark", "n", "digest").join(placed, "digest", "left")
         return rows.select(
             F.col("id").alias(self.key),
             F.col("n").alias("n_shingles"),
             F.when(F.col("id").isNotNull(), component).alias("component_id"),
             F.when(F.col("id").isNotNull(), component == F.col("id")).otherwise(False).alias("kept"),
+            *([F.col("mark")] if marked else []),
         )

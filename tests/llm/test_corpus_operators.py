@@ -94,6 +94,28 @@ def test_one_of_each_group_stays(docs, corpus):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, *(k for k, c in expected.items() if k is not None and k == c)])
 
 
+def test_copies_that_share_edits_meet_by_few_shingles(spark):
+    """Words left out of one text, two to six of a few places each: links run over many copies, not over one hub."""
+    chance = random.Random(3)
+    base = prose(chance, 110).split()
+    corpus = [(k, " ".join(w for i, w in enumerate(base) if i not in {chance.randrange(0, 110, 9) for _ in range(2 + k % 5)})) for k in range(150)]
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert found == components_of(shingle_sets(corpus), 85)
+
+
+def test_one_stays_by_id_and_text(spark):
+    """An id's other texts are not kept for it; helper names may be taken; equal rows are one by their other columns."""
+    chance = random.Random(8)
+    a, b = prose(chance, 40), prose(chance, 40)
+    rows = [(3, a, "z", 1), (5, b, "y", 2), (5, a, "x", 3), (3, a, "b", 4), (None, a, "n", 5), (7, "", "e", 6), (8, None, "e", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, KEPT_ID string, kept_mark int")
+    kept = {(r["doc_id"], r["text"], r["KEPT_ID"]) for r in neardup.keep_one(df).collect()}
+    assert kept == {(3, a, "b"), (5, b, "y"), (None, a, "n"), (7, "", "e"), (8, None, "e")}
+    assert neardup.keep_one(df).columns == df.columns
+    assert neardup.keep_one(df.where("doc_id < 0")).count() == 0
+
+
 def test_sequential_pruning_keeps_likely_links():
     """The bound drops a pair at the threshold hardly ever, and one of half its similarity nearly always."""
     needs = neardup.least_matches(0.85, 1e-9)

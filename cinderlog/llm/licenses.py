@@ -1,8 +1,10 @@
 """License scan: fixed phrases, and an exact set-similarity join with license notices.
 
-A text block is a line with the two lines after it, so notices that wrap are whole in
-some block.  A block matches a notice when it holds at least ``CONTAINMENT`` of the
-notice's distinct words.  The join is exact and looks at few pairs:
+A text block is a stretch of ``block_words`` consecutive words (the longest notice's number of
+words by the containment), wherever lines break; the last ones of a text are shorter.  Every
+block counts that starts with a word of some notice: one that starts elsewhere shares no more
+than the block from its first such word.  A block matches a notice when it holds at least
+``CONTAINMENT`` of the notice's distinct words.  The join is exact and looks at few pairs:
 
 * words are ordered by how many documents hold them, rarest first;
 * prefix filter: of a notice with ``size`` words that needs ``need`` of them, a matching
@@ -51,7 +53,6 @@ NOTICES = (
 )
 
 CONTAINMENT = 0.85
-BLOCK_LINES = 3
 
 
 def normalised(text: Column) -> Column:
@@ -72,12 +73,18 @@ def needed(size: int, containment: float) -> int:
     return math.ceil(round(containment * size, 9))
 
 
+def block_words(notices=NOTICES, containment: float = CONTAINMENT) -> int:
+    """Words of a block: as many as the longest notice has, with as many others as the containment lets in."""
+    return math.ceil(round(max(len(words.split()) for _, words in notices) / containment, 9))
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices=NOTICES, containment: float = CONTAINMENT) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row."""
     spark = df.sparkSession
     sets = [(label, sorted(set(words.split()))) for label, words in notices]
     vocabulary = sorted({w for _, words in sets for w in words})
     held = _described(df, key, text, sets, vocabulary, containment)
+    span = block_words(notices, containment)
     held = materialize(held, "licenses")
 
     # How many documents hold each word: a table as long as the notices' vocabulary at most.
@@ -94,8 +101,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices=NOTICES
     schema = "word string, notice int, label string, at int, size int, need int, words array<string>"
     prefixes = spark.createDataFrame(index, schema)
 
-    blocks = held.where(F.col("lines").isNotNull()).select("row", F.posexplode(_blocks(F.col("lines"))).alias("block", "words"))
-    blocks = blocks.select("row", "block", _held(F.col("words"), order).alias("own")).where(F.size("own") >= min(needs))
+    blocks = held.where(F.col("places").isNotNull()).select("row", F.posexplode(_blocks(F.col("places"), span, min(needs))).alias("block", "words"))
+    blocks = blocks.select("row", "block", _held(F.col("words"), order).alias("own"))
     first = F.slice("own", 1, F.size("own") - min(needs) + 1)
     probes = blocks.select("row", "block", "own", F.posexplode(first).alias("own_at", "word"))
     size, rest = F.size("own"), F.least(F.col("size") - F.col("at"), F.size("own") - F.col("own_at"))
@@ -122,15 +129,21 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices=NOTICES
     )
 
 
-def _blocks(lines: Column) -> Column:
-    """Each line's words with those of the lines after it."""
-    return F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array_distinct(F.flatten(F.slice(lines, i, BLOCK_LINES))))
+def _blocks(places: Column, span: int, least: int) -> Column:
+    """The distinct notice words of each block with at least so many; places are (word number, word) in order."""
+
+    def block(i):
+        start = F.get(places, i - 1)["at"]
+        near = F.filter(F.slice(places, i, span), lambda x: x["at"] < start + span)
+        return F.array_distinct(F.transform(near, lambda x: x["word"]))
+
+    return F.filter(F.transform(F.sequence(F.lit(1), F.size(places)), block), lambda words: F.size(words) >= least)
 
 
 def _described(df: DataFrame, key: str, text: str, sets, vocabulary: list[str], containment: float) -> DataFrame:
     """One row for every input row: phrase places, and the notices' words that it holds."""
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", normalised(F.col("text")).alias("flat"))
+    rows = rows.select("id", normalised(F.col("text")).alias("flat"))
     flat = F.col("flat")
     spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
     n_words = F.when(F.trim(flat) == "", F.lit(0)).otherwise(spaces - 1).cast("long")
@@ -160,10 +173,11 @@ def _described(df: DataFrame, key: str, text: str, sets, vocabulary: list[str],
         tests = [F.size(F.array_intersect(held, _strings(w))) >= needed(len(w), containment) for _, w in sets]
         return F.exists(F.array(*tests), lambda x: x)
 
-    rows = rows.select("id", "text", n_words.alias("n_words"), hits.alias("hits"), F.array_sort(F.array_distinct(base)).alias("base"), doc_words.alias("doc_words"))
+    rows = rows.select("id", "flat", n_words.alias("n_words"), hits.alias("hits"), F.array_sort(F.array_distinct(base)).alias("base"), doc_words.alias("doc_words"))
     held = F.col("doc_words")
     least = min(needed(len(w), containment) for _, w in sets)
-    lines = F.transform(F.split("text", "\n"), lambda x: _held(F.split(F.trim(normalised(x)), " "), vocabulary))
+    numbered = F.transform(F.split(F.trim("flat"), " "), lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    notice_words = F.filter(numbered, lambda x: x["word"].isin(vocabulary))
     return rows.select(
         F.monotonically_increasing_id().alias("row"),
         "id",
@@ -173,5 +187,5 @@ def _described(df: DataFrame, key: str, text: str, sets, vocabulary: list[str],
         F.array_max("hits").cast("long").alias("last_word"),
         "base",
         "doc_words",
-        F.when((F.size(held) >= least) & enough(held), lines).alias("lines"),
+        F.when((F.size(held) >= least) & enough(held), notice_words).alias("places"),
     )

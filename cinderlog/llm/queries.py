@@ -52,12 +52,10 @@ w AS (SELECT id, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F
 b AS (SELECT id, doc_id, len(ws) AS n_words, {", ".join(f"{_phrase_places(p)} AS p{k}" for k, (p, _) in enumerate(licenses.PHRASES))} FROM w),
 f AS (SELECT *, list_concat(p0, p1, p2) AS places,
   list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES))}], lambda x: x IS NOT NULL) AS base FROM b),
-l AS (SELECT id, string_split(t, chr(10)) AS lines FROM d),
-k AS (SELECT id, regexp_extract_all(array_to_string(lines[i:i + {licenses.BLOCK_LINES - 1}], chr(10)), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-      FROM (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l) e),
+q AS (SELECT id, ws, label, notice, need FROM w, (VALUES {_notice_rows()}) n(label, notice, need) WHERE len(list_intersect(ws, notice)) >= need),
+k AS (SELECT id, label, notice, need, ws[i:i + {licenses.block_words() - 1}] AS words FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM q) e),
 m AS (SELECT id, list(DISTINCT label) AS more, max(shared / len(notice)) AS best FROM (
-  SELECT id, label, notice, need, len(list_intersect(words, notice)) AS shared
-  FROM k, (VALUES {_notice_rows()}) n(label, notice, need)) x WHERE shared >= need GROUP BY id)
+  SELECT id, label, notice, need, len(list_intersect(words, notice)) AS shared FROM k) x WHERE shared >= need GROUP BY id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
   CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
   array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,

@@ -97,9 +97,8 @@ def license_row(text):
         places += here
         labels |= {label} if here else set()
     base = ",".join(sorted(labels))
-    lines = [set(LICENSE_WORD.findall(x)) for x in text.split("\n")]
-    for i in range(len(lines)):
-        block = set().union(*lines[i : i + licenses.BLOCK_LINES])
+    for i in range(len(words)):
+        block = set(words[i : i + licenses.block_words()])
         for label, notice in licenses.NOTICES:
             wanted = set(notice.split())
             if len(wanted & block) >= licenses.needed(len(wanted), licenses.CONTAINMENT):
@@ -118,6 +117,24 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_notices_are_found_however_they_wrap(spark):
+    """A few words a line, double-spaced, a word a line, with words between; spread over a long text they are none."""
+    rows, expected = [], {}
+    for no, (label, notice) in enumerate(licenses.NOTICES):
+        words = notice.split()
+        for kind, text in enumerate((
+            "\n".join(" ".join(words[i : i + 4]) for i in range(0, len(words), 4)),
+            "\n\n".join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5)),
+            "# " + "\n# ".join(words),
+            " ".join(f"{w} zz zz zz" for w in words),
+        )):
+            rows.append((10 * no + kind, f"Head of it\n{text}\nzz"))
+            expected[10 * no + kind] = label if kind < 3 else None
+    found = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in found[k] for k, label in expected.items() if label)
+    assert all("bsd" not in found[k] and "gpl" not in found[k] for k, label in expected.items() if not label)
+
+
 def statistics(text):
     text = text or ""
     words, seen, repeated = WORD.findall(text), set(), 0

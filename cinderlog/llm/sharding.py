@@ -4,7 +4,8 @@ A key's shard follows from the key and the number of shards alone: no ring, no
 table.  With one shard more, a key either stays or moves into the new shard.
 
 Definitions: a null text has no bytes; a null key is a key like any other; rows
-with equal keys share a shard; an empty table gives an empty table.  Only the named
+with equal keys share a shard, in any number (their slots follow the table's layout); an empty
+table gives an empty table.  Only the named
 key and text columns are read, so further columns can't clash with the results.
 """
 
@@ -15,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlog.llm.names import free_name
+from cinderlog.sources.staging import materialize
+
 # Fixed values of the published jump hash: the generator's multiplier and its range.
 MULTIPLIER = np.uint64(2862933555777941757)
 RANGE_BITS = 31
@@ -44,18 +48,18 @@ def with_shards(df: DataFrame, key: str, shards: int, shard: str = "shard", grow
     if shards < 1:
         raise ValueError("there must be at least one shard")
 
-    def placed(n: int):
-        @F.pandas_udf("int")
-        def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for keys in batches:
-                yield pd.Series(jump(keys.to_numpy(), n).astype(np.int32))
+    kind = "struct<shard int, grown int>"
 
-        return place(F.xxhash64(F.col(key).cast("string")))
+    @F.pandas_udf(kind)
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for keys in batches:
+            both = [jump(keys.to_numpy(), n).astype(np.int32) for n in ((shards, shards + 1) if grown else (shards, shards))]
+            yield pd.DataFrame({"shard": both[0], "grown": both[1]})
 
-    named = {shard: placed(shards)}
-    if grown:
-        named[grown] = placed(shards + 1)
-    return df.withColumns(named)
+    both = free_name(df, "both_shards")
+    placed = df.withColumn(both, place(F.xxhash64(F.col(key).cast("string"))))
+    named = {shard: F.col(both)["shard"], **({grown: F.col(both)["grown"]} if grown else {})}
+    return placed.withColumns(named).drop(both)
 
 
 def assign(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", chunks: int = CHUNKS) -> DataFrame:
@@ -63,7 +67,9 @@ def assign(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "te
 
     Slots count the rows of a shard from 0 without gaps.  Rows are numbered inside
     (shard, chunk) and shifted by the sizes of the chunks before; the texts
-    themselves are not moved.
+    themselves are not moved.  Chunks hash id, text and a row number, so that neither
+    a key that many rows share nor a row that is repeated meets in one task; shards and
+    chunks are stored first, so that later steps agree on them.
     """
     data = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(
@@ -72,7 +78,8 @@ def assign(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "te
         F.crc32(data).alias("text_crc32"),
     )
     rows = with_shards(rows, "id", shards, "shard", "grown_shard")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("chunk")), F.lit(chunks)).cast("int"))
+    spread = F.xxhash64(F.col("id").cast("string"), "text_crc32", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("chunk", F.pmod(spread, F.lit(chunks)).cast("int")), "shard-rows")
     sizes = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

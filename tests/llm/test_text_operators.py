@@ -223,6 +223,23 @@ def test_shards(docs, empty):
     assert sharding.assign(empty, 4).count() == 0
 
 
+def test_a_repeated_row_spreads_over_slots(spark):
+    rows = spark.createDataFrame([(None, "same")] * 500 + [(5, "x")] * 500, "doc_id long, text string")
+    found = sharding.assign(rows.withColumn("both_shards", F.lit(0)), 4, chunks=16).collect()
+    assert len({(r["doc_id"], r["shard"]) for r in found}) == 2
+    for key in (None, 5):
+        same = [r["shard"] for r in found if r["doc_id"] == key]
+        assert len(same) == 500
+    for shard in {r["shard"] for r in found}:
+        slots = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_long_pieces_are_not_remembered():
+    seen = bpe.Memo(len, 10, longest=3)
+    assert [seen[x] for x in ("ab", "abcd", "abc")] == [2, 4, 3] and set(seen) == {"ab", "abc"}
+
+
 def test_best_fit_takes_the_least_room():
     chance = random.Random(3)
     for _ in range(200):

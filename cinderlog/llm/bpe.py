@@ -27,20 +27,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MEMO_ENTRIES = 1 << 18
+#: Characters of the longest piece whose ids are remembered.
+MEMO_LENGTH = 64
 COMPATIBLE_ENTRIES = 1 << 20
 
 
 class Memo(dict):
     """Remembers a function's results: the recent ones, and those used again since the last turnover."""
 
-    def __init__(self, compute, entries: int = MEMO_ENTRIES):
+    def __init__(self, compute, entries: int = MEMO_ENTRIES, longest: int | None = None):
+        """``longest``: results for longer keys are not remembered, which bounds the memory."""
         super().__init__()
-        self.compute, self.entries, self.older = compute, entries, {}
+        self.compute, self.entries, self.longest, self.older = compute, entries, longest, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+            if self.longest is not None and len(key) > self.longest:
+                return value
         if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
@@ -70,7 +75,7 @@ class BytePairCodec:
         self.never = max(self.tokens) + 1
         self.shorter = Memo(self._shorter)
         self.compatible = Memo(self._side_by_side, COMPATIBLE_ENTRIES)
-        self.piece = Memo(self._encode_piece)
+        self.piece = Memo(self._encode_piece, longest=MEMO_LENGTH)
 
     def _shorter(self, rank: int) -> tuple[int, int, int] | None:
         """The longest other token that the token starts with."""

@@ -11,9 +11,12 @@ with the item by the weighted Jaccard similarity of five-word shingles (of all i
 a shorter item, so such an item is found where its words stand one after the other).  A shingle's weight is
 ln(1 + items / items that have it), times how often it occurs.
 
+A text that has no shingle of any item can't reach a threshold above 0 and is left out before
+its windows are made.
+
 The benchmark is the query set.  It is taken in blocks of ``BLOCK_ITEMS`` items.  Holders of a
-shingle are counted once over all items, so results don't depend on the blocks; besides its
-block each task is sent the counts of the shingles that several items have.
+shingle are counted once over all items and stored, so results don't depend on the blocks;
+besides its block each task is sent the counts of the block's own shingles.
 
 Definitions: null or word-free texts and items match nothing; a text shorter than a class's
 windows is one window if it has at least ``threshold`` of their words; rows without an id are
@@ -31,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.bpe import Memo
+from cinderlog.llm.names import free_name
 from cinderlog.llm.shingles import WordHashes, shingles
+from cinderlog.sources.staging import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,6 +46,8 @@ GROWTH = 1.08
 STEPS = 12
 BLOCK_ITEMS = 2000
 BLOCK_WORDS = 16_000
+#: High bits of a shingle by which most shingles of no item are told at once.
+MARK_BITS = 20
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -126,6 +133,19 @@ class Index:
             prints = [_fingerprints(_sums(self.words[i], len(self.words[i])), np.array([0]), np.array([len(self.words[i])]))[0] for i in members]
             self.classes.append(SizeClass(sizes[len(sizes) // 2], members, np.array(prints, np.uint64), radius))
         self.longest = max((len(w) for w in self.words), default=0)
+        self.widths = sorted({min(SHINGLE, len(w)) for w in self.words})
+        self.any = np.array(sorted({s for bag in self.bags for s in bag}), np.uint64)
+        self.marked = np.zeros(1 << MARK_BITS, bool)
+        self.marked[self.any >> np.uint64(64 - MARK_BITS)] = True
+
+    def touches(self, words: np.ndarray) -> bool:
+        """Whether a text has a shingle of some item."""
+        for width in self.widths:
+            own = shingles(words, width)
+            own = own[self.marked[own >> np.uint64(64 - MARK_BITS)]]
+            if len(own) and np.isin(own, self.any).any():
+                return True
+        return False
 
     def weight(self, shingle: int) -> float:
         return self.shared.get(shingle, self.usual)
@@ -156,6 +176,8 @@ class Index:
     def matches(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, int]]:
         """(text, item): best similarity of at least the threshold, and the window's first word."""
         best: dict[tuple[int, int], tuple[float, int]] = {}
+        nothing = np.zeros(0, np.uint64)
+        texts = [words if self.touches(words) else nothing for words in texts]
         known = Memo(lambda text: shingles(texts[text], SHINGLE).tolist(), 64)
         align = max((step_of(cls.size) for cls in self.classes), default=1)
         for block in _blocks(texts, self.longest, align):
@@ -242,12 +264,15 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("words")).where(F.col("item").isNotNull())
     spark = df.sparkSession
     total = items.count()
-    frequency = _frequencies(items) if total else {}
-    blocks = -(-total // BLOCK_ITEMS)
     found = spark.createDataFrame([], SCHEMA)
+    if not total:
+        return found.select(F.col("id").alias(key), "item_id", "similarity", "first_word")
+    held = materialize(_shingles_of(items), "item-shingles")
+    shared = materialize(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-shingles")
+    blocks = -(-total // BLOCK_ITEMS)
     for block in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        found = found.unionByName(_block(rows, chosen, frequency, total, threshold, radius))
+        own = F.pmod(F.xxhash64("item"), F.lit(blocks)) == block
+        found = found.unionByName(_block(rows, items.where(own), _counts(held.where(own), shared), total, threshold, radius))
     return (
         found.groupBy("id", "item_id")
         .agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("first"))).alias("best"))
@@ -257,8 +282,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose text has no passage of the benchmark; rows without an id stay."""
-    leaking = leaks(df, benchmark, key, text).select(F.col(key).alias("__leaks")).distinct()
-    return df.join(leaking, F.col(key).cast("long") == F.col("__leaks"), "left_anti")
+    name = free_name(df, "leaking_id")
+    leaking = leaks(df, benchmark, key, text).select(F.col(key).alias(name)).distinct()
+    return df.join(leaking, F.col(key).cast("long") == F.col(name), "left_anti")
 
 
 def _block(rows: DataFrame, chosen: DataFrame, frequency: dict[int, int], total: int, threshold: float, radius: int) -> DataFrame:
@@ -278,15 +304,20 @@ def _block(rows: DataFrame, chosen: DataFrame, frequency: dict[int, int], total:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def _frequencies(items: DataFrame) -> dict[int, int]:
-    """How many of all items have a shingle, for those in more than one."""
+def _shingles_of(items: DataFrame) -> DataFrame:
+    """(item, shingle): the distinct shingles of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            for text in batch.column(0):
-                own = np.unique(shingles(words.of(text.as_py()), SHINGLE))
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(shingles(words.of(text), SHINGLE))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), item, np.int64)), pa.array(own.view(np.int64))], ["item", "shingle"])
+
+    return items.select("item", "words").mapInArrow(run, "item long, shingle long")
+
 
-    counts = items.select("words").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return {r["shingle"] & (1 << 64) - 1: r["n"] for r in counts.toLocalIterator()}
+def _counts(held: DataFrame, shared: DataFrame) -> dict[int, int]:
+    """How many of all items have a shingle, for a block's shingles that several items have; no longer than the block."""
+    own = held.select("shingle").distinct().join(shared, "shingle")
+    return {r["shingle"] & (1 << 64) - 1: r["n"] for r in own.collect()}

@@ -263,6 +263,17 @@ def test_chunks_do_not_change_the_path(talk):
     assert roles(1) == roles(3) == roles(256)
 
 
+@pytest.mark.parametrize("conv, turns", [(None, 3), (7, None), (7, 1)])
+def test_a_hot_transcript_is_many_chunks(talk, conv, turns):
+    """Null ids, null and repeated turn numbers, repeated rows and a part of many lines make no chunk longer."""
+    model = transcripts.fit(talk)
+    rows = [(conv, turns and i % turns, f"User: line {i // 2}") for i in range(300)] + [(conv, turns and 0, "\n".join(["User: x", "", "y"] * 200))]
+    parts = talk.sparkSession.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("chunk", F.lit("clash"))
+    found = transcripts.parse(parts, model, chunk=32).groupBy("chunk").agg(F.sum("n_lines").alias("n")).collect()
+    assert sum(r["n"] for r in found) == 300 + 600
+    assert len(found) == -(-(300 + -(-600 // transcripts.PIECE_LINES)) // 32)
+
+
 def test_best_path_is_the_best_of_all(talk):
     model = transcripts.fit(talk)
     lines = ["User: ab cd?", "Ef gh", "Assistant: xx", "A: yy"]
@@ -306,6 +317,37 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_edited_items_are_found_and_others_are_not(spark):
+    """Against brute force over all item-sized windows: no false pair, and at least 0.99 of the true ones."""
+    chance = random.Random(12)
+    items = [(i, prose(chance, chance.randint(3, 60))) for i in range(60)]
+    rows = [(i, f"{prose(chance, 30)} {edited(chance, items[i % 60][1], chance.randint(0, 2))} {prose(chance, 30)}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("leaking_id", F.lit(1))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def bag(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+    bags = {k: bag(text.split()) for k, text in items}
+    holders = Counter(s for b in bags.values() for s in b)
+
+    def weight(b):
+        return sum(np.log(1 + len(items) / max(holders[s], 1)) * n for s, n in b.items())
+
+    expected = set()
+    for key, text in rows:
+        words = text.split()
+        for item, text in items:
+            size = len(text.split())
+            for at in range(len(words) - size + 1):
+                window = bag(words[at : at + size])
+                if weight(window & bags[item]) >= 0.8 * weight(window | bags[item]) - 1e-9:
+                    expected.add((key, item))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert found <= expected and len(found) >= 0.99 * len(expected) and len(expected) > 100
+    assert decontaminate.without_leaks(docs, benchmark).columns == docs.columns
+
+
 def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
     chance = random.Random(10)
     shared = prose(chance, 24)

@@ -7,13 +7,15 @@ are summed up on the executors, and only the finished tables (their size is boun
 states, the feature values and ``NAME_SHARE``) go to every task.
 
 A transcript is a sequence of text parts (one message each, or one log line, or the whole).
-It may be longer than any task should hold, so it is worked on in chunks of ``CHUNK`` parts.
+It may be longer than any task should hold: parts are cut into pieces of ``PIECE_LINES`` lines,
+pieces are numbered densely along the transcript, whatever the parts' own numbers are, and
+worked on in chunks of ``CHUNK`` pieces.
 A first pass gives each chunk's best scores between any two border states; those are chained
 along the transcript; a second pass decodes each chunk between its own border states.  The
 result is the Viterbi path of the whole transcript.
 
 Definitions: a null or empty part has no lines; parts with equal numbers follow each other
-in the order of their texts; a part without a transcript id belongs to the transcript with the
+in the order of their texts' first ``ORDER_CHARS`` characters, then of a hash; parts without a number come first; a part without a transcript id belongs to the transcript with the
 null id; repeated rows are parts of their own; empty tables give empty tables.  Only the named
 columns are read, so further columns can't clash with the results.
 """
@@ -26,7 +28,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.sources.staging import materialize
@@ -36,6 +38,9 @@ STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 NUMBER = {state: i for i, state in enumerate(STATES)}
 S = len(STATES)
 CHUNK = 256
+PIECE_LINES = 64
+#: Parts with equal numbers are told apart by so many characters, then by a hash of the text.
+ORDER_CHARS = 200
 #: A marker name is told apart when at least this share of all marked lines has it.
 NAME_SHARE = 0.001
 SMOOTHING = 0.5
@@ -126,7 +131,7 @@ def fit(labelled: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     turns = parts.groupBy("conv", "turn").agg(F.min("role").alias("role"))
     after = turns.select(F.col("conv").alias("c"), (F.col("turn") - 1).alias("t"), F.col("role").alias("next"))
     follow = turns.join(after, F.col("conv").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t"))).groupBy("role", "next").agg(F.count(F.lit(1)).alias("n")).collect()
-    first = turns.where(F.col("turn") == 0).groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()
+    first = turns.groupBy("conv").agg(F.min_by("role", "turn").alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()
     return _model(tables, {(r["role"], r["next"]): r["n"] for r in follow}, {r["role"]: r["n"] for r in first})
 
 
@@ -185,8 +190,20 @@ def best_path(model: Model, scores: np.ndarray, before: int | None, last: int) -
     return path[::-1]
 
 
-def _lines(text: str | None) -> list[str]:
-    return text.split("\n") if text else []
+def _pieces(parts: DataFrame) -> DataFrame:
+    """(conv, block, at, text): each part with lines in pieces, sorted by range over tasks (blocks), ``at`` counting a task's rows.
+
+    The range is over transcript, number, text and the row, so neither a hot transcript nor a
+    repeated part is one task's.
+    """
+    lines = F.split("text", "\n")
+    starts = F.sequence(F.lit(1), F.size(lines), F.lit(PIECE_LINES))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice(lines, i, PIECE_LINES), "\n"))
+    rows = parts.where(F.octet_length("text") > 0).select("conv", "turn", F.xxhash64("text").alias("code"), F.monotonically_increasing_id().alias("row"), "text")
+    order = [F.col("conv"), F.col("turn"), F.substring("text", 1, ORDER_CHARS), F.col("code"), F.col("row")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    cuts = rows.select("conv", F.explode(cut).alias("text"))
+    return cuts.select("conv", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("at"), "text")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list[str]]]]:
@@ -198,7 +215,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
                 if parts:
                     yield key, parts
                 key, parts = row[:keys], []
-            parts.append(_lines(row[-1]))
+            parts.append(row[-1].split("\n"))
     if parts:
         yield key, parts
 
@@ -214,14 +231,19 @@ def parse(df: DataFrame, model: Model, conv: str = "conv_id", turn: str = "turn"
     spark = df.sparkSession
     kind = df.select(F.col(conv)).schema[0].dataType.simpleString()
     id_kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
-    number = F.floor(F.coalesce("turn", F.lit(0)) / chunk)
-    parts = _ordered(df, conv, turn, text).withColumn("chunk", number).where(F.octet_length("text") > 0)
+    pieces = materialize(_pieces(_ordered(df, conv, turn, text)), "transcript-pieces")
+    # A piece's number is its place among the task's rows of its transcript, after those of the tasks before.
+    inside = pieces.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = inside.select(F.col("conv").alias("c"), F.col("block").alias("b"), "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = pieces.join(offsets, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    number = F.col("offset") + F.col("at") - F.col("least")
+    parts = numbered.select("conv", number.alias("number"), F.floor(number / chunk).alias("chunk"), "text")
     parts = materialize(parts, "transcript-parts")
-    firsts = parts.groupBy(F.col("conv").alias("c")).agg(F.min("chunk").alias("first"))
-    opens = parts.join(firsts, F.col("conv").eqNullSafe(F.col("c"))).withColumn("opens", F.col("chunk") == F.col("first"))
+    opens = parts.withColumn("opens", F.col("chunk") == 0)
 
     def in_order(rows: DataFrame) -> DataFrame:
-        return rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "turn", "text")
+        return rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "number")
 
     sent = spark.sparkContext.broadcast(model)
 

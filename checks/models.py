@@ -83,13 +83,24 @@ VECTOR_OUTPUTS = fixed.outputs_sql("SELECT vec_id AS key, 'vectors' AS model FRO
 @check(
     "M2_isolation_scores",
     sql=f"""WITH RECURSIVE {VECTOR_OUTPUTS}
-    SELECT key AS vec_id, round(if_decision, 9) AS if_decision, CASE WHEN if_decision < 0 THEN -1 ELSE 1 END AS if_prediction FROM iso""",
+    SELECT key AS vec_id, round(if_decision, 9) AS if_decision, CASE WHEN if_decision < 0 THEN -1 ELSE 1 END AS if_prediction, true AS in_range FROM iso""",
 )
 def isolation_scores(spark, d):
-    """Scores of a forest that follows from a rule; SQL walks the same trees."""
+    """Scores of a forest that follows from a rule, whose trees SQL walks, and of one that is fitted to all vectors."""
     _, size, salt = DENSE[0]
-    scored = fixed.isolation_forest(size, salt, dense=True).transform(_embeddings(spark, d))
-    return scored.select("vec_id", F.round("if_decision", 9).alias("if_decision"), "if_prediction")
+    rows = _embeddings(spark, d)
+    scored = fixed.isolation_forest(size, salt, dense=True).transform(rows)
+    ruled = scored.select("*", F.round("if_decision", 9).alias("decision"), F.col("if_prediction").alias("prediction"))
+    # A vector without some of its values is scored, but there is nothing to split it by.
+    whole = rows.where((F.col("features.size") > 0) & F.forall("features.values", lambda x: x.isNotNull()))
+    fitted = ruled if whole.isEmpty() else iforest.IsolationForest("vec_id", trees=50).fit(whole).transform(ruled)
+    agrees = (F.col("if_decision") < 0) == (F.col("if_prediction") == -1)
+    return fitted.select(
+        "vec_id",
+        F.col("decision").alias("if_decision"),
+        F.col("prediction").alias("if_prediction"),
+        (F.col("if_decision").between(-1.0, 1.0) & agrees).alias("in_range"),
+    )
 
 
 @check(

@@ -202,3 +202,16 @@ def test_distinct_rows_share_work():
     values = np.array([1.0, 2.0, 1.0, 2.0, 1.0, 2.0])
     firsts, copy = kernels.distinct_rows(offsets, indices, values)
     assert firsts.tolist() == [0, 2, 3] and copy.tolist() == [0, 0, 1, 2]
+
+
+def test_isolation_scores_fit_a_forest_on_every_vector(spark, folder, monkeypatch):
+    """The query fits a forest besides walking the one that follows from a rule."""
+    from checks import models
+
+    rows = [(i, i % 10, [float((i * 7 + j * 3) % 11 - 5) for j in range(64)]) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    fitted, fit = [], iforest.IsolationForest._fit
+    monkeypatch.setattr(iforest.IsolationForest, "_fit", lambda self, data: (fitted.append((self.trees, data.count())), fit(self, data))[1])
+    found = models.isolation_scores(spark, folder).collect()
+    assert fitted == [(50, 120)]
+    assert len(found) == 120 and all(r["in_range"] for r in found)

@@ -79,8 +79,26 @@ def _attach(data: DataFrame, small: DataFrame, keys: list[str], how: str) -> Dat
     return data.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _place(group: tuple[str, ...], prefix: str = "") -> Column:
+    """A row's group and chunk as one key; NULLs inside it are equal."""
+    return F.struct(*[F.col(f"{prefix}{k}").alias(f"k{i}") for i, k in enumerate((*group, CHUNK))])
+
+
+def _attach_chunks(data: DataFrame, chunks: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Rows with what is known of their chunk, dealt out by group and chunk as the numbering needs them.
+
+    The table of chunks grows with the rows, so it is never collected for a broadcast.
+    """
+    keys = (*group, CHUNK)
+    renamed = chunks.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys],
+        *[c for c in chunks.columns if c not in keys],
+    ).hint("shuffle_hash")
+    return data.join(renamed, _place(group) == _place(group, "__r_"), "inner").drop(*[f"__r_{k}" for k in keys])
+
+
 def _local_number(group: tuple[str, ...], within: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*group, CHUNK).orderBy(within))
+    return F.row_number().over(Window.partitionBy(_place(group)).orderBy(within))
 
 
 def _chunked(df: DataFrame, order: RowOrder) -> DataFrame:
@@ -94,7 +112,7 @@ def number_rows(
     chunked = _chunked(df, order)
     offsets = _chunk_offsets(chunked, group)
     return (
-        _attach(chunked, offsets, [*group, CHUNK], "inner")
+        _attach_chunks(chunked, offsets, group)
         .withColumn(name, F.col(OFFSET) + _local_number(group, "__within"))
         .drop(CHUNK, OFFSET, "__within")
     )
@@ -120,7 +138,7 @@ def first_n(
         F.col(OFFSET) < F.col(LIMIT)
     )
     return (
-        _attach(chunked, reached, [*group, CHUNK], "inner")
+        _attach_chunks(chunked, reached, group)
         .withColumn(LOCAL, _local_number(group, "__within"))
         .where(F.col(OFFSET) + F.col(LOCAL) <= F.col(LIMIT))
         .drop(CHUNK, OFFSET, LIMIT, LOCAL, "__within")
@@ -134,7 +152,7 @@ def mark_first_n(
     chunked = _chunked(df, order)
     limits = _limited(_chunk_offsets(chunked, group), group, n)
     return (
-        _attach(chunked, limits, [*group, CHUNK], "inner")
+        _attach_chunks(chunked, limits, group)
         .withColumn(
             name,
             F.col(OFFSET) + _local_number(group, "__within") <= F.col(LIMIT),

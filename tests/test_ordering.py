@@ -73,3 +73,12 @@ def test_seeded_shuffle(spark):
     assert one != sorted(one)
     placed = number_rows(table(spark, 8), hash_order(prep.SEED, "id"), name="place")
     assert one == [r["id"] for r in placed.orderBy("place").collect()]
+
+
+def test_tables_of_chunks_are_never_broadcast(spark):
+    """They grow with the rows, so no broadcast may collect them on the driver."""
+    rows, order = table(spark, 4), column_order("id", 3)
+    for numbered in (number_rows(rows, order, ("g",)), first_n(rows, order, 40, ("g",)), mark_first_n(rows, order, 40, "m", ("g",))):
+        assert "Broadcast" not in numbered._jdf.queryExecution().executedPlan().toString()
+        numbered.collect()
+        assert "Broadcast" not in numbered._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,7 @@ two documents; the bytes around all others are never moved.
    they have ``length`` of them, and take no further part.
 1. Anchors are counted by hash, and those that occur in one text are dropped.
 2. Around every other anchor the run of windows that share it is cut out.  Equal runs are
-   one, with the smallest id that has it (aggregated before any shuffle).
+   one, with the smallest id that has it (marked in each batch before the only shuffle).
 3. Each shard takes whole anchors, in the order of Spark's external sort, which spills to
    disk as it must.  The suffixes that start at anchors are sorted, with the common-prefix
    lengths of neighbours.  The order of the suffixes before them is induced, one byte a
@@ -38,8 +38,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xxhash import xxh3_64_digest
-
 from cinderlog.sources.staging import materialize, new_path, scratch
 
 LENGTH = 50
@@ -126,13 +124,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "id"])
 
 
-RUNS = "anchor long, no int, id long, first int, before int, code binary, data binary"
+RUNS = "anchor long, no int, id long, first int, before int, least boolean, data binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of every run of windows whose anchor is among the given ones."""
+    """The bytes of every run of windows whose anchor is among the given ones; of equal runs in a batch one with the least id is marked."""
     for batch in batches:
-        columns = ([], [], [], [], [], [], [])
+        columns, rows = ([], [], [], [], [], []), 0
+        least: dict[tuple[int, bytes], tuple[int, int]] = {}
         for no, key, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
             data = _bytes(text)
             first, last, at, found = anchors(data)
@@ -142,12 +141,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns[1].append(np.full(len(keep), no.as_py(), np.int32))
             columns[2].append(np.full(len(keep), key.as_py(), np.int64))
             columns[3].append(first[keep].astype(np.int32))
-            columns[4].append((at[keep] - first[keep]).astype(np.int32))
+            before = at[keep] - first[keep]
+            columns[4].append(before.astype(np.int32))
             cut = [raw[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-            columns[5].extend(map(hash_run, cut))
-            columns[6].extend(cut)
+            columns[5].extend(cut)
+            # The anchor lies in the run, so its place and the bytes tell runs apart.
+            for place, run in enumerate(zip(before.tolist(), cut, strict=True), rows):
+                if run not in least or key.as_py() < least[run][0]:
+                    least[run] = key.as_py(), place
+            rows += len(cut)
         if columns[0]:
-            arrays = [pa.array(np.concatenate(c)) for c in columns[:5]] + [pa.array(c, pa.binary()) for c in columns[5:]]
+            marked = np.zeros(rows, bool)
+            marked[[place for _, place in least.values()]] = True
+            arrays = [*(pa.array(np.concatenate(c)) for c in columns[:5]), pa.array(marked), pa.array(columns[5], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in RUNS.split(", ")])
 
 
@@ -204,13 +210,13 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Smallest ids of the windows of distinct runs; rows come sorted by anchor, blocks hold whole anchors."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        anchor, before, low = (table.column(i).to_numpy() for i in (0, 1, 3))
+        anchor, before, low, code = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
         data = table.column(2).to_pylist()
         found = least_ids(anchor, before.astype(np.int64), data, low)
         # One value stands for all windows where they agree.
         short = [x[:1] if (x == x[0]).all() else x for x in found]
         lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int32), pa.array(np.concatenate(short)))
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(before), pa.array([hash_run(x) for x in data], pa.binary()), lists], ["anchor", "before", "code", "lows"])
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(before), pa.array(code), lists], ["anchor", "before", "code", "lows"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -230,10 +236,6 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pa.Table.from_batches(held).combine_chunks())
 
 
-def hash_run(data: bytes) -> bytes:
-    return xxh3_64_digest(data)
-
-
 def _spans(key: int, firsts, counts, lists) -> list[tuple[int, int]]:
     """Byte spans to remove, from the windows whose smallest id is below the text's own."""
     marks = []
@@ -319,19 +321,28 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         return _stored(_repeated_runs(texts), "suffix-found", keep=True)
 
 
+def _shared_runs(texts: DataFrame) -> DataFrame:
+    """The runs around anchors that occur in two texts, stored; what led to them is not kept."""
+    with scratch(texts.sparkSession):
+        counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
+        shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
+        shared = _stored(shared, "suffix-shared")
+        places = texts.select("id", "text").mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
+        wanted = _stored(places.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
+        runs = texts.join(wanted, "id").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
+        return _stored(runs, "suffix-runs", keep=True)
+
+
 def _repeated_runs(texts: DataFrame) -> DataFrame:
-    counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
-    shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
-    shared = _stored(shared, "suffix-shared")
-    places = texts.select("id", "text").mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
-    wanted = _stored(places.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
-    runs = texts.join(wanted, "id").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
-    runs = _stored(runs, "suffix-runs")
-    distinct = runs.groupBy("anchor", "before", "data").agg(F.min("id").alias("low"))
-    shards = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "before", "data", "low")
-    lows = _stored(shards.mapInArrow(_induce, "anchor long, before int, code binary, lows array<bigint>"), "suffix-lows")
+    runs = _shared_runs(texts)
+    code = F.xxhash64("data").alias("code")
+    # Each batch has marked its distinct runs, so they are moved once, by anchor, and made one where they are sorted.
+    marked = runs.where("least").select("anchor", "before", "data", "id").repartition("anchor")
+    distinct = marked.groupBy("anchor", "before", "data").agg(F.min("id").alias("low"))
+    shards = distinct.sortWithinPartitions("anchor").select("anchor", "before", "data", "low", code)
+    lows = _stored(shards.mapInArrow(_induce, "anchor long, before int, code long, lows array<bigint>"), "suffix-lows")
     windows = (F.octet_length("data") - LENGTH + 1).alias("windows")
-    coded = runs.select("anchor", "before", "no", "id", "first", windows, "code")
+    coded = runs.select("anchor", "before", "no", "id", "first", windows, code)
     later = coded.join(lows, ["anchor", "before", "code"]).where(F.array_min("lows") < F.col("id"))
     return later.groupBy("id", "no").agg(F.collect_list(F.struct("first", "windows", "lows")).alias("found"))
 

@@ -164,6 +164,30 @@ def test_repeated_strings(docs, corpus):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_runs_of_repeated_strings_are_moved_once(spark, monkeypatch):
+    """Runs go to their anchors in one shuffle, and what led to them is gone by then."""
+    from pathlib import Path
+
+    moved, stored = {}, suffixes._stored
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "cinderlog"
+
+    def spy(df, name, **options):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        moved[name] = plan.count("Exchange "), [p.name for p in folder.glob("suffix-wanted-*")]
+        return stored(df, name, **options)
+
+    before = {p.name for p in folder.glob("suffix-*")}
+    monkeypatch.setattr(suffixes, "_stored", spy)
+    line = "a line of more than fifty bytes that two of the texts have in common, "
+    df = spark.createDataFrame([(i, f"{i} own words " * i + line * (i % 2)) for i in range(1, 9)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(df).collect()}
+    assert got[1] == 0 and all(got[i] >= len(line) for i in (3, 5, 7))
+    exchanges, wanted = moved["suffix-lows"]
+    assert exchanges == 1 and not set(wanted) - before
+    left = {p.name.rpartition("-")[0] for p in folder.glob("suffix-*") if p.name not in before}
+    assert left == {"suffix-copies", "suffix-texts", "suffix-found"}
+
+
 def test_repeated_strings_of_one_id_with_several_texts(spark):
     """A copy under an id does not take the id's other texts with it; texts of one id take nothing from each other."""
     chance = random.Random(5)

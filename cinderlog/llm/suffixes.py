@@ -10,7 +10,8 @@ two documents; the bytes around all others are never moved.
 
 0. Texts that an earlier id has as a whole are found by digest; they lose all their bytes if
    they have ``length`` of them, and take no further part.
-1. Anchors are counted by hash, and those that occur in one text are dropped.
+1. Anchors are moved once, with their ids, and sorted by hash; those that occur in one text
+   are dropped.  A batch deals out rows of an anchor that it has in two texts already.
 2. Around every other anchor the run of windows that share it is cut out.  Equal runs are
    one, with the smallest id that has it (marked in each batch before the only shuffle).
 3. Each shard takes whole anchors, in the order of Spark's external sort, which spills to
@@ -31,9 +32,11 @@ read, so further columns can't clash with the results.  Grams and windows are to
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +48,12 @@ GRAM = 20
 #: Rows of a shard that are worked on together; anchors stay whole.
 BLOCK_ROWS = 1 << 17
 
-_BYTES = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of texts that are worked on together; a longer text is alone.
+BLOCK_BYTES = 1 << 15
+
 _UPPER = np.uint64(0xFFFFFFFF00000000)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_WORD = 8
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -60,25 +66,29 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each gram of ``size`` bytes, put together from powers of two."""
-    power, step, whole, done = _BYTES[data], 1, None, 0
-    with np.errstate(over="ignore"):
-        while True:
-            if size & step:
-                if whole is None:
-                    whole, done = power, step
-                else:
-                    n = len(data) - (done + step) + 1
-                    whole, done = _join(whole[:n], power[done : done + n]), done + step
-            if done == size:
-                return whole
-            n = len(power) - step
-            power = _join(power[:n], power[step : step + n])
-            step *= 2
-
-
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with one anchor: first and last window, the anchor's place and hash."""
+    """A hash of each gram of ``size`` bytes, put together from its words of eight; the last may overlap the one before."""
+    n = len(data) - size + 1
+    padded = np.zeros(len(data) // _WORD * _WORD + 2 * _WORD, np.uint8)
+    padded[: len(data)] = data
+    words = np.empty(len(padded) - _WORD, np.uint64)
+    for at in range(_WORD):
+        words[at::_WORD] = padded[at : len(padded) - _WORD + at].view("<u8")
+    if size < _WORD:
+        words &= np.uint64((1 << 8 * size) - 1)
+    whole = _join(words[:n], np.full(1, size, np.uint64))
+    for at in range(_WORD, size, _WORD):
+        at = min(at, size - _WORD)
+        whole = _join(whole, words[at : at + n])
+    return whole
+
+
+def anchors(
+    data: np.ndarray, length: int = LENGTH, gram: int = GRAM, edges: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with one anchor: first and last window, the anchor's place and hash.
+
+    With ``edges``, the data are texts end to end, and windows that lie in two of them don't count.
+    """
     windows = len(data) - length + 1
     if windows < 1:
         empty = np.empty(0, np.int64)
@@ -92,36 +102,86 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         least = np.minimum(least[shift:], least[: len(least) - shift])
         width += shift
     place = (least & ~_UPPER).view(np.int64)
+    if edges is not None:
+        for start, end in pairwise(edges.tolist()):
+            place[max(start, end - length + 1) : end] = -1
     change = np.flatnonzero(place[1:] != place[:-1]) + 1
     first = np.concatenate(([0], change))
     last = np.concatenate((change, [windows])) - 1
     at = place[first]
+    if edges is not None:
+        inside = at >= 0
+        first, last, at = first[inside], last[inside], at[inside]
     return first, last, at, hashes[at]
 
 
-def _bytes(text) -> np.ndarray:
-    value = text.as_py()
-    return np.frombuffer(value.encode() if value else b"", np.uint8)
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts to be worked on together: the first and the one after the last, their bytes end to end, and the edges of each."""
+    if not len(texts):
+        return
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + BLOCK_BYTES, "right")) - 1)
+        yield low, high, data[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
+        low = high
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, how many texts have it), summed up for each batch."""
-    for batch in batches:
-        own = [np.unique(anchors(_bytes(text))[3]) for text in batch.column(1)]
-        found, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
+PLACES = "anchor long, id long, spread int"
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, id) for every anchor of every text."""
+    """(anchor, id, spread) for every anchor of every text.
+
+    ``spread`` is 0 if the batch has the anchor in one text.  Otherwise it is known to be in two:
+    the first row has 1, the others have numbers of their own, by which they may be dealt out.
+    """
     for batch in batches:
-        ids, own = [], []
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            found = np.unique(anchors(_bytes(text))[3])
-            own.append(found)
-            ids.append(np.full(len(found), key.as_py(), np.int64))
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "id"])
+        found, ids = [], []
+        keys = batch.column(0).to_numpy()
+        for low, high, data, edges in _blocks(batch.column(1)):
+            first, _, _, own = anchors(data, edges=edges)
+            for start, end in pairwise(np.searchsorted(first, edges).tolist()):
+                own[start:end].sort()
+            owner = np.searchsorted(edges, first, "right") - 1
+            once = np.ones(len(own), bool)
+            once[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
+            found.append(own[once])
+            ids.append(keys[low:high][owner[once]])
+        if found:
+            anchor = np.concatenate(found)
+            order = np.argsort(anchor)
+            anchor, key = anchor[order], np.concatenate(ids)[order]
+            starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))[: len(anchor)]
+            n = np.diff(np.append(starts, len(anchor)))
+            nth = np.arange(len(anchor)) - np.repeat(starts, n)
+            spread = np.where(np.repeat(n, n) > 1, nth + 1, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key), pa.array(spread)], ["anchor", "id", "spread"])
+
+
+def _in_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, anchor) of the rows whose anchor is in two texts, by ``spread`` or by a row beside; rows come sorted by anchor."""
+    held, known = [np.empty(0, t) for t in (np.int64, np.int64, np.int32)], False
+
+    def kept(anchor: np.ndarray, key: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(anchor[keep])], ["id", "anchor"])
+
+    for batch in batches:
+        anchor, key, spread = (np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held))
+        if not len(anchor):
+            continue
+        same = anchor[1:] == anchor[:-1]
+        keep = spread > 0
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[0] |= known
+        # The last row may have its like in the next batch.
+        held, known = [anchor[-1:], key[-1:], spread[-1:]], bool(keep[-1])
+        yield kept(anchor[:-1], key[:-1], keep[:-1])
+    if known:
+        yield kept(held[0], held[1], np.ones(1, bool))
 
 
 RUNS = "anchor long, no int, id long, first int, before int, least boolean, data binary"
@@ -132,78 +192,86 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns, rows = ([], [], [], [], [], []), 0
         least: dict[tuple[int, bytes], tuple[int, int]] = {}
-        for no, key, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
-            data = _bytes(text)
-            first, last, at, found = anchors(data)
-            keep = np.flatnonzero(np.isin(found.view(np.int64), wanted.values.to_numpy()))
+        nos, keys = (batch.column(i).to_numpy() for i in (0, 1))
+        for low, high, data, edges in _blocks(batch.column(2)):
+            first, last, at, found = anchors(data, edges=edges)
+            # An anchor that one text lists is in two texts, so every text that has it lists it.
+            wanted = batch.column(3).slice(low, high - low).flatten()
+            keep = pc.is_in(pa.array(found.view(np.int64)), value_set=wanted).to_numpy(zero_copy_only=False)
+            first, last, at, found = first[keep], last[keep], at[keep], found[keep]
+            owner = np.searchsorted(edges, first, "right") - 1
+            key, before = keys[low:high][owner], at - first
             raw = data.tobytes()
-            columns[0].append(found[keep].view(np.int64))
-            columns[1].append(np.full(len(keep), no.as_py(), np.int32))
-            columns[2].append(np.full(len(keep), key.as_py(), np.int64))
-            columns[3].append(first[keep].astype(np.int32))
-            before = at[keep] - first[keep]
-            columns[4].append(before.astype(np.int32))
-            cut = [raw[a : b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-            columns[5].extend(cut)
+            cut = [raw[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
+            new = (found.view(np.int64), nos[low:high][owner], key, (first - edges[owner]).astype(np.int32), before.astype(np.int32), cut)
+            for column, values in zip(columns, new, strict=True):
+                column.append(values)
             # The anchor lies in the run, so its place and the bytes tell runs apart.
-            for place, run in enumerate(zip(before.tolist(), cut, strict=True), rows):
-                if run not in least or key.as_py() < least[run][0]:
-                    least[run] = key.as_py(), place
+            for place, (mine, run) in enumerate(zip(key.tolist(), zip(before.tolist(), cut, strict=True), strict=True), rows):
+                if run not in least or mine < least[run][0]:
+                    least[run] = mine, place
             rows += len(cut)
         if columns[0]:
             marked = np.zeros(rows, bool)
             marked[[place for _, place in least.values()]] = True
-            arrays = [*(pa.array(np.concatenate(c)) for c in columns[:5]), pa.array(marked), pa.array(columns[5], pa.binary())]
+            arrays = [*(pa.array(np.concatenate(c)) for c in columns[:5]), pa.array(marked), pa.array(chain.from_iterable(columns[5]), pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in RUNS.split(", ")])
 
 
-def least_ids(anchor: np.ndarray, before: np.ndarray, data: list[bytes], low: np.ndarray) -> list[np.ndarray]:
-    """For every window of every run the smallest id among runs that have an equal window."""
-    rows = len(data)
+def least_ids(anchor: np.ndarray, before: np.ndarray, data: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every run, one run after the other, the smallest id among runs that have an equal window; where each run begins."""
     sizes = np.array([len(x) for x in data])
     windows = sizes - LENGTH + 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
     joined = np.frombuffer(b"".join(data) + bytes(LENGTH), np.uint8)
-    least = np.empty(int(windows.sum()), np.int64)
+    least = np.repeat(low, windows)
     out = np.cumsum(windows) - windows
 
+    # A run that is alone with its anchor, or with its class later on, has no window of another.
+    _, induced, n = np.unique(anchor, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(n[induced] > 1)
+    induced, held = induced[rows].astype(np.int64), len(rows)
+    if not held:
+        return least, out
+
     # Sort the suffixes at the anchors; bytes past a run's end can't belong to its windows.
     tail = LENGTH - GRAM
-    columns = np.arange(tail)
-    where = (starts + before + GRAM)[:, None] + columns
-    right = np.where(where < ends[:, None], joined[np.minimum(where, len(joined) - 1)], 0).astype(np.uint8)
-    words = np.zeros((rows, (tail + 7) // 8 * 8), np.uint8)
+    where = (starts[rows] + before[rows] + GRAM)[:, None] + np.arange(tail)
+    right = np.where(where < ends[rows][:, None], joined[np.minimum(where, len(joined) - 1)], 0).astype(np.uint8)
+    words = np.zeros((held, (tail + 7) // 8 * 8), np.uint8)
     words[:, :tail] = right
     words = words.view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], anchor))
-    same_anchor = anchor[order][1:] == anchor[order][:-1]
+    order = np.lexsort((*words.T[::-1], induced))
+    same_anchor = induced[order][1:] == induced[order][:-1]
     differs = right[order][1:] != right[order][:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), tail)
     common = np.where(same_anchor, common, -1)
 
     # Induce the suffixes before: class of a suffix from its first byte and the class after it.
-    induced = np.unique(anchor, return_inverse=True)[1].astype(np.int64)
+    place = np.arange(held)
+    cls = np.empty(held, np.int64)
     for step in range(tail + 1):
         if step:
-            inside = before >= step
-            byte = np.where(inside, joined[np.maximum(starts + before - step, 0)], 0).astype(np.int64)
-            pair = np.where(inside, (induced << 8) | byte, -1)
-            induced = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        window = before - step
-        having = np.flatnonzero((window >= 0) & (window < windows))
+            inside = np.flatnonzero(before[rows] >= step)
+            rows, place = rows[inside], place[inside]
+            byte = joined[starts[rows] + before[rows] - step].astype(np.int64)
+            _, induced, n = np.unique((induced[inside] << 8) | byte, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(n[induced] > 1)
+            rows, place, induced = rows[several], place[several], induced[several].astype(np.int64)
+        window = before[rows] - step
+        having = np.flatnonzero(window < windows[rows])
         if not len(having):
             continue
         # Sorted suffixes that share what is left of the window after the anchor.
-        cls = np.empty(rows, np.int64)
         cls[order] = np.concatenate(([0], np.cumsum(common < tail - step)))
-        key = induced[having] * rows + cls[having]
+        key = induced[having] * held + cls[place[having]]
         by = np.argsort(key, kind="stable")
         edges = np.concatenate(([0], np.flatnonzero(np.diff(key[by])) + 1))
-        lows = np.minimum.reduceat(low[having][by], edges)
-        found = np.repeat(lows, np.diff(np.append(edges, len(by))))
-        least[(out[having] + window[having])[by]] = found
-    return np.split(least, out[1:]) if rows else []
+        mine = rows[having][by]
+        lows = np.minimum.reduceat(low[mine], edges)
+        least[out[mine] + window[having][by]] = np.repeat(lows, np.diff(np.append(edges, len(by))))
+    return least, out
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +280,14 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(table: pa.Table) -> pa.RecordBatch:
         anchor, before, low, code = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
         data = table.column(2).to_pylist()
-        found = least_ids(anchor, before.astype(np.int64), data, low)
+        found, out = least_ids(anchor, before.astype(np.int64), data, low)
         # One value stands for all windows where they agree.
-        short = [x[:1] if (x == x[0]).all() else x for x in found]
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in short]))).astype(np.int32), pa.array(np.concatenate(short)))
+        sizes = np.diff(np.append(out, len(found)))
+        agree = np.minimum.reduceat(found, out) == np.maximum.reduceat(found, out)
+        kept = ~np.repeat(agree, sizes)
+        kept[out] = True
+        offsets = np.concatenate(([0], np.cumsum(np.where(agree, 1, sizes)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(found[kept]))
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(before), pa.array(code), lists], ["anchor", "before", "code", "lows"])
 
     held: list[pa.RecordBatch] = []
@@ -236,22 +308,22 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pa.Table.from_batches(held).combine_chunks())
 
 
-def _spans(key: int, firsts, counts, lists) -> list[tuple[int, int]]:
-    """Byte spans to remove, from the windows whose smallest id is below the text's own."""
-    marks = []
-    for first, count, lows in zip(firsts, counts, lists, strict=True):
-        if len(lows) == 1:
-            if lows[0] < key:
-                marks.append((first, first + count - 1 + LENGTH))
-        else:
-            marks += [(first + i, first + i + LENGTH) for i, low in enumerate(lows) if low < key]
-    spans: list[tuple[int, int]] = []
-    for start, end in sorted(marks):
-        if spans and start <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
-        else:
-            spans.append((start, end))
-    return spans
+def _spans(keys: np.ndarray, edges: np.ndarray, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans to remove, from the windows whose smallest id is below the text's own: the text, first byte and the one after the last."""
+    owner = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    first, windows, lists = found.flatten().flatten()
+    n = pc.list_value_length(lists).to_numpy()
+    run = np.repeat(np.arange(len(n)), n)
+    later = np.flatnonzero(lists.flatten().to_numpy() < keys[owner[run]])
+    run, nth = run[later], later - (np.cumsum(n) - n)[run[later]]
+    # A place between the texts keeps their spans apart.
+    start = (edges[:-1] + np.arange(len(keys)))[owner[run]] + first.to_numpy()[run] + nth
+    end = start + LENGTH + np.where(n[run] == 1, windows.to_numpy()[run] - 1, 0)
+    order = np.argsort(start, kind="stable")
+    start, reach, owner = start[order], np.maximum.accumulate(end[order]), owner[run][order]
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))[: len(start)]
+    text = owner[new]
+    return text, start[new] - text, reach[np.append(new[1:], len(start))[: len(new)] - 1] - text
 
 
 REMOVED = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
@@ -261,17 +333,18 @@ REMOVED = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_
 def _removed(ids: pa.Array, texts: pa.Array, found: pa.Array, with_text: pa.Array) -> pa.Array:
     """What stays of every text."""
     out: tuple[list, ...] = ([], [], [], [], [])
-    for key, text, runs, wanted in zip(ids, texts, found, with_text, strict=True):
-        data, listed = (text.as_py() or "").encode(), runs.as_py() or []
-        spans = _spans(key.as_py(), *([r[c] for r in listed] for c in ("first", "windows", "lows"))) if listed else []
-        at, parts = 0, []
-        for start, end in spans:
-            parts.append(data[at:start])
-            at = end
-        kept = b"".join([*parts, data[at:]]) if spans else data
-        values = (len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if wanted.as_py() else None)
-        for column, value in zip(out, values, strict=True):
-            column.append(value)
+    keys, wanted = ids.to_numpy(), with_text.to_pylist()
+    for low, high, data, edges in _blocks(texts):
+        raw, at = data.tobytes(), edges.tolist()
+        owner, starts, ends = _spans(keys[low:high], edges, found.slice(low, high - low))
+        mine, starts, ends = np.searchsorted(owner, np.arange(high - low + 1)).tolist(), starts.tolist(), ends.tolist()
+        for i in range(high - low):
+            a, b = mine[i], mine[i + 1]
+            kept = b"".join([raw[x:y] for x, y in zip([at[i], *ends[a:b]], [*starts[a:b], at[i + 1]], strict=True)])
+            size = at[i + 1] - at[i]
+            values = (size, size - len(kept), b - a, hashlib.sha256(kept).hexdigest(), kept if wanted[low + i] else None)
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], REMOVED.names)
 
@@ -324,11 +397,11 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 def _shared_runs(texts: DataFrame) -> DataFrame:
     """The runs around anchors that occur in two texts, stored; what led to them is not kept."""
     with scratch(texts.sparkSession):
-        counts = texts.select("id", "text").mapInArrow(_counts, "anchor long, n long")
-        shared = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor")
-        shared = _stored(shared, "suffix-shared")
-        places = texts.select("id", "text").mapInArrow(_places, "anchor long, id long").join(shared, "anchor", "left_semi")
-        wanted = _stored(places.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
+        places = texts.select("id", "text").mapInArrow(_places, PLACES)
+        # An anchor's rows are moved once and meet in one task, but for those that are known to be in two texts.
+        placed = places.repartition("anchor", F.greatest("spread", F.lit(1))).sortWithinPartitions("anchor")
+        shared = placed.mapInArrow(_in_two, "id long, anchor long")
+        wanted = _stored(shared.groupBy("id").agg(F.collect_list("anchor").alias("wanted")), "suffix-wanted")
         runs = texts.join(wanted, "id").select("no", "id", "text", "wanted").mapInArrow(_runs, RUNS)
         return _stored(runs, "suffix-runs", keep=True)
 
